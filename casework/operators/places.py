@@ -56,22 +56,21 @@ def _names_in(text: Column, names: list[str]) -> Column:
     the text finds the name heads that occur, and only names with such a head
     are looked up.
     """
-    found = []
-    size = 1
-    while any(len(n) >= size for n in names):
+
+    def group_in(size: int) -> Column | None:
         group = [n for n in names if size <= len(n) < 2 * size]
-        if group:
-            heads = sorted({n[:size] for n in group})
-            found.append(
-                let(
-                    F.array_intersect(_literal(heads), _grams(text, size)),
-                    lambda hit, group=group, size=size: F.filter(
-                        _literal(group),
-                        lambda n: F.array_contains(hit, F.substring(n, 1, size)) & F.contains(text, n),
-                    ),
-                )
-            )
-        size *= 2
+        if not group:
+            return None
+        heads = sorted({n[:size] for n in group})
+        return let(
+            F.array_intersect(_literal(heads), _grams(text, size)),
+            lambda hit: F.filter(
+                _literal(group), lambda n: F.array_contains(hit, F.substring(n, 1, size)) & F.contains(text, n)
+            ),
+        )
+
+    longest = max(map(len, names), default=0)
+    found = [g for g in (group_in(1 << i) for i in range(longest.bit_length())) if g is not None]
     return F.array_sort(F.concat(*found)) if found else F.array().cast("array<string>")
 
 

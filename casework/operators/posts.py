@@ -172,7 +172,7 @@ def layout_3(container_ps: Column, platform: str, other: str) -> Column:
     """
 
     def unit(p: Column) -> Column:
-        text = markup.own_text(p, ("span", "em"), " ")
+        text = markup.squeeze(markup.own_text(p, ("span", "em"), " "))
         return let(
             markup.anchor(p, attr="href"),
             lambda link: F.struct(
@@ -185,7 +185,7 @@ def layout_3(container_ps: Column, platform: str, other: str) -> Column:
                     markup.anchor_text(p),
                     markup.unescape(F.regexp_extract(p, r"(?is)<a(?=[\s>])[^>]*>\s*<span[^>]*>([^<]+)", 1)),
                 ).alias("link_text"),
-                nonblank(text).alias("text"),
+                filled(text).alias("text"),
                 F.when(link.isNull(), markup.images(p)).otherwise(F.array()).alias("images"),
             ),
         )
