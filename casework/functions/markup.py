@@ -17,8 +17,9 @@ from pyspark.sql import Column, functions as F
 from casework.functions.arrays import filled, let, running_sum
 
 # What is dropped before reading a page, and tags that never enclose text.
-NOISE = r"(?is)<!--.*?-->|<style\b.*?</style\s*>|<!DOCTYPE[^>]*>"
-SCRIPT = r"(?is)<script\b.*?</script\s*>"
+NOISE = (
+    r"(?is)(?=<[s!])(?:(<script)\b.*?</script\s*(>)|<style\b.*?</style\s*>|<!--.*?-->|<!doctype[^>]*>)"
+)
 TAG = r"<[^<]+?>"
 VOID = "area|base|br|col|embed|hr|input|link|meta|script|source|track|wbr"
 
@@ -43,7 +44,7 @@ def clean(html: Column) -> Column:
 
     A script shrinks to a bare tag: its code goes, the fact that there was one stays.
     """
-    return F.regexp_replace(F.regexp_replace(html, SCRIPT, "<script>"), NOISE, "")
+    return F.regexp_replace(html, NOISE, "$1$2")
 
 
 def strip_tags(markup: Column) -> Column:
@@ -85,17 +86,16 @@ def _class(value: str, exact: bool) -> str:
     return rf"(?=[^<>]*\sclass\s*=\s*[\"']{inner}[\"'])"
 
 
-def label(html: Column, tag: str = "div") -> Column:
-    """Write the nesting depth into every opening and closing ``tag``."""
-    opening, closing = F.lit(rf"(?i)^<{tag}[\s>/]"), F.lit(rf"(?i)^</{tag}[\s>/]")
+def label(html: Column) -> Column:
+    """Write the nesting depth into every opening and closing ``div``."""
 
-    def step(piece: Column) -> Column:
-        return F.when(F.rlike(piece, opening), 1).when(F.rlike(piece, closing), -1).otherwise(0)
+    def step(piece: Column, i: Column) -> Column:
+        return F.when(i == 0, 0).when(F.startswith(piece, F.lit("/")), -1).otherwise(1)
 
     def number(piece: Column, step: Column, depth: Column) -> Column:
         return (
-            F.when(step == 1, F.concat(F.lit(f"<{tag}"), depth, F.substr(piece, F.lit(len(tag) + 2))))
-            .when(step == -1, F.concat(F.lit(f"</{tag}"), depth + 1, F.substr(piece, F.lit(len(tag) + 3))))
+            F.when(step > 0, F.concat(F.lit("<div"), depth, F.substr(piece, F.lit(4))))
+            .when(step < 0, F.concat(F.lit("</div"), depth + 1, F.substr(piece, F.lit(5))))
             .otherwise(piece)
         )
 
@@ -110,7 +110,8 @@ def label(html: Column, tag: str = "div") -> Column:
             ),
         )
 
-    return let(html, lambda h: let(F.split(h, rf"(?i)(?=</?{tag}[\s>/])"), joined))
+    # All pieces but the first begin behind the bracket of a div tag.
+    return let(F.split(html, r"<(?=/?[dD][iI][vV][\s>/])"), joined)
 
 
 def divs(labelled: Column, cls: str, exact: bool = True) -> Column:
@@ -140,7 +141,7 @@ def paragraphs(labelled: Column) -> Column:
     """Contents of all ``p``; a paragraph ends at its end tag, the next ``p`` or a block."""
     return F.regexp_extract_all(
         labelled,
-        F.lit(r"(?is)<p(?=[\s>])[^>]*>(.*?)(?=</p\s*>|<p[\s>]|</?div-?\d|</?article|\z)"),
+        F.lit(r"(?is)<p(?=[\s>])[^>]*>(.*?)(?=<(?:/p\s*>|p[\s>]|/?div-?\d|/?article)|\z)"),
         F.lit(1),
     )
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from zlib import crc32
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from casework.functions.arrays import let
@@ -10,8 +13,11 @@ from casework.functions.arrays import let
 SUFFIXES = "市|县|区"
 
 # Up to these bounds the names travel inside the query; beyond, they are joined.
-INLINE_NAMES, INLINE_CHARS = 20_000, 1_000_000
-SEP = "\u0001"
+INLINE_NAMES, INLINE_CHARS, INLINE_LENGTH = 20_000, 1_000_000, 200
+# Joined names are broadcast up to these bounds (well under 1 GB), and shuffled beyond.
+BROADCAST_NAMES, BROADCAST_CHARS = 3_000_000, 60_000_000
+# Separators inside the constants that carry the names.
+BUCKET, ENTRY, VALUE, NAME = "\u0001", "\u0002", "\u0003", "\u0004"
 
 
 def clean_gazetteer(names: DataFrame, kind: str = "kind", name: str = "name") -> DataFrame:
@@ -44,34 +50,90 @@ def _grams(text: Column, size: int) -> Column:
     return F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{size}}}))"), F.lit(1))
 
 
-def _literal(names: list[str]) -> Column:
-    # One string that Spark folds into a constant array.
-    return F.split(F.lit(SEP.join(names)), SEP) if names else F.array().cast("array<string>")
+def _escape(char: str) -> str:
+    return "\\" + char if char.isascii() and not char.isalnum() else char
 
 
-def _names_in(text: Column, names: list[str]) -> Column:
-    """Names that occur in a text, for a bounded list.
+def name_pattern(names: list[str]) -> str:
+    """Pattern for the longest of ``names`` that begins at a position.
 
-    Names are grouped by length (1, 2-3, 4-7, 8-15, ..); per group one pass over
-    the text finds the name heads that occur, and only names with such a head
-    are looked up.
+    Names share their common beginnings, and many different next characters are
+    told apart by ranges first, so a position in the text costs a few comparisons
+    however many names there are.
     """
 
-    def group_in(size: int) -> Column | None:
-        group = [n for n in names if size <= len(n) < 2 * size]
-        if not group:
-            return None
-        heads = sorted({n[:size] for n in group})
+    def alternatives(patterns: list[str]) -> str:
+        return patterns[0] if len(patterns) == 1 else f"(?:{'|'.join(patterns)})"
+
+    def branch(options: list[str]) -> str:
+        by_char: dict[str, list[str]] = {}
+        for option in options:
+            by_char.setdefault(option[:1], []).append(option[1:])
+        ends = by_char.pop("", None)
+        arms = [(c, _escape(c) + branch(rest)) for c, rest in sorted(by_char.items())]
+        if not arms:
+            return ""
+        if len(arms) > 16:
+            width = round(len(arms) ** 0.5)
+            ranges = [arms[i : i + width] for i in range(0, len(arms), width)]
+            pattern = alternatives(
+                [f"(?=[{_escape(r[0][0])}-{_escape(r[-1][0])}]){alternatives([p for _, p in r])}" for r in ranges]
+            )
+        else:
+            pattern = alternatives([p for _, p in arms])
+        return f"(?:{pattern})?" if ends else pattern
+
+    return branch(sorted(set(names)))
+
+
+def _lookup(entries: dict[str, str]) -> Callable[[Column], Column]:
+    """Look up a bounded table inside a row; NULL for other keys.
+
+    The entries lie in hash buckets of a constant array, so one costs the same
+    however many there are.
+    """
+    buckets = [""] * max(len(entries) // 4, 1)
+    for key, value in entries.items():
+        buckets[crc32(key.encode()) % len(buckets)] += f"{ENTRY}{key}{VALUE}{value}"
+
+    def get(key: Column) -> Column:
+        # Spark folds the split of a literal into a constant array.
+        place = (F.crc32(key.cast("binary")) % len(buckets)).cast("int")
+        bucket = F.concat(F.get(F.split(F.lit(BUCKET.join(buckets)), BUCKET), place), F.lit(ENTRY))
+        start = F.concat(F.lit(ENTRY), key, F.lit(VALUE))
         return let(
-            F.array_intersect(_literal(heads), _grams(text, size)),
-            lambda hit: F.filter(
-                _literal(group), lambda n: F.array_contains(hit, F.substring(n, 1, size)) & F.contains(text, n)
-            ),
+            F.split_part(bucket, start, F.lit(2)),
+            lambda rest: F.when(rest != "", F.substring_index(rest, ENTRY, 1)),
         )
 
-    longest = max(map(len, names), default=0)
-    found = [g for g in (group_in(1 << i) for i in range(longest.bit_length())) if g is not None]
-    return F.array_sort(F.concat(*found)) if found else F.array().cast("array<string>")
+    return get
+
+
+def _names_in(text: Column, names: list[str]) -> Column:
+    """All names of a bounded list that occur in a text, overlapping ones included.
+
+    One pass finds the longest name at every position; the shorter names it begins
+    with occur there as well.
+    """
+    if not names:
+        return F.array().cast("array<string>")
+    known = set(names)
+    within = {n: [n[:i] for i in range(1, len(n)) if n[:i] in known] for n in names}
+    shorter = _lookup({n: NAME.join(w) for n, w in within.items() if w})
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?=({name_pattern(names)}))"), F.lit(1)))
+    return let(
+        found,
+        lambda longest: F.array_sort(
+            F.array_union(
+                longest,
+                F.flatten(
+                    F.filter(
+                        F.transform(longest, lambda n: F.split(shorter(n), NAME)), lambda w: w.isNotNull()
+                    )
+                ),
+            )
+        ),
+    )
 
 
 def tag_places(
@@ -83,21 +145,28 @@ def tag_places(
 ) -> DataFrame:
     """Add ``places`` (all names in the text), ``city`` and ``county`` (one each).
 
-    A gazetteer within the bounds is put into the query and every page is tagged
+    A gazetteer within the bounds becomes one pattern and every page is tagged
     where it lies, without a shuffle.  A larger one is joined on equal pieces of
     text, see :func:`tag_places_by_join`.
     """
     rows = gazetteer.select("kind", "place").distinct().limit(inline_names + 1).collect()
-    if len(rows) > inline_names or sum(len(r.place) for r in rows) > INLINE_CHARS:
+    lengths = [len(r.place) for r in rows]
+    if len(rows) > inline_names or sum(lengths) > INLINE_CHARS or max(lengths, default=0) > INLINE_LENGTH:
         return tag_places_by_join(pages, gazetteer, text, key)
-    by_kind = {k: sorted({r.place for r in rows if r.kind == k}) for k in ("city", "county")}
+    kinds: dict[str, str] = {}
+    for r in rows:
+        kinds[r.place] = kinds.get(r.place, "") + r.kind
+    kind_of = _lookup(kinds)
     tagged = pages.withColumn("_text", F.coalesce(text, F.lit(""))).withColumn(
         "places", _names_in(F.col("_text"), sorted({r.place for r in rows}))
     )
-    return tagged.select(
+    return tagged.withColumn("_kinds", F.transform("places", kind_of)).select(
         *pages.columns,
         "places",
-        *[best_place(F.array_intersect("places", _literal(by_kind[k]))).alias(k) for k in ("city", "county")],
+        *[
+            best_place(F.filter("places", lambda p, i: F.contains(F.get(F.col("_kinds"), i), F.lit(k)))).alias(k)
+            for k in ("city", "county")
+        ],
     )
 
 
@@ -106,11 +175,19 @@ def tag_places_by_join(pages: DataFrame, gazetteer: DataFrame, text: Column, key
 
     Each text is cut into its distinct pieces of the name lengths present; a name
     occurs exactly if it equals a piece, so an equi-join finds it.  Only keys and
-    pieces are shuffled; matches are combined per text before they meet the pages.
-    The text digest keeps versions of one page apart.
+    pieces take part; matches are combined per text before they meet the pages.
+    The text digest keeps versions of one page apart.  The names are broadcast
+    only after their size was measured.
     """
     names = gazetteer.select("kind", "place").distinct()
-    sizes = sorted(r.n for r in names.select(F.length("place").alias("n")).distinct().collect())
+    per_size = names.groupBy(F.length("place").alias("size")).count().collect()
+    sizes = sorted(r["size"] for r in per_size)
+    fits = (
+        sum(r["count"] for r in per_size) <= BROADCAST_NAMES
+        and sum(r["count"] * r["size"] for r in per_size) <= BROADCAST_CHARS
+    )
+    # Spark must not take the pieces for small because the page table is.
+    names = F.broadcast(names) if fits else names.hint("merge")
     marked = pages.withColumn("_text", F.coalesce(text, F.lit(""))).withColumn("_digest", F.xxhash64("_text"))
     pieces = F.array_distinct(F.concat(*[_grams(F.col("_text"), n) for n in sizes])) if sizes else F.array().cast(
         "array<string>"

@@ -139,7 +139,7 @@ def layout_2(ps: Column) -> Column:
             markup.anchor_text(p, NAME_LINK_2),
             lambda name: F.struct(
                 F.when(name != "", name).alias("name"),
-                F.when((name != "") | F.rlike(p, F.lit(r"(?i)<img\s")), "")
+                F.when((name != "") | (F.size(markup.images(p)) > 0), "")
                 .otherwise(markup.unescape(markup.strip_tags(p)))
                 .alias("text"),
                 F.when(name == "", markup.images(p)).otherwise(F.array()).alias("images"),

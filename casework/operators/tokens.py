@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from casework.functions import markup
-from casework.functions.arrays import let, running_sum
+from casework.functions.arrays import running_sum
 
 
 def token_table(pages: DataFrame, keys: tuple[str, ...] = ("page_id",), html: str = "html") -> DataFrame:
@@ -17,16 +17,18 @@ def token_table(pages: DataFrame, keys: tuple[str, ...] = ("page_id",), html: st
     """
     tokens = F.regexp_extract_all(markup.clean(F.col(html)), F.lit(r"<[^<>]+>|[^<]+"), F.lit(0))
     # A closing tag still lies in its element, so the step down comes one token later.
-    steps = let(
-        F.col("tokens"),
-        lambda t: F.transform(
-            t,
-            lambda x, i: F.when(F.rlike(x, F.lit(r"(?i)^<div[\s>/]")), 1).otherwise(0)
-            - F.when((i > 0) & F.rlike(F.get(t, i - 1), F.lit(r"(?i)^</div[\s>]")), 1).otherwise(0),
-        ),
+    ups = F.transform(F.col("names"), lambda n: F.when(n == "div", 1).otherwise(0))
+    downs = F.concat(
+        F.array(F.lit(0)),
+        F.transform(F.col("names"), lambda n: F.when(n == "/div", 1).otherwise(0)),
     )
+    steps = F.zip_with(ups, F.slice(downs, F.lit(1), F.size("names")), lambda up, down: up - down)
     rows = (
         pages.select(*keys, tokens.alias("tokens"))
+        .withColumn(
+            "names",
+            F.transform("tokens", lambda t: F.lower(F.regexp_extract(t, r"^<(/?[A-Za-z][A-Za-z0-9]*)", 1))),
+        )
         .select(*keys, "tokens", running_sum(steps).alias("depths"))
         .select(*keys, F.posexplode(F.arrays_zip("tokens", "depths")).alias("idx", "token"))
     )

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from casework.functions import coding, markup
 from casework.operators import cases, filters, places, posts, sampling, tokens, urls
 from casework.plans import decorated as deco
+from casework.sources.pages import read_table
 from casework.sources.stores import CaseLog, work_dir
 from casework.streaming.incremental import code_arriving, page_stream
 
@@ -41,7 +42,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_table(spark, f"{sf_dir}/{name}.parquet")
 
 
 def _pages(spark: SparkSession, sf_dir: str, html: str = "html", url: str = "url") -> DataFrame:

@@ -11,9 +11,19 @@ from casework.operators.places import clean_gazetteer
 PAGE_SCHEMA = "page_id BIGINT, url STRING, html STRING"
 
 
-def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Page table ``url, html`` (and whatever else it holds)."""
-    return spark.read.parquet(path)
+INPUT_PARTITIONS = "spark.casework.inputPartitions"
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A stored table.
+
+    A small file may be a single row group, which one task would read alone.  Set
+    ``spark.casework.inputPartitions`` to spread such rows over the cores; leave it
+    unset for large tables, whose splits are the right tasks already.
+    """
+    rows = spark.read.parquet(path)
+    spread = spark.conf.get(INPUT_PARTITIONS, None)
+    return rows.repartition(int(spread)) if spread else rows
 
 
 def read_page_files(spark: SparkSession, path: str, encoding: str = "UTF-8", pattern: str = "*.html") -> DataFrame:
