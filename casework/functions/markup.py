@@ -23,9 +23,9 @@ NOISE = (
 TAG = r"<[^<]+?>"
 VOID = "area|base|br|col|embed|hr|input|link|meta|script|source|track|wbr"
 
-# Character entities; the ampersand must come last.
+# Named character entities.
 ENTITIES = {
-    "&nbsp;": " ",
+    "&nbsp;": " ",
     "&lt;": "<",
     "&gt;": ">",
     "&quot;": '"',
@@ -35,6 +35,7 @@ ENTITIES = {
     "&hellip;": "…",
     "&amp;": "&",
 }
+ENTITY_MAP = "map({})".format(", ".join(f'"{k}", "{v}"' if v != '"' else f"'{k}', '{v}'" for k, v in ENTITIES.items()))
 
 IMG_OPEN, IMG_CLOSE = "\u0002", "\u0003"
 
@@ -55,24 +56,25 @@ def strip_tags(markup: Column) -> Column:
 def unescape(text: Column) -> Column:
     """Resolve numeric and the common named character entities."""
 
-    def numeric(piece: Column) -> Column:
+    def numeric(entity: Column) -> Column:
         code = F.coalesce(
-            F.conv(filled(F.regexp_extract(piece, r"^&#[xX]([0-9a-fA-F]{1,6});$", 1)), 16, 16),
-            F.conv(filled(F.regexp_extract(piece, r"^&#([0-9]{1,7});$", 1)), 10, 16),
+            F.conv(filled(F.regexp_extract(entity, r"^&#[xX]([0-9a-fA-F]{1,6});$", 1)), 16, 16),
+            F.conv(filled(F.regexp_extract(entity, r"^&#([0-9]{1,7});$", 1)), 10, 16),
         )
-        return F.coalesce(F.decode(F.unhex(F.lpad(code, 8, "0")), "UTF-32"), piece)
+        return F.coalesce(F.decode(F.unhex(F.lpad(code, 8, "0")), "UTF-32"), entity)
 
-    def numbered(t: Column) -> Column:
-        pieces = F.regexp_extract_all(t, F.lit(r"&#[0-9a-fA-FxX]{1,7};|[^&]+|&"), F.lit(0))
-        return F.when(F.contains(t, F.lit("&#")), F.array_join(F.transform(pieces, numeric), "")).otherwise(t)
+    def resolve(piece: Column) -> Column:
+        return (
+            F.when(F.startswith(piece, F.lit("&#")), numeric(piece))
+            .when(F.startswith(piece, F.lit("&")), F.coalesce(F.try_element_at(F.expr(ENTITY_MAP), piece), piece))
+            .otherwise(piece)
+        )
 
-    def named(t: Column) -> Column:
-        value = t
-        for entity, char in ENTITIES.items():
-            value = F.replace(value, F.lit(entity), F.lit(char))
-        return F.when(F.contains(t, F.lit("&")), value).otherwise(t)
+    def joined(t: Column) -> Column:
+        pieces = F.regexp_extract_all(t, F.lit("&#?[0-9a-zA-Z]{1,8};|[^&]+|&"), F.lit(0))
+        return F.when(F.contains(t, F.lit("&")), F.array_join(F.transform(pieces, resolve), "")).otherwise(t)
 
-    return let(let(text, numbered), named)
+    return let(text, joined)
 
 
 def squeeze(text: Column) -> Column:

@@ -188,7 +188,8 @@ def upsert_sql() -> str:
         for f in CASE_FIELDS.split(", ")
     )
     return f"""WITH {CASES},
-    o AS (SELECT url, {CASE_FIELDS.replace('headline', "'stored' AS headline")} FROM cs WHERE page_id % 2 = 1)
+    o AS (SELECT url, 'None' AS date, 'none' AS city, 'none' AS county, 'stored' AS headline, md5(url) AS content,
+          'none' AS keyword1, 'none' AS keyword2, 'NA' AS people FROM pages WHERE page_id % 2 = 1)
     SELECT n.url, {merged} FROM cs n LEFT JOIN o ON o.url = n.url"""
 
 

@@ -180,14 +180,21 @@ def case_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def case_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     new = _cases(spark, sf_dir)
-    stored = new.filter(F.col("page_id") % 2 == 1).withColumn("headline", F.lit("stored"))
+    # The stored table: every other page with an earlier, poorer record.
+    pages = table(spark, sf_dir, "pages").filter(F.col("page_id") % 2 == 1)
+    filled = {"url": F.col("url"), "headline": F.lit("stored"), "content": F.md5("url")}
+    types = {f.name: f.dataType for f in new.schema}
+    stored = pages.select(
+        *[filled.get(c, F.lit(None)).cast(types[c]).alias(c) for c in cases.CASE_COLUMNS]
+    )
     return cases.with_sentinels(cases.upsert(stored, new, "page_id"))
 
 
 def constraint_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _cases(spark, sf_dir)
     # Every tenth URL twice, so that there is something to find.
-    return cases.constraint_report(rows.unionByName(rows.filter(F.col("page_id") % 10 == 0)).drop("page_id"))
+    copies = F.sequence(F.lit(1), F.when(F.col("page_id") % 10 == 0, 2).otherwise(1))
+    rows = _cases(spark, sf_dir).withColumn("copy", F.explode(copies))
+    return cases.constraint_report(rows.drop("page_id", "copy"))
 
 
 def keyword_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

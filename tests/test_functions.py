@@ -130,8 +130,8 @@ def test_clean_keeps_only_that_there_was_a_script(values):
 
 
 def test_unescape(values):
-    texts = ["a &amp; b &lt;&gt;&quot;", "&#20013;&#x4e2d;&#999", "&amp;lt;", "plain", None]
-    assert values(markup.unescape, texts) == ['a & b <>"', "中中&#999", "&lt;", "plain", None]
+    texts = ["a &amp; b &lt;&gt;&quot;", "&#20013;&#x4e2d;&#999", "&amp;lt; &quot;&apos;&nope;", "plain", None]
+    assert values(markup.unescape, texts) == ['a & b <>"', "中中&#999", "&lt; \"'&nope;", "plain", None]
 
 
 def test_short_posts(values):
