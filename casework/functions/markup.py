@@ -37,6 +37,7 @@ ENTITIES = {
 }
 ENTITY_MAP = "map({})".format(", ".join(f'"{k}", "{v}"' if v != '"' else f"'{k}', '{v}'" for k, v in ENTITIES.items()))
 
+IMAGE = r"(?is)<img(?=\s)[^>]*\ssrc\s*=\s*[\"']?([^\"'\s>]+)"
 IMG_OPEN, IMG_CLOSE = "\u0002", "\u0003"
 
 
@@ -83,9 +84,14 @@ def squeeze(text: Column) -> Column:
 
 
 def _class(value: str, exact: bool) -> str:
+    """Look-ahead for a class attribute: the whole value, or one of its words."""
     # A selector with several classes is compared as a whole, like an exact one.
-    inner = value if exact or " " in value else rf"(?:[^\"']*\s)?{value}(?:\s[^\"']*)?"
-    return rf"(?=[^<>]*\sclass\s*=\s*[\"']{inner}[\"'])"
+    words = exact or " " in value
+    quoted = [
+        f"{q}{value if words else rf'(?:[^{q}]*\s)?{value}(?:\s[^{q}]*)?'}{q}" for q in ('"', "'")
+    ]
+    bare = [] if " " in value else [rf"{value}(?=[\s>/])"]
+    return rf"(?=[^<>]*\s(?i:class)\s*=\s*(?:{'|'.join(quoted + bare)}))"
 
 
 def label(html: Column) -> Column:
@@ -163,7 +169,7 @@ def anchor_text(markup: Column, cls: str | None = None) -> Column:
 
 def images(markup: Column) -> Column:
     """``src`` of every image, in order."""
-    return F.regexp_extract_all(markup, F.lit(r"(?is)<img(?=\s)[^>]*\ssrc\s*=\s*[\"']([^\"'>]*)[\"']"), F.lit(1))
+    return F.regexp_extract_all(markup, F.lit(IMAGE), F.lit(1))
 
 
 def own_markup(markup: Column, keep: tuple[str, ...], sep: str = "") -> Column:
@@ -175,11 +181,7 @@ def own_markup(markup: Column, keep: tuple[str, ...], sep: str = "") -> Column:
     step count is the number of end tags, so any nesting is resolved.  ``sep``
     takes the place of what is removed.
     """
-    marked = F.regexp_replace(
-        markup,
-        r"(?is)<img(?=\s)[^>]*\ssrc\s*=\s*[\"']([^\"'>]*)[\"'][^>]*>",
-        f"{IMG_OPEN}$1{IMG_CLOSE}",
-    )
+    marked = F.regexp_replace(markup, rf"{IMAGE}[^>]*>", f"{IMG_OPEN}$1{IMG_CLOSE}")
     plain = F.regexp_replace(marked, rf"(?i)<(?:{VOID}|img)\b[^<>]*>|</?(?:{'|'.join(keep)})(?=[\s>/\d-])[^<>]*>", sep)
     return let(
         plain,

@@ -141,15 +141,20 @@ def upsert(stored: DataFrame, new: DataFrame, order: str) -> DataFrame:
     return resolve(rows, ("_order",), F.col("_old"))
 
 
-def constraint_report(cases: DataFrame) -> DataFrame:
-    """``check, violations``: missing values per column, and URLs that occur again."""
-    columns = [c for c in cases.columns if c in CASE_COLUMNS]
-    per_url = cases.groupBy("url").agg(
+def constraint_report(
+    rows: DataFrame, required: tuple[str, ...] = CASE_COLUMNS, unique: bool = True, key: str = "url"
+) -> DataFrame:
+    """``check, violations``: missing values per column, and keys that occur again.
+
+    Posts are checked with ``required=POST_REQUIRED, unique=False``.
+    """
+    per_key = rows.groupBy(key).agg(
         F.count("*").alias("n"),
-        *[F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in columns],
+        *[F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in required],
     )
-    total = per_url.agg(
-        F.coalesce(F.count_if((F.col("n") > 1) & F.col("url").isNotNull()), F.lit(0)).alias("duplicate_url"),
-        *[F.coalesce(F.sum(f"null_{c}"), F.lit(0)).alias(f"null_{c}") for c in columns],
+    repeated = F.count_if((F.col("n") > 1) & F.col(key).isNotNull())
+    total = per_key.agg(
+        *([F.coalesce(repeated, F.lit(0)).alias(f"duplicate_{key}")] if unique else []),
+        *[F.coalesce(F.sum(f"null_{c}"), F.lit(0)).alias(f"null_{c}") for c in required],
     )
     return total.unpivot([], total.columns, "check", "violations")

@@ -46,10 +46,6 @@ def best_place(places: Column) -> Column:
     return ranked["p"]
 
 
-def _grams(text: Column, size: int) -> Column:
-    return F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{size}}}))"), F.lit(1))
-
-
 def _escape(char: str) -> str:
     return "\\" + char if char.isascii() and not char.isalnum() else char
 
@@ -173,28 +169,58 @@ def tag_places(
 def tag_places_by_join(pages: DataFrame, gazetteer: DataFrame, text: Column, key: str = "url") -> DataFrame:
     """The same for a gazetteer of any size.
 
-    Each text is cut into its distinct pieces of the name lengths present; a name
-    occurs exactly if it equals a piece, so an equi-join finds it.  Only keys and
-    pieces take part; matches are combined per text before they meet the pages.
-    The text digest keeps versions of one page apart.  The names are broadcast
-    only after their size was measured.
+    Names are grouped by length (1, 2-3, 4-7, 8-15, ..).  For each group a text is
+    cut into its distinct windows of that width; windows whose head no name has are
+    dropped by a semi-join, and the beginnings of the others are joined to the names
+    on equality.  Both joins are on unique values, so no key meets many partners.
+    Only keys and windows take part; matches are combined per text before they meet
+    the pages, and the text digest keeps versions of one page apart.  The names are
+    broadcast only after their size was measured.
     """
     names = gazetteer.select("kind", "place").distinct()
     per_size = names.groupBy(F.length("place").alias("size")).count().collect()
-    sizes = sorted(r["size"] for r in per_size)
     fits = (
         sum(r["count"] for r in per_size) <= BROADCAST_NAMES
         and sum(r["count"] * r["size"] for r in per_size) <= BROADCAST_CHARS
     )
-    # Spark must not take the pieces for small because the page table is.
-    names = F.broadcast(names) if fits else names.hint("merge")
+
+    def bounded(df: DataFrame) -> DataFrame:
+        # Spark must not take the windows for small because the page table is.
+        return F.broadcast(df) if fits else df.hint("merge")
+
+    groups: dict[int, list[int]] = {}
+    for r in per_size:
+        groups.setdefault(1 << (r["size"].bit_length() - 1), []).append(r["size"])
+
+    def head(value: Column) -> Column:
+        width = F.lit(None).cast("int")
+        for size in sorted(groups):
+            width = F.when(F.length(value) >= size, F.lit(size)).otherwise(width)
+        return F.substring(value, 1, width)
+
+    def beginnings(window: Column) -> Column:
+        sizes = F.lit(None).cast("array<int>")
+        for size in sorted(groups):
+            sizes = F.when(F.length(window) >= size, F.lit(sorted(groups[size]))).otherwise(sizes)
+        return F.transform(
+            F.filter(sizes, lambda n: n <= F.length(window)), lambda n: F.substring(window, F.lit(1), n)
+        )
+
+    def windows(value: Column, size: int) -> Column:
+        pattern = rf"(?s)(?=(.{{{size},{2 * size - 1}}}))"
+        return F.regexp_extract_all(value, F.lit(pattern), F.lit(1))
+
     marked = pages.withColumn("_text", F.coalesce(text, F.lit(""))).withColumn("_digest", F.xxhash64("_text"))
-    pieces = F.array_distinct(F.concat(*[_grams(F.col("_text"), n) for n in sizes])) if sizes else F.array().cast(
-        "array<string>"
+    cut = F.array_distinct(
+        F.concat(F.array().cast("array<string>"), *[windows(F.col("_text"), size) for size in sorted(groups)])
     )
+    heads = names.select(head(F.col("place")).alias("_head")).distinct()
     matches = (
-        marked.select(key, "_digest", F.explode(pieces).alias("place"))
-        .join(names, "place")
+        marked.select(key, "_digest", F.explode(cut).alias("_window"))
+        .withColumn("_head", head(F.col("_window")))
+        .join(bounded(heads), "_head", "left_semi")
+        .select(key, "_digest", F.explode(beginnings(F.col("_window"))).alias("place"))
+        .join(bounded(names), "place")
         .groupBy(key, "_digest")
         .agg(
             F.array_sort(F.collect_set("place")).alias("places"),
@@ -204,12 +230,9 @@ def tag_places_by_join(pages: DataFrame, gazetteer: DataFrame, text: Column, key
             ],
         )
     )
-    return (
-        marked.join(matches, [key, "_digest"], "left")
-        .select(
-            *[F.col(c) for c in pages.columns],
-            F.coalesce("places", F.array().cast("array<string>")).alias("places"),
-            "city",
-            "county",
-        )
+    return marked.join(matches, [key, "_digest"], "left").select(
+        *[F.col(c) for c in pages.columns],
+        F.coalesce("places", F.array().cast("array<string>")).alias("places"),
+        "city",
+        "county",
     )

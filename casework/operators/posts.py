@@ -26,6 +26,7 @@ CONTAINER = "content"
 POST_TYPE = (
     "array<struct<layout:string,post_seq:int,nickname:string,post:string,images:array<string>>>"
 )
+POST_REQUIRED = ("url", "source_post_id", "nickname", "post")
 POST_SCHEMA = (
     "url STRING, source_post_id BIGINT, layout STRING, post_seq INT, nickname STRING, post STRING, "
     "images ARRAY<STRING>"

@@ -14,16 +14,20 @@ PAGE_SCHEMA = "page_id BIGINT, url STRING, html STRING"
 INPUT_PARTITIONS = "spark.casework.inputPartitions"
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """A stored table.
+def spread(rows: DataFrame) -> DataFrame:
+    """Spread a tiny input over the cores.
 
     A small file may be a single row group, which one task would read alone.  Set
-    ``spark.casework.inputPartitions`` to spread such rows over the cores; leave it
-    unset for large tables, whose splits are the right tasks already.
+    ``spark.casework.inputPartitions`` for such inputs; leave it unset for large
+    tables, whose splits are the right tasks already.
     """
-    rows = spark.read.parquet(path)
-    spread = spark.conf.get(INPUT_PARTITIONS, None)
-    return rows.repartition(int(spread)) if spread else rows
+    parts = rows.sparkSession.conf.get(INPUT_PARTITIONS, None)
+    return rows.repartition(int(parts)) if parts else rows
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A stored table."""
+    return spread(spark.read.parquet(path))
 
 
 def read_page_files(spark: SparkSession, path: str, encoding: str = "UTF-8", pattern: str = "*.html") -> DataFrame:

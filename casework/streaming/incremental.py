@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from casework.operators.cases import case_records
-from casework.sources.pages import PAGE_SCHEMA
+from casework.sources.pages import PAGE_SCHEMA, spread
 from casework.sources.stores import CaseLog
 
 
@@ -17,7 +17,7 @@ def page_stream(
     reader = spark.readStream.schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(path)
+    return spread(reader.parquet(path))
 
 
 def code_arriving(

@@ -117,6 +117,21 @@ def test_nested_divs_of_one_class_are_all_found(values):
     assert found == ['a<div2 class="q">b</div2>c', "b", "d"]
 
 
+def test_class_attributes_in_every_spelling(values):
+    pages = [
+        "<div CLASS='content'>a</div>", "<div id=x class=content>b</div>", '<div class="content x">c</div>',
+        '<div class="x content">d</div>', '<div class="contents">e</div>', "<DIV class = \"content\" >f</DIV>",
+        '<div data-class="content">g</div>', "<div>class=content</div>",
+    ]
+    read = lambda exact: values(lambda t: markup.first_div(markup.label(t), "content", exact), pages)
+    assert read(True) == ["a", "b", None, None, None, "f", None, None]
+    assert read(False) == ["a", "b", "c", "d", None, "f", None, None]
+
+
+def test_image_addresses(values):
+    assert values(markup.images, ["<img src=a.png><IMG alt='x' SRC='b.png'/><image src=c><img data-src=\"d\">"]) == [["a.png", "b.png"]]
+
+
 def test_deep_and_wide_pages(values):
     deep = "<div>" * 700 + '<div class="content">x</div>' + "</div>" * 700
     wide = "<div>a</div>" * 3000 + '<div class="content">y<div>z</div></div>' + "<p>b</p>" * 3000

@@ -130,6 +130,39 @@ def test_constraints(spark):
     assert got["null_date"] == 4
 
 
+def test_post_constraints(spark):
+    rows = [("u", None, "1a", 0, "n", "p", None), ("u", 1, "1a", 1, None, "p", None)]
+    report = cases.constraint_report(spark.createDataFrame(rows, posts.POST_SCHEMA), posts.POST_REQUIRED, unique=False)
+    assert {r.check: r.violations for r in report.collect()} == {
+        "null_url": 0, "null_source_post_id": 1, "null_nickname": 1, "null_post": 0,
+    }
+
+
+def test_one_url_may_hold_a_third_of_all_rows(spark):
+    n = 3000
+    ids = spark.range(n).withColumn("url", F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("u"), "id")))
+    assert urls.frontier(ids, ids.filter("id % 3 = 1")).count() == 1001
+    assert urls.frontier(ids, ids.filter("id % 3 = 0")).count() == 2000
+    gaz = spark.createDataFrame([("city", "平原"), ("county", "东镇")], "kind STRING, place STRING")
+    text = F.concat(F.when(F.col("id") % 2 == 0, "平原").otherwise("东镇"), (F.col("id") + 10).cast("string"), F.lit("人"))
+    post = F.concat(F.lit('<div class="WB_info"><a>n</a></div><div class="WB_text">weibo post '), F.col("id") % 5, F.lit("</div>"))
+    pages = ids.select(
+        F.col("id").alias("page_id"), "url",
+        F.concat(F.lit("<title>t"), "id", F.lit('</title><div class="content">'), text, F.lit("</div>"), post).alias("html"),
+    )
+    for limit in (10, 0):
+        texts = cases.page_texts(pages)
+        tagged = places.tag_places(texts, gaz, F.col("content"), inline_names=limit)
+        got = tagged.groupBy(F.col("page_id") % 2).agg(F.collect_set("places"), F.count("*")).collect()
+        assert {(r[0], str(r[1]), r[2]) for r in got} == {(0, "[['平原']]", 1500), (1, "[['东镇']]", 1500)}
+    coded = cases.case_records(pages, gaz, keep=("page_id",))
+    merged = cases.upsert(coded.filter("page_id = 0"), coded, "page_id")
+    assert merged.count() == 2001
+    assert merged.filter("url = 'hot'").first().headline == "t2997"
+    found = posts.all_posts(pages)
+    assert found.count() == 2005 and found.filter("url = 'hot'").count() == 5
+
+
 def test_log_equals_upserts_and_reruns_change_nothing(spark):
     batches = [
         [_case("a", "1", "x", 1), _case("b", "Service", "x", 2)],
