@@ -59,10 +59,17 @@ def unescape(text: Column) -> Column:
 
     def numeric(entity: Column) -> Column:
         code = F.coalesce(
-            F.conv(filled(F.regexp_extract(entity, r"^&#[xX]([0-9a-fA-F]{1,6});$", 1)), 16, 16),
-            F.conv(filled(F.regexp_extract(entity, r"^&#([0-9]{1,7});$", 1)), 10, 16),
+            F.conv(filled(F.regexp_extract(entity, r"^&#[xX]([0-9a-fA-F]{1,6});$", 1)), 16, 10),
+            filled(F.regexp_extract(entity, r"^&#([0-9]{1,7});$", 1)),
+        ).cast("int")
+        # Surrogates and numbers beyond the last character stay as written.
+        return let(
+            code,
+            lambda n: F.when(
+                ((n > 0) & (n < 0xD800)) | ((n > 0xDFFF) & (n <= 0x10FFFF)),
+                F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32"),
+            ).otherwise(entity),
         )
-        return F.coalesce(F.decode(F.unhex(F.lpad(code, 8, "0")), "UTF-32"), entity)
 
     def resolve(piece: Column) -> Column:
         return (

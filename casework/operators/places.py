@@ -147,7 +147,9 @@ def tag_places(
     """
     rows = gazetteer.select("kind", "place").distinct().limit(inline_names + 1).collect()
     lengths = [len(r.place) for r in rows]
-    if len(rows) > inline_names or sum(lengths) > INLINE_CHARS or max(lengths, default=0) > INLINE_LENGTH:
+    bounded = sum(lengths) <= INLINE_CHARS and max(lengths, default=0) <= INLINE_LENGTH
+    plain = not any(c in r.place for r in rows for c in (BUCKET, ENTRY, VALUE, NAME))
+    if len(rows) > inline_names or not bounded or not plain:
         return tag_places_by_join(pages, gazetteer, text, key)
     kinds: dict[str, str] = {}
     for r in rows:

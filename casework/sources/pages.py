@@ -31,9 +31,13 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_page_files(spark: SparkSession, path: str, encoding: str = "UTF-8", pattern: str = "*.html") -> DataFrame:
-    """Stored page files as ``url, html``, the URL being the file's location."""
+    """Stored page files as ``url, html``, the URL being the file's location.
+
+    Broken UTF-8 is replaced instead of failing the job.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True)
-    return files.load(path).select(F.col("path").alias("url"), F.decode("content", encoding).alias("html"))
+    text = F.make_valid_utf8(F.col("content").cast("string")) if encoding == "UTF-8" else F.decode("content", encoding)
+    return files.load(path).select(F.col("path").alias("url"), text.alias("html"))
 
 
 def read_urls(spark: SparkSession, path: str) -> DataFrame:

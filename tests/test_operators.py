@@ -45,21 +45,23 @@ NAMES = [
     ("city", "a"), ("city", "ab"), ("city", "abc"), ("county", "abc"), ("county", "bcd"), ("city", "x.y"), ("county", "(z]"),
     ("city", "北京"), ("county", "北京路"), ("county", "never"), ("city", "abcdefgh"), ("county", "^$\\d"),
 ] + [("city", chr(0x4E00 + 7 * i) + "州") for i in range(60)]
-TEXTS = ["abcd", "xxabcdefgh", "在北京路上", "x.y (z] ^$\\d", "xzy", "", None, "一州", "bcd" * 50, "x\ny"]
+TEXTS = ["abcd", "xxabcdefgh", "在北京路上", "x.y (z] ^$\\d", "xzy", "", None, "一州", "bcd" * 50, "x\ny", "a\u0002b"]
 
 
-@pytest.mark.parametrize("way", ["inline", "join"])
+@pytest.mark.parametrize("way", ["inline", "join", "odd names"])
 def test_places_equal_brute_force(spark, way):
-    gaz = spark.createDataFrame(NAMES, "kind STRING, place STRING")
+    # A name with a control character cannot be put into the constant tables.
+    names = NAMES + [("city", "\u0002b")] if way == "odd names" else NAMES
+    gaz = spark.createDataFrame(names, "kind STRING, place STRING")
     pages = spark.createDataFrame([(f"u{i}", t) for i, t in enumerate(TEXTS)], "url STRING, t STRING")
     tagged = (
         places.tag_places(pages, gaz, F.col("t"))
-        if way == "inline"
+        if way != "join"
         else places.tag_places(pages, gaz, F.col("t"), inline_names=3)
     )
     got = {r.url: r for r in tagged.collect()}
     for i, text in enumerate(TEXTS):
-        hits = [(k, p) for k, p in NAMES if p in (text or "")]
+        hits = [(k, p) for k, p in names if p in (text or "")]
         row = got[f"u{i}"]
         assert row.places == sorted({p for _, p in hits})
         for kind in ("city", "county"):
@@ -362,5 +364,8 @@ def test_sample_arguments(spark):
 def test_page_files(spark, tmp_path):
     (tmp_path / "a.html").write_text("<title>é</title>", encoding="utf-8")
     (tmp_path / "b.txt").write_text("no", encoding="utf-8")
-    rows = read_page_files(spark, str(tmp_path)).collect()
-    assert [r.html for r in rows] == ["<title>é</title>"] and rows[0].url.endswith("/a.html")
+    (tmp_path / "c.html").write_bytes(b"x\xff")
+    rows = read_page_files(spark, str(tmp_path)).orderBy("url").collect()
+    assert [r.html for r in rows] == ["<title>é</title>", "x\ufffd"] and rows[0].url.endswith("/a.html")
+    (tmp_path / "d.htm").write_bytes("é".encode("latin-1"))
+    assert read_page_files(spark, str(tmp_path), "ISO-8859-1", "*.htm").first().html == "é"
