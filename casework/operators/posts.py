@@ -23,6 +23,8 @@ NAME_LINK, NAME_LINK_2 = "WB_name S_func1", "con_name_txt S_txt1"
 NAME_CLASSES = ("WB_name", "S_func1")
 CONTAINER = "content"
 
+MENTION = r"@[\p{L}\p{N}_-]+"
+
 POST_TYPE = (
     "array<struct<layout:string,post_seq:int,nickname:string,post:string,images:array<string>>>"
 )
@@ -414,4 +416,4 @@ def protect(posts: DataFrame, key: str) -> DataFrame:
         raise ValueError("a key is needed to hash account names")
     return posts.withColumn(
         "nickname", F.sha2(F.concat(F.lit(key), F.col("nickname")), 256)
-    ).withColumn("post", F.regexp_replace("post", r"(?U)@[\w-]+", "@_"))
+    ).withColumn("post", F.regexp_replace("post", MENTION, "@_"))

@@ -450,6 +450,8 @@ def all_oracles() -> dict[str, str]:
         "posts_2": layout_2(deco.HTML_2, unique),
         "posts_3": layout_3(deco.HTML_3, unique),
         "posts_all": posts_all_sql(),
+        "post_append": rf"""SELECT url, source_post_id, layout, post_seq, sha256('{q.DEMO_KEY}' || nickname) AS nickname,
+            regexp_replace(post, '@[\p{{L}}\p{{N}}_-]+', '@_', 'g') AS post, images FROM ({posts_all_sql()})""",
         "post_sibling": sibling_sql(False),
         "post_sibling_mixed": sibling_sql(True),
         "post_noise": f"SELECT * FROM (SELECT conv_id, turn, {q.NOISY_TEXT} AS post FROM conversations) WHERE {noise_ok('post')}",

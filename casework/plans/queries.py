@@ -10,11 +10,13 @@ from casework.functions import coding, markup
 from casework.operators import cases, filters, places, posts, sampling, tokens, urls
 from casework.plans import decorated as deco
 from casework.sources.pages import read_table
-from casework.sources.stores import CaseLog, work_dir
+from casework.sources.stores import CaseLog, append_posts, work_dir
 from casework.streaming.incremental import code_arriving, page_stream
 
 SITE, EXCLUDED = "example", "blog."
 SAMPLE_SIZE, SEED = 100, 7
+# Invented names in invented posts; real ones need a secret key.
+DEMO_KEY = "demo"
 # URL with a line break on every third page.
 URL_BROKEN = "url || CASE WHEN page_id % 3 = 0 THEN chr(10) ELSE '' END"
 # Gazetteer entries: a word of each document, with suffixes and blanks for the cleaning.
@@ -232,6 +234,13 @@ def posts_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _post_rows(posts.all_posts(_pages(spark, sf_dir, deco.HTML_ALL, deco.POST_URL_UNIQUE)))
 
 
+def post_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored posts: account names hashed, mentions masked."""
+    path = work_dir(spark, "posts")
+    append_posts(posts.all_posts(_pages(spark, sf_dir, deco.HTML_ALL, deco.POST_URL_UNIQUE)), path, key=DEMO_KEY)
+    return _post_rows(spark.read.schema(posts.POST_SCHEMA).parquet(path))
+
+
 def _sibling(mixed: bool) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         pages = _pages(spark, sf_dir, deco.HTML_SIBLING, deco.POST_URL_UNIQUE)
@@ -297,6 +306,7 @@ def all_queries() -> dict[str, Query]:
         "posts_2": _layout(deco.HTML_2, "2"),
         "posts_3": _layout(deco.HTML_3, "3"),
         "posts_all": posts_all,
+        "post_append": post_append,
         "post_sibling": _sibling(False),
         "post_sibling_mixed": _sibling(True),
         "post_noise": post_noise,
