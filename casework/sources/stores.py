@@ -32,11 +32,23 @@ def work_dir(spark: SparkSession, name: str) -> str:
 
 
 class CaseLog:
-    """Case records by batch under one path."""
+    """Case records by batch under one path.
+
+    Batches are numbered from 0 by the one stream (or job) that fills the log; a
+    compacted log starts with batch ``BASE``, which no stream writes.
+    """
+
+    BASE = -1
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
+    def batches(self) -> list[int]:
+        """Numbers of the stored batches."""
+        pattern = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/batch=*")
+        files = pattern.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return sorted(int(s.getPath().getName().split("=")[1]) for s in files.globStatus(pattern) or [])
+
     def append(self, cases: DataFrame, batch: int, order: str) -> None:
         """Store a batch of records; running a batch again replaces it."""
         rows = cases.select(*CASE_COLUMNS, F.col(order).cast("bigint").alias("seq"))
@@ -44,6 +56,8 @@ class CaseLog:
 
     def records(self) -> DataFrame:
         schema = f"{CASE_SCHEMA}, seq BIGINT, batch BIGINT"
+        if not self.batches():
+            return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(self.path)
 
     def current(self) -> DataFrame:
@@ -51,14 +65,14 @@ class CaseLog:
         return resolve(self.records(), ("batch", "seq"))
 
     def compact(self, path: str) -> CaseLog:
-        """The resolved cases as the first batch of a new log.
+        """The resolved cases as the base of a new log.
 
         The new log must lie elsewhere: a path is never overwritten while read.
         """
-        if path.rstrip("/") == self.path:
-            raise ValueError("compact into another path")
         target = CaseLog(self.spark, path)
-        target.append(self.current().withColumn("seq", F.lit(0)), 0, "seq")
+        if target.path == self.path:
+            raise ValueError("compact into another path")
+        target.append(self.current().withColumn("seq", F.lit(0)), self.BASE, "seq")
         return target
 
 

@@ -27,9 +27,12 @@ def code_arriving(
 
     A batch writes only its own records, keyed by its number, so a restart after
     a failure repeats no effect; the log resolves repeated URLs when it is read.
+    A log belongs to one checkpoint: a new one starts on an empty or compacted log.
     """
 
     def store(batch: DataFrame, number: int) -> None:
+        if number < max(log.batches(), default=number):
+            raise ValueError("the log holds later batches of another stream; start on a compacted copy")
         log.append(case_records(batch, gazetteer, keep=(order,), **options), number, order)
 
     return (

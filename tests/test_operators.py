@@ -183,8 +183,12 @@ def test_log_equals_upserts_and_reruns_change_nothing(spark):
     assert {(r.url, r.headline) for r in log.current().collect()} == expected
     small = log.compact(work_dir(spark, "test-compact"))
     assert {(r.url, r.headline) for r in small.current().collect()} == expected and small.records().count() == 3
+    assert small.batches() == [CaseLog.BASE] and log.batches() == [0, 1, 2]
+    small.append(_case_table(spark, [_case("c", "8", "x", 1)]), 0, "page_id")
+    assert {(r.url, r.headline) for r in small.current().collect()} == {("a", "7"), ("b", "5"), ("c", "8")}
     with pytest.raises(ValueError):
         log.compact(log.path)
+    assert CaseLog(spark, work_dir(spark, "test-empty")).current().count() == 0
 
 
 def test_stream_in_two_deliveries(spark, tmp_path):
@@ -213,6 +217,10 @@ def test_stream_in_two_deliveries(spark, tmp_path):
     )
     whole = cases.upsert(batch.filter("false"), batch, "page_id")
     assert whole.exceptAll(log.current()).count() == 0
+    # Another checkpoint would number its batches from 0 again and replace these.
+    with pytest.raises(Exception, match="later batches"):
+        code_arriving(page_stream(spark, folder), gaz, log, str(tmp_path / "other")).awaitTermination()
+    assert whole.exceptAll(log.current()).count() == 0
 
 
 def _posts(spark, html, layouts=("1a", "1b", "2", "3"), **options):
