@@ -121,7 +121,8 @@ def resolve(records: DataFrame, order: tuple[str, ...], is_old: Column | None =
     best = F.max_by(
         F.struct(*fields), F.struct(rank.alias("rank"), *place, F.xxhash64(*fields).alias("digest"))
     ).alias("best")
-    return records.filter(F.col("url").isNotNull()).groupBy("url").agg(best).select("url", *[F.col("best")[c].alias(c) for c in fields])
+    resolved = records.filter(F.col("url").isNotNull()).groupBy("url").agg(best)
+    return resolved.select("url", *[F.col("best")[c].alias(c) for c in fields])
 
 
 def upsert(stored: DataFrame, new: DataFrame, order: str) -> DataFrame:

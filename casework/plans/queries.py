@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from casework.functions import coding, markup
+from casework.functions import coding
 from casework.operators import cases, filters, places, posts, sampling, tokens, urls
 from casework.plans import decorated as deco
 from casework.sources.pages import read_table
