@@ -184,26 +184,28 @@ def own_markup(markup: Column, keep: tuple[str, ...], sep: str = "") -> Column:
 
     What is left is the text of the node itself and of its ``keep`` children.
     Images become ``IMG_OPEN src IMG_CLOSE`` so that they can be read afterwards.
-    Elements are taken out from the innermost outwards, one level per step; the
-    step count is the number of end tags, so any nesting is resolved.  ``sep``
-    takes the place of what is removed.
+    Elements are taken out from the innermost outwards, one level per step, until
+    a step changes nothing; ``sep`` takes the place of what is removed.
     """
     marked = F.regexp_replace(markup, rf"{IMAGE}[^>]*>", f"{IMG_OPEN}$1{IMG_CLOSE}")
-    plain = F.regexp_replace(marked, rf"(?i)<(?:{VOID}|img)\b[^<>]*>|</?(?:{'|'.join(keep)})(?=[\s>/\d-])[^<>]*>", sep)
-    return let(
-        plain,
-        lambda p: F.when(
-            F.contains(p, F.lit("</")),
-            F.reduce(
-                F.regexp_extract_all(p, F.lit("</"), F.lit(0)),
-                p,
-                lambda acc, _: F.when(
-                    F.contains(acc, F.lit("</")),
-                    F.regexp_replace(acc, r"(?i)<([a-z][a-z0-9]*)\b[^<>]*>[^<]*</\1\s*>", sep),
-                ).otherwise(acc),
-            ),
-        ).otherwise(p),
-    )
+    shed = rf"(?i)<(?:{VOID}|img)\b[^<>]*>|</?(?:{'|'.join(keep)})(?=[\s>/\d-])[^<>]*>"
+    leaf = r"(?i)<([a-z][a-z0-9]*)\b[^<>]*>[^<]*</\1\s*>"
+
+    def state(text: Column, busy: Column) -> Column:
+        return F.struct(text.alias("text"), busy.alias("busy"))
+
+    def step(acc: Column, _: Column) -> Column:
+        return F.when(
+            acc["busy"],
+            let(F.regexp_replace(acc["text"], leaf, sep), lambda new: state(new, new != acc["text"])),
+        ).otherwise(acc)
+
+    def peel(text: Column) -> Column:
+        # No nesting is deeper than there are end tags.
+        ends = F.regexp_extract_all(text, F.lit("</"), F.lit(0))
+        return F.reduce(ends, state(text, F.lit(True)), step, lambda acc: acc["text"])
+
+    return let(F.regexp_replace(marked, shed, sep), peel)
 
 
 def own_text(markup: Column, keep: tuple[str, ...] = ("span",), sep: str = "") -> Column:

@@ -117,6 +117,14 @@ def test_nested_divs_of_one_class_are_all_found(values):
     assert found == ['a<div2 class="q">b</div2>c', "b", "d"]
 
 
+def test_own_text_of_nested_and_broken_markup(values):
+    texts = [
+        "<b>" * 300 + "x" + "</b>" * 300 + "y", "a</b>" * 3000 + "z", "a <b>open <i>no</i> end", "<a><span>n</span></a>k<span>s<a>n</a></span>",
+        "p<br>q<hr/>r", None, "",
+    ]
+    assert values(markup.own_text, texts) == ["y", "a" * 3000 + "z", "a open  end", "ks", "pqr", None, ""]
+
+
 def test_class_attributes_in_every_spelling(values):
     pages = [
         "<div CLASS='content'>a</div>", "<div id=x class=content>b</div>", '<div class="content x">c</div>',
