@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from casework.llm import exact_dedup
+from casework.llm import exact_dedup, jaccard_join
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,11 +15,16 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(_documents(spark, sf_dir))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.copy_groups(_documents(spark, sf_dir))
 
 
 def all_queries() -> dict[str, Query]:
     return {
+        "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
         "op4_exact_dedup": op4_exact_dedup,
     }
