@@ -15,14 +15,14 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
 #: Non-empty words of a text, A-Z in lower case.
 LOWER_WORDS = (
     "list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
-    r"'[\x20\x09-\x0D]+'), x -> x <> '')"
+    r"'[\x20\x09-\x0D]+'), lambda x: x <> '')"
 )
 
 OP3 = f"""
 WITH RECURSIVE w AS (SELECT doc_id, {LOWER_WORDS} AS ws FROM documents),
 s AS (
     SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
-        ELSE list_transform(range(1, len(ws) - 3), i -> array_to_string(ws[i:i + 4], ' ')) END) AS sh
+        ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS sh
     FROM w
 ),
 e AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS g FROM s),
