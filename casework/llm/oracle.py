@@ -34,5 +34,34 @@ SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, (SELECT min(other) FROM
 """
 
 
+OP5 = r"""
+WITH w AS (
+    SELECT doc_id, coalesce(text, '') AS t,
+        list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+        list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
+    FROM documents
+),
+b AS (
+    SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+        CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
+        CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, ws
+    FROM w
+),
+i AS (SELECT doc_id, unnest(range(1, n_words + 1)) AS i, ws FROM b),
+g AS (
+    SELECT doc_id, i, length(ws[i]) AS chars,
+        CASE WHEN i + 4 <= len(ws) THEN count(*) OVER (PARTITION BY doc_id, i + 4 <= len(ws), ws[i:i + 4]) ELSE 0 END AS n5,
+        CASE WHEN i + 64 <= len(ws) THEN count(*) OVER (PARTITION BY doc_id, i + 64 <= len(ws), hash(ws[i:i + 64])) ELSE 0 END AS n65
+    FROM i
+),
+c AS (SELECT *, max(n5) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) > 1 AS again FROM g),
+r AS (SELECT doc_id, count_if(again) AS n, sum(CASE WHEN again THEN chars ELSE 0 END) AS chars, max(n65) > 1 AS long FROM c GROUP BY doc_id)
+SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words,
+    n_words < 10 OR 100 * coalesce(r.n, 0) > 20 * n_words AS base_failed,
+    NOT (n_words < 10 OR 100 * coalesce(r.n, 0) > 20 * n_words OR 100 * coalesce(r.chars, 0) > 25 * word_chars OR coalesce(long, false)) AS kept
+FROM b LEFT JOIN r USING (doc_id)
+"""
+
+
 def all_oracles() -> dict[str, str]:
-    return {"op3_ngram_jaccard_join": OP3, "op4_exact_dedup": OP4}
+    return {"op3_ngram_jaccard_join": OP3, "op4_exact_dedup": OP4, "op5_quality_rules": OP5}

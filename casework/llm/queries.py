@@ -6,7 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from casework.llm import exact_dedup, jaccard_join, language_id, mixing
+from casework.llm import exact_dedup, jaccard_join, language_id, mixing, pieces, quality_rules, sentencepiece_codec, token_counts
+
+#: Folder of the public tokenizer files; a session may name another.
+TOKENIZERS = "spark.casework.tokenizers"
+MODEL = "piece_bpe_32k.model"
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +19,14 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def piece_model(spark: SparkSession) -> bytes:
+    return pieces.read_model(f"{spark.conf.get(TOKENIZERS, '/opt/tokenizers')}/{MODEL}")
+
+
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(_documents(spark, sf_dir), piece_model(spark))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     _, found = language_id.learn_and_predict(docs)
@@ -29,14 +41,33 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.copy_groups(_documents(spark, sf_dir))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality(_documents(spark, sf_dir)).drop("repeat_chars", "longest_repeat")
+
+
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids and of the text that they give back."""
+    rows = sentencepiece_codec.round_trip(_documents(spark, sf_dir).select("doc_id", "text"), piece_model(spark))
+    return rows.select(
+        "doc_id",
+        "n_pieces",
+        F.sha2(F.array_join("ids", " ").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+        "round_trip",
+    )
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_documents(spark, sf_dir)).drop("copies")
 
 
 def all_queries() -> dict[str, Query]:
     return {
+        "op1_token_counts": op1_token_counts,
         "op2_language_id": op2_language_id,
         "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
         "op4_exact_dedup": op4_exact_dedup,
+        "op5_quality_rules": op5_quality_rules,
+        "op6_sentencepiece": op6_sentencepiece,
         "op7_source_mixing": op7_source_mixing,
     }
