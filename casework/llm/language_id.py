@@ -177,11 +177,11 @@ def _scores(rows: list, langs: list[str], by_length: int) -> tuple[dict[str, int
     return index, out - out.mean(axis=1, keepdims=True) if len(out) else out
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score``; a column of such a name is replaced."""
-    rest = [c for c in docs.columns if c not in ("lang_pred", "score")]
+def predict(docs: DataFrame, model: Model, text: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``docs`` with the language and the score; columns of such names are replaced."""
+    rest = [c for c in docs.columns if c not in names]
     docs = docs.select(*rest)
-    schema = docs.withColumn("lang_pred", F.lit("")).withColumn("score", F.lit(0.0)).schema
+    schema = docs.withColumn(names[0], F.lit("")).withColumn(names[1], F.lit(0.0)).schema
     at = rest.index(text)
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,6 +202,6 @@ def learn_and_predict(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
 def identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """The rows of ``docs`` whose language can be told: not ``und``, and with a score of ``least`` or more."""
     model = train(stored(training_rows(docs), "sample"))
-    columns = docs.columns
-    rows = docs.select(F.struct(*columns).alias("row"), F.col("text").alias("text"))
-    return predict(rows, model).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("row.*")
+    lang, score = "__lang_pred", "__score"
+    found = predict(docs, model, names=(lang, score))
+    return found.filter((F.col(lang) != UNKNOWN) & (F.col(score) >= least)).select(*docs.columns)

@@ -173,50 +173,68 @@ def balanced(rows: DataFrame, block: int = BLOCK) -> DataFrame:
             return reduce(DataFrame.unionByName, [*decided, rows])
 
 
-def mix(
-    docs: DataFrame,
-    doc_id: str = "doc_id",
-    text: str = "text",
-    source: str = "source",
-    weights: tuple[int, ...] = WEIGHTS,
-    most: int = MOST,
-    block: int = BLOCK,
-    rest: tuple[str, ...] = (),
-) -> DataFrame:
-    """``doc_id, size, source_size, target, taken, copies`` of every row of ``docs``; ``copies`` is how often it is taken.
-
-    Columns named in ``rest`` stay in a struct ``rest``.
-    """
+def _mix_rows(docs: DataFrame, doc_id: str, text: str, source: str, weights: tuple[int, ...], most: int, block: int) -> DataFrame:
+    """``doc_id, print, number, size, source_size, target, copies``: ``number`` tells rows of one id and text apart."""
     rows = stored(
         docs.select(
             F.col(doc_id).alias("doc_id"),
             word_count(F.col(text)).alias("size"),
             F.col(source).cast("string").alias("source"),
             F.xxhash64(text).alias("print"),
-            *([F.struct(*rest).alias("rest")] if rest else []),
         ),
         "sizes",
     )
     targets = stored(source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most), "targets")
     targets = targets.withColumnRenamed("source", "name")
-    # Rows of one id and text are told apart by a number, so that each has its own draw.
-    number = F.row_number().over(Window.partitionBy("doc_id", "print").orderBy("size"))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     rows = (
-        rows.withColumn("row", F.xxhash64("doc_id", "print", number))
+        rows.withColumn("number", _number("doc_id", "print", "source"))
+        .withColumn("row", F.xxhash64("doc_id", "print", "number"))
         .join(targets, F.col("source").eqNullSafe(F.col("name")))
         .withColumn("whole", F.floor(rate))
         .withColumn("chance", rate - F.col("whole"))
         .withColumn("draw", F.pmod(F.xxhash64("row", F.lit(7)), F.lit(1 << 30)) / float(1 << 30))
         .withColumn("group", F.xxhash64("source"))
-        .drop("source", "name", "print")
+        .drop("source", "name")
     )
-    copies = (F.col("whole") + (F.col("chance") >= 1).cast("bigint")).alias("copies")
-    out = balanced(stored(rows, "mix-rows"), block)
-    return out.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies, *(["rest"] if rest else []))
+    copies = F.col("whole") + (F.col("chance") >= 1).cast("bigint")
+    return balanced(stored(rows, "mix-rows"), block).withColumn("copies", copies)
+
+
+def _number(doc_id: str, print_: str, source: str) -> Column:
+    return F.row_number().over(Window.partitionBy(doc_id, print_).orderBy(source))
 
 
-def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it."""
-    found = mix(docs, weights=weights).filter("copies > 0").select(F.col("doc_id").alias("__id"), "copies")
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("__id"))).withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+def mix(
+    docs: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    source: str = "source",
+    weights: tuple[int, ...] = WEIGHTS,
+    most: int = MOST,
+    block: int = BLOCK,
+) -> DataFrame:
+    """``doc_id, size, source_size, target, taken, copies`` of every row of ``docs``; ``copies`` is how often it is taken."""
+    rows = _mix_rows(docs, doc_id, text, source, weights, most, block)
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+
+
+def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, block: int = BLOCK) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it.
+
+    Rows are found again by their id; only ids with several rows need the text as well.
+    """
+    found = stored(_mix_rows(docs, "doc_id", "text", "source", weights, MOST, block).select("doc_id", "print", "number", "copies"), "mixed")
+    several = stored(found.groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("n")).filter("n > 1").drop("n"), "several")
+    same = lambda id_: F.col("doc_id").eqNullSafe(F.col(id_))
+    copies = found.select(F.col("doc_id").alias("__of"), F.col("print").alias("__print"), F.col("number").alias("__number"), F.col("copies").alias("__copies"))
+    if several.isEmpty():
+        rows = docs.join(copies.filter("__copies > 0"), same("__of"))
+    else:
+        one = docs.join(several, same("__id"), "left_anti").join(copies, same("__of"))
+        more = docs.join(several, same("__id"), "left_semi").withColumn("__own", F.xxhash64("text"))
+        more = more.withColumn("__at", _number("doc_id", "__own", "source"))
+        more = more.join(copies, same("__of") & (F.col("__own") == F.col("__print")) & (F.col("__at") == F.col("__number")))
+        rows = one.select(*docs.columns, "__copies").unionByName(more.select(*docs.columns, "__copies"))
+    rows = rows.filter("__copies > 0").withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))))
+    return rows.select(*docs.columns)

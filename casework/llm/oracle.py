@@ -63,5 +63,87 @@ FROM b LEFT JOIN r USING (doc_id)
 """
 
 
+OP8 = r"""
+WITH l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents),
+k AS (SELECT *, trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g')) AS key FROM l),
+s AS (SELECT key FROM k WHERE key <> '' AND source IS NOT NULL GROUP BY key HAVING count(DISTINCT source) >= 5),
+m AS (SELECT k.doc_id, k.i, k.line, s.key IS NULL AS keep FROM k LEFT JOIN s USING (key))
+SELECT doc_id, count(*) AS n_lines, count_if(NOT keep)::BIGINT AS n_removed,
+    sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (keep), '')) AS text_sha256
+FROM m GROUP BY doc_id
+"""
+
+OP9 = """
+WITH c AS (
+    SELECT conv_id, turn, 'call_' || turn AS call_id, CASE turn % 3 WHEN 0 THEN 'search' WHEN 1 THEN 'lookup' ELSE 'count' END AS name,
+        CASE turn % 8 WHEN 5 THEN json_object('limit', 'many', 'text', text) WHEN 2 THEN json_object('limit', length(text))
+            WHEN 4 THEN json_array(text) ELSE json_object('limit', length(text), 'text', text) END AS arguments,
+        CASE WHEN turn > 2 AND turn % 8 > 2 THEN 'call_' || (turn - 2) END AS parent
+    FROM conversations WHERE role = 'assistant'
+),
+r AS (SELECT conv_id, turn AS result_turn, 'call_' || (turn - 1) AS call_id, text AS result FROM conversations WHERE role = 'user' AND turn > 0),
+e AS (SELECT c.*, p.call_id AS known FROM c LEFT JOIN (SELECT conv_id, call_id FROM c) p ON c.conv_id = p.conv_id AND c.parent = p.call_id),
+v AS (
+    SELECT *, (SELECT count(*) FROM e f WHERE f.conv_id = e.conv_id AND f.known IS NOT NULL AND f.turn <= e.turn AND f.turn // 8 = e.turn // 8
+            AND f.turn % 2 = e.turn % 2) AS chain
+    FROM e
+),
+a AS (
+    SELECT conv_id, turn, call_id, name, CASE WHEN known IS NULL THEN 0 ELSE chain END AS level, result_turn,
+        concat_ws(' ', CASE WHEN turn % 8 = 4 THEN 'not_an_object' WHEN name = 'search' AND turn % 8 = 5 THEN 'type:limit'
+            WHEN name = 'search' AND turn % 8 = 2 THEN 'missing:text' WHEN name = 'lookup' AND turn % 8 = 5 THEN 'type:limit'
+            WHEN name = 'lookup' AND turn % 8 = 2 THEN 'missing:text'
+            WHEN name = 'count' AND turn % 8 = 2 THEN 'missing:text unexpected:limit' WHEN name = 'count' THEN 'unexpected:limit' END,
+            CASE WHEN parent IS NOT NULL AND known IS NULL THEN 'unknown_reference' END) AS problems,
+        CASE WHEN turn % 8 <> 4 THEN arguments END AS arguments, result
+    FROM v LEFT JOIN r USING (conv_id, call_id)
+    UNION ALL
+    SELECT conv_id, result_turn, call_id, NULL, 0, result_turn, 'no_call', NULL, result FROM r ANTI JOIN c USING (conv_id, call_id)
+)
+SELECT conv_id, turn, call_id, name, CAST(level AS BIGINT) AS level, result_turn, problems,
+    '{' || concat_ws(',', '"arguments":' || arguments::VARCHAR, '"id":' || to_json(call_id)::VARCHAR, '"name":' || to_json(name)::VARCHAR,
+        '"result":' || to_json(result)::VARCHAR) || '}' AS json
+FROM a
+"""
+
+_UUID = "'<urn:uuid:' || h[1:8] || '-' || h[9:12] || '-' || h[13:16] || '-' || h[17:20] || '-' || h[21:32] || '>'"
+_ENTITIES = [("&nbsp;", "' '"), ("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "chr(34)"), ("&#39;", "chr(39)"), ("&apos;", "chr(39)"), ("&copy;", "'©'"), ("&middot;", "'·'"), ("&hellip;", "'…'"), ("&mdash;", "'—'"), ("&ndash;", "'–'"), ("&amp;", "'&'")]
+
+
+def _plain_text() -> str:
+    hidden = "|".join(f"<{t}\\b.*?</{t}\\s*>" for t in ("script", "style", "noscript", "head")) + "|<!--.*?-->"
+    lines = "</?(p|div|br|li|ul|ol|h[1-6]|tr|table|article|section|header|footer|nav|title|blockquote|pre)\\b[^>]*>"
+    text = f"regexp_replace(regexp_replace(payload, '{hidden}', ' ', 'gis'), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')"
+    text = f"regexp_replace(regexp_replace({text}, '{lines}', chr(10), 'gi'), '<[^>]*>', '', 'g')"
+    for entity, character in _ENTITIES:
+        text = f"replace({text}, '{entity}', {character})"
+    return f"regexp_replace(regexp_replace({text}, ' *\\n[ \\n]*', chr(10), 'g'), '^[ \\n]+|[ \\n]+$', '', 'g')"
+
+
+OP10 = f"""
+WITH p AS (SELECT url, coalesce(html, '') AS payload, '2024-01-01T00:00:00Z' AS date, chr(13) || chr(10) AS nl FROM pages),
+q AS (SELECT *, strlen(payload) AS n, 'HTTP/1.1 200 OK' || nl || 'Content-Type: text/html; charset=utf-8' || nl || 'Content-Length: ' || strlen(payload) AS http,
+    sha256('response' || chr(10) || coalesce(url, '') || chr(10) || date || chr(10) || payload) AS h FROM p),
+s AS (SELECT *, {_UUID} AS refers_to, 'sha256:' || sha256(payload) AS payload_digest, 'sha256:' || sha256(http || nl || nl || payload) AS source_digest FROM q),
+t AS (
+    SELECT * EXCLUDE (h), 'metadata' AS record_type, 'application/warc-fields' AS content_type,
+        concat_ws(nl, 'httpStatus: 200', 'sourceContentType: text/html; charset=utf-8',
+            'title: ' || regexp_replace(regexp_extract(payload, '<title[^>]*>(.*?)</title', 1, 'is'), '[ \t\n\x0B\f\r]+', ' ', 'g'),
+            'language: ' || regexp_extract(payload, '<html[^>]*\\blang=["'']?([A-Za-z-]+)', 1, 'is'),
+            'outlinks: ' || len(regexp_extract_all(payload, '<a\\s[^>]*href=', 0, 'i')), 'sourcePayloadDigest: ' || payload_digest) AS block FROM s
+    UNION ALL
+    SELECT * EXCLUDE (h), 'conversion', 'text/plain; charset=utf-8', {_plain_text()} FROM s
+),
+u AS (SELECT *, sha256(record_type || chr(10) || refers_to) AS h, 'sha256:' || sha256(block) AS block_digest FROM t),
+v AS (SELECT *, {_UUID} AS record_id FROM u)
+SELECT record_id, record_type, refers_to, url AS target_uri, date, content_type, block, block_digest, payload_digest,
+    concat_ws(nl, 'WARC/1.1', 'WARC-Type: ' || record_type, 'WARC-Record-ID: ' || record_id, 'WARC-Date: ' || date, 'WARC-Target-URI: ' || url,
+        'WARC-Refers-To: ' || refers_to, 'WARC-Refers-To-Target-URI: ' || url, 'WARC-Refers-To-Date: ' || date, 'WARC-Block-Digest: ' || block_digest,
+        'WARC-Source-Block-Digest: ' || source_digest, 'WARC-Source-Payload-Digest: ' || payload_digest, 'Content-Type: ' || content_type,
+        'Content-Length: ' || strlen(block)) AS head
+FROM v
+"""
+
+
 def all_oracles() -> dict[str, str]:
-    return {"op3_ngram_jaccard_join": OP3, "op4_exact_dedup": OP4, "op5_quality_rules": OP5}
+    return {"op3_ngram_jaccard_join": OP3, "op4_exact_dedup": OP4, "op5_quality_rules": OP5, "op8_line_dedup": OP8, "op9_chat_formatting": OP9, "op10_warc_derivatives": OP10}
