@@ -12,6 +12,8 @@ would recurse once per character in Java and overflow on long pages.
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import Column, functions as F
 
 from casework.functions.arrays import filled, let, running_sum
@@ -23,22 +25,21 @@ NOISE = (
 TAG = r"<[^<]+?>"
 VOID = "area|base|br|col|embed|hr|input|link|meta|script|source|track|wbr"
 
-# Named character entities.
-ENTITIES = {
-    "&nbsp;": " ",
-    "&lt;": "<",
-    "&gt;": ">",
-    "&quot;": '"',
-    "&apos;": "'",
-    "&copy;": "©",
-    "&middot;": "·",
-    "&hellip;": "…",
-    "&amp;": "&",
-}
-ENTITY_MAP = "map({})".format(", ".join(f'"{k}", "{v}"' if v != '"' else f"'{k}', '{v}'" for k, v in ENTITIES.items()))
+# Named character entities are those of the HTML standard, from Python's own table of it.
+ENTITIES = {f"&{name}": text for name, text in html5.items() if name.endswith(";")}
+# The daily ones are tried first; a page rarely holds others.
+COMMON = ("&nbsp;", "&lt;", "&gt;", "&quot;", "&apos;", "&copy;", "&middot;", "&hellip;", "&amp;", "&mdash;", "&ndash;", "&ldquo;", "&rdquo;", "&lsquo;", "&rsquo;")
+
+
+def _entity_map(names) -> Column:
+    # One literal: the pieces are split and folded into a constant map when the query is planned.
+    pairs = "\u0001".join(f"{n}\u0002{ENTITIES[n]}" for n in names)
+    return F.str_to_map(F.lit(pairs), F.lit("\u0001"), F.lit("\u0002"))
+
 
 IMAGE = r"(?is)<img(?=\s)[^>]*\ssrc\s*=\s*[\"']?([^\"'\s>]+)"
 IMG_OPEN, IMG_CLOSE = "\u0002", "\u0003"
+LINK_OPEN, LINK_CLOSE = "\u0005", "\u0006"
 
 
 def clean(html: Column) -> Column:
@@ -55,12 +56,15 @@ def strip_tags(markup: Column) -> Column:
 
 
 def unescape(text: Column) -> Column:
-    """Resolve numeric and the common named character entities."""
+    """Resolve numeric and named character entities, as the HTML standard lists them.
+
+    No-break spaces become plain ones.  Entities without a semicolon stay as written.
+    """
 
     def numeric(entity: Column) -> Column:
         code = F.coalesce(
-            F.conv(filled(F.regexp_extract(entity, r"^&#[xX]([0-9a-fA-F]{1,6});$", 1)), 16, 10),
-            filled(F.regexp_extract(entity, r"^&#([0-9]{1,7});$", 1)),
+            F.conv(filled(F.regexp_extract(entity, r"^&#[xX]0*([0-9a-fA-F]{1,6});$", 1)), 16, 10),
+            filled(F.regexp_extract(entity, r"^&#0*([0-9]{1,7});$", 1)),
         ).cast("int")
         # Surrogates and numbers beyond the last character stay as written.
         return let(
@@ -74,13 +78,17 @@ def unescape(text: Column) -> Column:
     def resolve(piece: Column) -> Column:
         return (
             F.when(F.startswith(piece, F.lit("&#")), numeric(piece))
-            .when(F.startswith(piece, F.lit("&")), F.coalesce(F.try_element_at(F.expr(ENTITY_MAP), piece), piece))
+            .when(
+                F.startswith(piece, F.lit("&")),
+                F.coalesce(F.try_element_at(_entity_map(COMMON), piece), F.try_element_at(_entity_map(ENTITIES), piece), piece),
+            )
             .otherwise(piece)
         )
 
     def joined(t: Column) -> Column:
-        pieces = F.regexp_extract_all(t, F.lit("&#?[0-9a-zA-Z]{1,8};|[^&]+|&"), F.lit(0))
-        return F.when(F.contains(t, F.lit("&")), F.array_join(F.transform(pieces, resolve), "")).otherwise(t)
+        pieces = F.regexp_extract_all(t, F.lit("&#?[0-9a-zA-Z]+;|[^&]+|&"), F.lit(0))
+        plain = F.replace(F.array_join(F.transform(pieces, resolve), ""), F.lit("\u00a0"), F.lit(" "))
+        return F.when(F.contains(t, F.lit("&")), plain).otherwise(t)
 
     return let(text, joined)
 
@@ -184,11 +192,16 @@ def own_markup(markup: Column, keep: tuple[str, ...], sep: str = "") -> Column:
 
     What is left is the text of the node itself and of its ``keep`` children.
     Images become ``IMG_OPEN src IMG_CLOSE`` so that they can be read afterwards.
-    Elements are taken out from the innermost outwards, one level per step, until
-    a step changes nothing; ``sep`` takes the place of what is removed.
+    ``sep`` takes the place of what is removed.
     """
     marked = F.regexp_replace(markup, rf"{IMAGE}[^>]*>", f"{IMG_OPEN}$1{IMG_CLOSE}")
     shed = rf"(?i)<(?:{VOID}|img)\b[^<>]*>|</?(?:{'|'.join(keep)})(?=[\s>/\d-])[^<>]*>"
+
+    return let(F.regexp_replace(marked, shed, sep), lambda text: _peeled(text, sep))
+
+
+def _peeled(markup: Column, sep: str = "") -> Column:
+    """Take out all whole elements, from the innermost outwards, until a step changes nothing."""
     leaf = r"(?i)<([a-z][a-z0-9]*)\b[^<>]*>[^<]*</\1\s*>"
 
     def state(text: Column, busy: Column) -> Column:
@@ -205,7 +218,22 @@ def own_markup(markup: Column, keep: tuple[str, ...], sep: str = "") -> Column:
         ends = F.regexp_extract_all(text, F.lit("</"), F.lit(0))
         return F.reduce(ends, state(text, F.lit(True)), step, lambda acc: acc["text"])
 
-    return let(F.regexp_replace(marked, shed, sep), peel)
+    return let(markup, peel)
+
+
+def child_links(markup: Column) -> Column:
+    """The markup of a block in which only its own ``a`` children are left, whole; links inside other children go.
+
+    Links are hidden while the other elements are taken out.
+    """
+    pieces = F.split(markup, r"(?i)(?=<a[\s>])|(?<=</a>)")
+    hidden = F.transform(
+        pieces,
+        lambda p: F.when(F.rlike(p, F.lit(r"(?is)^<a[\s>].*</a>$")), F.translate(p, "<>", LINK_OPEN + LINK_CLOSE)).otherwise(p),
+    )
+    bare = F.regexp_replace(F.array_join(hidden, ""), rf"(?i)<(?:{VOID}|img)\b[^<>]*>", "")
+    links = F.translate(_peeled(bare), LINK_OPEN + LINK_CLOSE, "<>")
+    return F.when(F.contains(markup, F.lit("<a")) | F.contains(markup, F.lit("<A")), links).otherwise("")
 
 
 def own_text(markup: Column, keep: tuple[str, ...] = ("span",), sep: str = "") -> Column:

@@ -62,14 +62,14 @@ def case_records(
     classes: tuple[str, ...] = CONTAINERS,
     compat: bool = False,
     keep: tuple[str, ...] = (),
+    unescape: bool = False,
 ) -> DataFrame:
     """One case per page: date, places, keywords, headline, text and head count.
 
-    Every field is computed inside the row, so coding is a map over the scan;
-    only a gazetteer too large to travel along brings in a join.  ``keep`` names
-    page columns to carry along.
+    Every field but the places is computed inside the row; places are joined to
+    pieces of the texts.  ``keep`` names page columns to carry along.
     """
-    texts = page_texts(pages.select("url", "html", *keep), classes)
+    texts = page_texts(pages.select("url", "html", *keep), classes, unescape)
     tagged = tag_places(texts, gazetteer, F.concat_ws("\n", "headline", "content"))
     head, content = F.col("headline"), F.col("content")
     return tagged.select(

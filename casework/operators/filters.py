@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 # Headlines that mark an error page, the default platform, and the
 # lengths below which a post is noise when it holds a mention or a link.
@@ -12,7 +12,7 @@ MENTION_LENGTH, LINK_LENGTH = 10, 28
 
 
 def mentions_keyword(text: Column, keyword: str, ignore_case: bool = False) -> Column:
-    """Text contains a keyword; ``ignore_case`` compares ASCII letters loosely."""
+    """Text contains a keyword; ``ignore_case`` takes letters of either case as equal."""
     if ignore_case:
         escaped = keyword.replace("\\", "\\\\").replace("%", r"\%").replace("_", r"\_")
         return text.ilike(f"%{escaped}%")
@@ -47,14 +47,21 @@ def author_link(link: Column, platform: str = PLATFORM, other: str = OTHER_DOMAI
 
 
 def slice_rows(df: DataFrame, key: str, start: int = 12, stop: int = 100) -> DataFrame:
-    """Rows ``start`` to ``stop - 1`` in the order of a unique key.
+    """Rows ``start`` to ``stop - 1`` in the order of a key.
 
-    The order is settled on the key alone, so the sort handles narrow rows; the
-    wide rows are then picked by a semi-join against at most ``stop - start`` keys.
+    The order is settled on the keys and their counts, so the sort handles narrow
+    rows; the wide rows are then picked by a join.  Of rows that share a key at
+    either end the first by a digest of all columns are taken; equal rows are
+    interchangeable, so the number of rows is always exact.
     """
     if start < 0 or stop < start:
         raise ValueError("0 <= start <= stop is required")
-    picked = df.select(key).orderBy(key).offset(start).limit(stop - start)
-    if stop - start <= 100_000:
-        picked = F.broadcast(picked)
-    return df.join(picked, key, "left_semi")
+    counts = df.groupBy(key).agg(F.count("*").alias("_n")).orderBy(F.col(key).asc_nulls_first()).limit(stop)
+    ahead = F.sum("_n").over(Window.orderBy(F.col(key).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1))
+    picked = counts.withColumn("_ahead", F.coalesce(ahead, F.lit(0))).filter((F.col("_ahead") < stop) & (F.col("_ahead") + F.col("_n") > start))
+    picked = picked.select(F.col(key).alias("_key"), "_n", "_ahead")
+    rows = df.join(picked, F.col(key).eqNullSafe(F.col("_key")))
+    # Only keys with several rows need to be numbered.
+    place = F.row_number().over(Window.partitionBy("_key").orderBy(F.xxhash64(*df.columns), *df.columns)) - 1 + F.col("_ahead")
+    several = rows.filter("_n > 1").withColumn("_place", place).filter((F.col("_place") >= start) & (F.col("_place") < stop))
+    return rows.filter("_n = 1").select(df.columns).unionByName(several.select(df.columns))

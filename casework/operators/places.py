@@ -12,10 +12,13 @@ from casework.functions.arrays import let
 # Administrative suffixes that short city names may drop.
 SUFFIXES = "市|县|区"
 
-# Up to these bounds the names travel inside the query; beyond, they are joined.
+# Up to these bounds names may travel inside the query (tag_places_inline).
 INLINE_NAMES, INLINE_CHARS, INLINE_LENGTH = 20_000, 1_000_000, 200
 # Joined names are broadcast up to these bounds (well under 1 GB), and shuffled beyond.
 BROADCAST_NAMES, BROADCAST_CHARS = 3_000_000, 60_000_000
+# Longest head of a name, and the type of a text's candidates.
+HEAD = 16
+NO_CANDIDATES = "CAST(array() AS array<struct<place:string,kind:string>>)"
 # Separators inside the constants that carry the names.
 BUCKET, ENTRY, VALUE, NAME = "\u0001", "\u0002", "\u0003", "\u0004"
 
@@ -132,32 +135,26 @@ def _names_in(text: Column, names: list[str]) -> Column:
     )
 
 
-def tag_places(
-    pages: DataFrame,
-    gazetteer: DataFrame,
-    text: Column,
-    key: str = "url",
-    inline_names: int = INLINE_NAMES,
-) -> DataFrame:
-    """Add ``places`` (all names in the text), ``city`` and ``county`` (one each).
+def tag_places_inline(pages: DataFrame, gazetteer: DataFrame, text: Column) -> DataFrame:
+    """What :func:`tag_places` gives, for a small gazetteer: the names become one pattern in the query.
 
-    A gazetteer within the bounds becomes one pattern and every page is tagged
-    where it lies, without a shuffle.  A larger one is joined on equal pieces of
-    text, see :func:`tag_places_by_join`.
+    Every page is tagged where it lies, without a shuffle.  The gazetteer is collected, so
+    one beyond the bounds is refused before its names are.
     """
-    rows = gazetteer.select("kind", "place").distinct().limit(inline_names + 1).collect()
-    lengths = [len(r.place) for r in rows]
-    bounded = sum(lengths) <= INLINE_CHARS and max(lengths, default=0) <= INLINE_LENGTH
-    plain = not any(c in r.place for r in rows for c in (BUCKET, ENTRY, VALUE, NAME))
-    if len(rows) > inline_names or not bounded or not plain:
-        return tag_places_by_join(pages, gazetteer, text, key)
+    names = gazetteer.select("kind", "place").distinct()
+    size = names.agg(
+        F.count("*").alias("n"),
+        F.coalesce(F.sum(F.length("place")), F.lit(0)).alias("chars"),
+        F.coalesce(F.max(F.length("place")), F.lit(0)).alias("longest"),
+        F.count_if(F.rlike("place", F.lit(f"[{BUCKET}-{NAME}]"))).alias("odd"),
+    ).first()
+    if size.n > INLINE_NAMES or size.chars > INLINE_CHARS or size.longest > INLINE_LENGTH or size.odd:
+        raise ValueError("the gazetteer is too large to travel in the query; use tag_places")
     kinds: dict[str, str] = {}
-    for r in rows:
+    for r in names.collect():
         kinds[r.place] = kinds.get(r.place, "") + r.kind
     kind_of = _lookup(kinds)
-    tagged = pages.withColumn("_text", F.coalesce(text, F.lit(""))).withColumn(
-        "places", _names_in(F.col("_text"), sorted({r.place for r in rows}))
-    )
+    tagged = pages.withColumn("_text", F.coalesce(text, F.lit(""))).withColumn("places", _names_in(F.col("_text"), sorted(kinds)))
     return tagged.withColumn("_kinds", F.transform("places", kind_of)).select(
         *pages.columns,
         "places",
@@ -168,16 +165,17 @@ def tag_places(
     )
 
 
-def tag_places_by_join(pages: DataFrame, gazetteer: DataFrame, text: Column, key: str = "url") -> DataFrame:
-    """The same for a gazetteer of any size.
+def tag_places(pages: DataFrame, gazetteer: DataFrame, text: Column) -> DataFrame:
+    """Add ``places`` (all names in the text), ``city`` and ``county`` (one each), for a gazetteer of any size.
 
-    Names are grouped by length (1, 2-3, 4-7, 8-15, ..).  For each group a text is
-    cut into its distinct windows of that width; windows whose head no name has are
-    dropped by a semi-join, and the beginnings of the others are joined to the names
-    on equality.  Both joins are on unique values, so no key meets many partners.
-    Only keys and windows take part; matches are combined per text before they meet
-    the pages, and the text digest keeps versions of one page apart.  The names are
-    broadcast only after their size was measured.
+    A name's head is its first 1, 2, 4, 8 or 16 characters, as many as it has.  Texts
+    are cut into their distinct pieces of these lengths; pieces that are no head are
+    dropped by a semi-join and the others meet the names on equality.  A text's
+    candidates, mostly names of which only the head is there, are then looked for in
+    the text itself, so no piece is longer than 16 characters whatever the names.
+
+    Candidates belong to a text, not to a page: they are joined back on a digest of it,
+    so pages without a URL, or several of one URL, keep their own places.
     """
     names = gazetteer.select("kind", "place").distinct()
     per_size = names.groupBy(F.length("place").alias("size")).count().collect()
@@ -187,54 +185,41 @@ def tag_places_by_join(pages: DataFrame, gazetteer: DataFrame, text: Column, key
     )
 
     def bounded(df: DataFrame) -> DataFrame:
-        # Spark must not take the windows for small because the page table is.
+        # Spark must not take the pieces for small because the page table is.
         return F.broadcast(df) if fits else df.hint("merge")
 
-    groups: dict[int, list[int]] = {}
-    for r in per_size:
-        groups.setdefault(1 << (r["size"].bit_length() - 1), []).append(r["size"])
+    sizes = sorted({min(HEAD, 1 << (r["size"].bit_length() - 1)) for r in per_size})
 
     def head(value: Column) -> Column:
         width = F.lit(None).cast("int")
-        for size in sorted(groups):
+        for size in sizes:
             width = F.when(F.length(value) >= size, F.lit(size)).otherwise(width)
         return F.substring(value, 1, width)
 
-    def beginnings(window: Column) -> Column:
-        sizes = F.lit(None).cast("array<int>")
-        for size in sorted(groups):
-            sizes = F.when(F.length(window) >= size, F.lit(sorted(groups[size]))).otherwise(sizes)
-        return F.transform(
-            F.filter(sizes, lambda n: n <= F.length(window)), lambda n: F.substring(window, F.lit(1), n)
-        )
+    def pieces(value: Column, size: int) -> Column:
+        return F.array_distinct(F.regexp_extract_all(value, F.lit(rf"(?s)(?=(.{{{size}}}))"), F.lit(1)))
+
+    marked = pages.withColumn("_text", F.coalesce(text, F.lit("")))
+    marked = marked.withColumns({"_digest": F.xxhash64("_text"), "_also": F.xxhash64(F.lit(1), "_text")})
+    cut = F.concat(F.array().cast("array<string>"), *[pieces(F.col("_text"), size) for size in sizes])
+    headed = names.withColumn("_head", head(F.col("place")))
+    found = (
+        marked.select("_digest", "_also", F.explode(cut).alias("_head"))
+        .join(bounded(headed.select("_head").distinct()), "_head", "left_semi")
+        .join(bounded(headed), "_head")
+        .groupBy("_digest", "_also")
+        .agg(F.collect_set(F.struct("place", "kind")).alias("_candidates"))
+    )
+    there = F.filter("_candidates", lambda c: F.contains(F.col("_text"), c["place"]))
+    tagged = marked.join(found, ["_digest", "_also"], "left").withColumn("_there", F.coalesce(there, F.expr(NO_CANDIDATES)))
 
-    def windows(value: Column, size: int) -> Column:
-        pattern = rf"(?s)(?=(.{{{size},{2 * size - 1}}}))"
-        return F.regexp_extract_all(value, F.lit(pattern), F.lit(1))
+    def best(kind: str) -> Column:
+        own = F.filter("_there", lambda c: c["kind"] == kind)
+        return best_place(F.transform(own, lambda c: c["place"])).alias(kind)
 
-    marked = pages.withColumn("_text", F.coalesce(text, F.lit(""))).withColumn("_digest", F.xxhash64("_text"))
-    cut = F.array_distinct(
-        F.concat(F.array().cast("array<string>"), *[windows(F.col("_text"), size) for size in sorted(groups)])
-    )
-    heads = names.select(head(F.col("place")).alias("_head")).distinct()
-    matches = (
-        marked.select(key, "_digest", F.explode(cut).alias("_window"))
-        .withColumn("_head", head(F.col("_window")))
-        .join(bounded(heads), "_head", "left_semi")
-        .select(key, "_digest", F.explode(beginnings(F.col("_window"))).alias("place"))
-        .join(bounded(names), "place")
-        .groupBy(key, "_digest")
-        .agg(
-            F.array_sort(F.collect_set("place")).alias("places"),
-            *[
-                F.max(F.when(F.col("kind") == k, F.struct(F.length("place").alias("n"), "place")))["place"].alias(k)
-                for k in ("city", "county")
-            ],
-        )
-    )
-    return marked.join(matches, [key, "_digest"], "left").select(
+    return tagged.select(
         *[F.col(c) for c in pages.columns],
-        F.coalesce("places", F.array().cast("array<string>")).alias("places"),
-        "city",
-        "county",
+        F.array_sort(F.array_distinct(F.transform("_there", lambda c: c["place"]))).alias("places"),
+        best("city"),
+        best("county"),
     )

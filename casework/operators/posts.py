@@ -54,17 +54,21 @@ def _field(run: Column, name: str) -> Column:
     return F.transform(run, lambda u: u[name])
 
 
+def _links(block: Column) -> Column:
+    return markup.child_links(markup.drop_divs(block))
+
+
 def page_nickname(infos: Column, texts: Column, ps: Column) -> Column:
     """Name of the first post on a page: five places, the first that is not blank."""
     return first_nonblank(
-        _first_found(infos, lambda i: markup.anchor_text(markup.drop_divs(i), NAME_LINK)),
-        _first_found(infos, lambda i: markup.anchor_text(markup.drop_divs(i))),
-        _first_found(texts, lambda t: markup.anchor_text(markup.drop_divs(t))),
+        _first_found(infos, lambda i: markup.anchor_text(_links(i), NAME_LINK)),
+        _first_found(infos, lambda i: markup.anchor_text(_links(i))),
+        _first_found(texts, lambda t: markup.anchor_text(_links(t))),
         _first_found(
             F.flatten(F.transform(infos, lambda i: markup.divs(i, USER_NAME))),
             lambda d: markup.unescape(F.regexp_extract(d, r"(?:^|>)([^<>]+)", 1)),
         ),
-        _first_found(ps, lambda p: markup.anchor_text(p, NAME_LINK)),
+        _first_found(ps, lambda p: markup.anchor_text(markup.child_links(p), NAME_LINK)),
     )
 
 
@@ -76,7 +80,7 @@ def layout_1a(infos: Column, texts: Column, page_name: Column) -> Column:
             markup.drop_divs(block, MESSAGE),
             lambda own: F.struct(
                 _first_found(
-                    markup.divs(block, INFO_UNIT), lambda i: markup.anchor_text(markup.drop_divs(i), NAME_LINK)
+                    markup.divs(block, INFO_UNIT), lambda i: markup.anchor_text(_links(i), NAME_LINK)
                 ).alias("next_name"),
                 markup.own_text(own, ("span", "div")).alias("text"),
                 markup.own_images(own, ("div",)).alias("images"),
@@ -107,7 +111,7 @@ def layout_1b(infos: Column, texts: Column, page_name: Column, domain: str, othe
         return let(
             markup.drop_divs(info),
             lambda own: let(
-                markup.anchor(own, attr="href"),
+                markup.anchor(markup.child_links(own), attr="href"),
                 lambda link: F.struct(
                     author_link(link, domain, other).alias("author"),
                     markup.anchor_text(link).alias("name"),
@@ -139,7 +143,7 @@ def layout_2(ps: Column) -> Column:
 
     def unit(p: Column) -> Column:
         return let(
-            markup.anchor_text(p, NAME_LINK_2),
+            markup.anchor_text(markup.child_links(p), NAME_LINK_2),
             lambda name: F.struct(
                 F.when(name != "", name).alias("name"),
                 F.when((name != "") | (F.size(markup.images(p)) > 0), "")
@@ -156,7 +160,7 @@ def layout_2(ps: Column) -> Column:
             "2", k, F.when(k > 0, F.get(run, F.lit(0))["name"]), _field(run, "text"), _field(run, "images")
         ),
     )
-    return F.when(F.exists(ps, lambda p: markup.anchor_text(p, NAME_LINK_2) != ""), found)
+    return F.when(F.exists(ps, lambda p: markup.anchor_text(markup.child_links(p), NAME_LINK_2) != ""), found)
 
 
 def has_real_text(text: Column) -> Column:
@@ -177,7 +181,7 @@ def layout_3(container_ps: Column, platform: str, other: str) -> Column:
     def unit(p: Column) -> Column:
         text = markup.squeeze(markup.own_text(p, ("span", "em"), " "))
         return let(
-            markup.anchor(p, attr="href"),
+            markup.anchor(markup.child_links(p), attr="href"),
             lambda link: F.struct(
                 F.when(link.isNull(), "body")
                 .when(author_link(link, platform, other), "open")
@@ -185,8 +189,8 @@ def layout_3(container_ps: Column, platform: str, other: str) -> Column:
                 .otherwise("stop")
                 .alias("kind"),
                 first_nonblank(
-                    markup.anchor_text(p),
-                    markup.unescape(F.regexp_extract(p, r"(?is)<a(?=[\s>])[^>]*>\s*<span[^>]*>([^<]+)", 1)),
+                    markup.anchor_text(link),
+                    markup.unescape(F.regexp_extract(link, r"(?is)<a(?=[\s>])[^>]*>\s*<span[^>]*>([^<]+)", 1)),
                 ).alias("link_text"),
                 filled(text).alias("text"),
                 F.when(link.isNull(), markup.images(p)).otherwise(F.array()).alias("images"),
@@ -288,10 +292,12 @@ def page_posts(
         ).alias("_box"),
     ).withColumn("_name", page_nickname(F.col("_infos"), F.col("_texts"), F.col("_ps")))
     infos, texts, ps, name = (F.col(c) for c in ("_infos", "_texts", "_ps", "_name"))
+    # Without a container there is nothing to search, whatever the layout.
+    boxed = lambda found: F.when(F.col("_box").isNotNull(), found)
     every = {
-        "1a": lambda: layout_1a(infos, texts, name),
-        "1b": lambda: layout_1b(infos, texts, name, domain, other),
-        "2": lambda: layout_2(ps),
+        "1a": lambda: boxed(layout_1a(infos, texts, name)),
+        "1b": lambda: boxed(layout_1b(infos, texts, name, domain, other)),
+        "2": lambda: boxed(layout_2(ps)),
         "3": lambda: layout_3(markup.paragraphs(F.col("_box")), platform, other),
     }
     found = F.concat(*[F.coalesce(every[k]().cast(POST_TYPE), F.array().cast(POST_TYPE)) for k in layouts])

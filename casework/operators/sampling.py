@@ -7,6 +7,8 @@ import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from casework.sources.stores import work_dir
+
 SCORE_RANGE = 1 << 60
 
 
@@ -73,17 +75,16 @@ def sample_n(df: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
 def sample_rows(df: DataFrame, n: int, seed: int | None = None) -> DataFrame:
     """n random rows of a table without a key.
 
-    Rows far beyond the n smallest random numbers are filtered out before the
-    sort: the threshold leaves n + 10 sqrt(n) + 100 rows on average, ten standard
-    deviations above n.
+    Every row draws a number; the rows with their numbers are stored in the shared
+    folder, so that the draw is one and the same for all that follows.  Numbers are
+    all different (a row number breaks ties), which makes the sample that of a keyed
+    table: a plain filter, with no task that holds n rows.
     """
     check_size(n)
-    total = df.count()
-    drawn = df.withColumn("_draw", F.rand(seed))
-    keep = (n + 10 * math.sqrt(n) + 100) / max(total, 1)
-    if keep < 1:
-        drawn = drawn.filter(F.col("_draw") < keep)
-    return drawn.orderBy("_draw").limit(n).drop("_draw")
+    path = work_dir(df.sparkSession, "draw")
+    drawn = df.withColumn("_draw", F.struct(F.rand(seed).alias("number"), F.monotonically_increasing_id().alias("row")))
+    drawn.withColumn("_draw", F.format_string("%.17f %020d", "_draw.number", "_draw.row")).write.parquet(path)
+    return sample_n(df.sparkSession.read.parquet(path), n, "_draw", seed or 0).drop("_draw")
 
 
 def sample_table(spark: SparkSession, table: str, n: int, seed: int | None = None) -> DataFrame:

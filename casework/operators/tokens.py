@@ -8,6 +8,10 @@ from casework.functions import markup
 from casework.functions.arrays import running_sum
 
 
+# A tag (a quoted value may hold a bracket), a text, or a bracket that opens no tag.
+TOKEN = r"""<[/!?A-Za-z](?:[^<>"']|"[^"<]*"|'[^'<]*')*+>|<[^<>]+>|[^<]+|<"""
+
+
 def token_table(pages: DataFrame, keys: tuple[str, ...] = ("page_id",), html: str = "html") -> DataFrame:
     """One row per token: ``idx, kind, tag, attrs, text, div_depth``.
 
@@ -15,7 +19,7 @@ def token_table(pages: DataFrame, keys: tuple[str, ...] = ("page_id",), html: st
     around (and, for its own tags, including) the token.  The depth is a running
     sum inside the row, so pages are never shuffled.
     """
-    tokens = F.regexp_extract_all(markup.clean(F.col(html)), F.lit(r"<[^<>]+>|[^<]+"), F.lit(0))
+    tokens = F.regexp_extract_all(markup.clean(F.col(html)), F.lit(TOKEN), F.lit(0))
     # A closing tag still lies in its element, so the step down comes one token later.
     ups = F.transform(F.col("names"), lambda n: F.when(n == "div", 1).otherwise(0))
     downs = F.concat(
@@ -33,13 +37,13 @@ def token_table(pages: DataFrame, keys: tuple[str, ...] = ("page_id",), html: st
         .select(*keys, F.posexplode(F.arrays_zip("tokens", "depths")).alias("idx", "token"))
     )
     raw = F.col("token.tokens")
-    is_tag = F.startswith(raw, F.lit("<"))
+    is_tag = F.startswith(raw, F.lit("<")) & (F.length(raw) > 1)
     return rows.select(
         *keys,
         "idx",
         F.when(~is_tag, "text").when(F.startswith(raw, F.lit("</")), "close").otherwise("open").alias("kind"),
         F.when(is_tag, F.lower(F.regexp_extract(raw, r"^</?([A-Za-z][A-Za-z0-9]*)", 1))).alias("tag"),
-        F.when(is_tag, F.trim(F.regexp_extract(raw, r"^<[A-Za-z][A-Za-z0-9]*([^>]*?)/?>", 1))).alias("attrs"),
+        F.when(is_tag, F.trim(F.regexp_extract(raw, r"^<[A-Za-z][A-Za-z0-9]*(.*?)/?>$", 1))).alias("attrs"),
         F.when(~is_tag, raw).alias("text"),
         F.col("token.depths").alias("div_depth"),
     )

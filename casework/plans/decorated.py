@@ -87,9 +87,14 @@ NOISE = (
     "CASE page_id % 3 WHEN 0 THEN ' @x' WHEN 1 THEN ' weibo.com' ELSE '' END"
 )
 
+# Every thirteenth page has no container.
+BOX = "CASE WHEN page_id % 13 = 5 THEN '<div class=\"box\">' ELSE '<div class=\"content\">' END"
+ODD_ENTITIES = "' &mdash;&ldquo;was&rdquo; &eacute;&euro;&Uuml;&szlig;&rarr;&frac12;&hearts;&Omega;&trade;&#x0000e9;&#0233; '"
+
 # Layout 1A: text blocks; the page's first name stands in one of five places.
 HTML_1A = swap(
     "html",
+    (" is ", "' <i><a class=\"WB_name S_func1\" href=\"http://weibo.com/u\">wrapped</a></i> is '"),
     ("<br>", IMG),
     ("</p>", f"CASE WHEN page_id % 2 = 1 THEN {NOISE} ELSE '' END"),
     (
@@ -109,7 +114,7 @@ HTML_1A = swap(
     (" in ", "'<div class=\"other\"> in</div> '"),
     (
         "<article>",
-        "'<div class=\"content\">' || CASE page_id % 6 "
+        f"{BOX} || CASE page_id % 6 "
         "WHEN 0 THEN '<div class=\"WB_info\"><a class=\"WB_name S_func1\">first_0</a></div>' "
         "WHEN 1 THEN '<div class=\"WB_info\"><a href=\"x\">first_1</a></div>' "
         "WHEN 2 THEN '<div class=\"WB_info\"></div><div class=\"WB_text\"><a>first_2</a>head</div>' "
@@ -123,6 +128,7 @@ HTML_1A = swap(
 # Layout 1B: info blocks only.
 HTML_1B = swap(
     "html",
+    (" is ", "' <i><a class=\"WB_name S_func1\" href=\"http://weibo.com/u\">wrapped</a></i> is '"),
     ("<br>", f"'</div><div class=\"WB_info\">' || {IMG}"),
     ("</p>", f"CASE WHEN page_id % 2 = 1 THEN {NOISE} ELSE '' END"),
     ("<p><b>", f"'</div><div class=\"WB_info\"><a href=\"http://weibo.com/u\">' || {NAME} || '</a>'"),
@@ -139,7 +145,7 @@ HTML_1B = swap(
     ),
     (
         "<article>",
-        "'<div class=\"content\"><div class=\"WB_info\">zero</div><div class=\"WB_info\">one</div>"
+        f"{BOX} || '<div class=\"WB_info\">zero</div><div class=\"WB_info\">one</div>"
         "<div class=\"WB_info\">two</div><div class=\"lead\">'",
     ),
     ("</article>", "'</div></div>'"),
@@ -149,13 +155,15 @@ HTML_1B = swap(
 NAME_P = f"'<p><a class=\"con_name_txt S_txt1\" href=\"u\">' || {NAME} || '</a>x</p><p>'"
 HTML_2 = swap(
     "html",
+    (" is ", "' <i><a class=\"con_name_txt S_txt1\" href=\"http://weibo.com/u\">wrapped</a></i> is '"),
     ("<br>", f"'</p><p>img' || {IMG} || '</p>'"),
     ("</p><p>", f"CASE WHEN page_id % 2 = 1 THEN {NOISE} || '</p><p>' ELSE '</p><p>' END"),
     ("<p><b>", NAME_P),
     ("<p>E", f"CASE WHEN page_id % 2 = 1 THEN {NAME_P} || 'E' ELSE '<p>E' END"),
     ("<p>T", f"CASE WHEN page_id % 2 = 1 THEN {NAME_P} || 'T' ELSE '<p>T' END"),
     (" the ", "' <span>the</span> '"),
-    ("<article>", "'<div class=\"content\">weibo<article>'"),
+    (" was ", ODD_ENTITIES),
+    ("<article>", f"{BOX} || 'weibo<article>'"),
     ("</article>", "'</article></div>'"),
 )
 
@@ -163,6 +171,7 @@ HTML_2 = swap(
 LINK = "<a href=\"http://weibo.com/u\">"
 HTML_3 = swap(
     "html",
+    (" is ", "' <i><a class=\"x\" href=\"http://weibo.com/u\">wrapped</a></i> is '"),
     ("<br>", f"'</p><p>' || {IMG} || '</p>'"),
     ("</p><p>", f"CASE WHEN page_id % 2 = 1 THEN {NOISE} || '</p><p>' ELSE '</p><p>' END"),
     (

@@ -15,6 +15,7 @@ SCRIPT = r"(?is)<script\b.*?</script\s*>"
 NOISE = r"(?is)<!--.*?-->|<style\b.*?</style\s*>|<!DOCTYPE[^>]*>"
 STRIP = r"^[\s\x{3000}\x{a0}]+|[\s\x{3000}\x{a0}]+$"
 DIGITS = "translate({0}, '０１２３４５６７８９', '0123456789')"
+# Nouns for people, and phrases that are no head count.
 NOUN = "民名户人业主司机开发商投资者朋友众父母老学生家工师"
 PHRASES = (
     r"[^\n]{0,2}岁|[^\n]{0,4}人口|[^\n]{0,4}元|[^\n]{0,4}人民币|[^\n]{0,4}金|[^\n]{0,4}工程"
@@ -22,12 +23,20 @@ PHRASES = (
 )
 
 
+# Entities of the decorated pages, the ampersand last.
+NAMED = {
+    "&lt;": "<", "&gt;": ">", "&quot;": '"', "&nbsp;": " ", "&copy;": "©", "&middot;": "·", "&hellip;": "…", "&mdash;": "—", "&ldquo;": "“",
+    "&rdquo;": "”", "&eacute;": "é", "&euro;": "€", "&Uuml;": "Ü", "&szlig;": "ß", "&rarr;": "→", "&frac12;": "½", "&hearts;": "♥",
+    "&Omega;": "Ω", "&trade;": "™", "&#x0000e9;": "é", "&#0233;": "é", "&amp;": "&",
+}
+
+
 def strip(expr: str) -> str:
     return f"regexp_replace({expr}, '{STRIP}', '', 'g')"
 
 
 def unescape(expr: str) -> str:
-    return deco.swap(expr, ("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "'\"'"), ("&amp;", "'&'"))
+    return deco.swap(expr, *[(name, f"'{text}'") for name, text in NAMED.items()])
 
 
 def headline_sql(html: str) -> str:
@@ -51,7 +60,9 @@ def markup(html: str, url: str = "url", where: str = "true") -> str:
           regexp_extract(tok, '\ssrc\s*=\s*"([^"]*)"', 1) AS src,
           lead(tok) OVER (PARTITION BY page_id ORDER BY idx) AS next_tok FROM r),
     n AS (SELECT *, sum(CASE WHEN name <> 'div' THEN 0 WHEN closing THEN -1 ELSE 1 END)
-          OVER (PARTITION BY page_id ORDER BY idx) AS depth FROM t),
+          OVER (PARTITION BY page_id ORDER BY idx) AS depth,
+          sum(CASE WHEN name NOT IN ('i', 'em', 'span') THEN 0 WHEN closing THEN -1 ELSE 1 END)
+          OVER (PARTITION BY page_id ORDER BY idx) AS wrapped FROM t),
     eo AS (SELECT page_id, url, idx AS s, closing, cls, lead(idx, 1, 1000000000)
           OVER (PARTITION BY page_id, depth + closing::INT ORDER BY idx) AS e FROM n WHERE name = 'div'),
     el AS (SELECT * FROM eo WHERE NOT closing)"""
@@ -144,25 +155,34 @@ NUMERAL = _bounded(
 PEOPLE = f"greatest({ARABIC}, {NUMERAL})"
 
 
-def gazetteer(name: str) -> str:
+def gazetteer(name: str, of: str = "benchmark") -> str:
     """CTE g = kind, place."""
     bare = f"replace({name}, ' ', '')"
     short = f"regexp_replace({bare}, '市|县|区', '', 'g')"
-    return rf"""raw AS (SELECT {q.WORD_KIND} AS kind, {name} AS name, {bare} AS bare, {short} AS short FROM documents),
+    return rf"""raw AS (SELECT {q.WORD_KIND} AS kind, {name} AS name, {bare} AS bare, {short} AS short
+          FROM (SELECT DISTINCT unnest(string_split(text, ' ')) AS word FROM {of})),
     g AS (SELECT DISTINCT kind, place FROM (SELECT kind, unnest(regexp_split_to_array(
           CASE WHEN kind = 'city' AND length(short) >= 2 THEN short ELSE bare END, '[\s\x{{3000}}]+')) AS place FROM raw)
           WHERE place <> '')"""
 
 
-PLACES = f"""{CONTENT}, {gazetteer(q.WORD_PLACE)},
+def places_sql(of: str) -> str:
+    return f"""{CONTENT}, {gazetteer(q.WORD_PLACE, of)},
     hit AS (SELECT c.page_id, g.kind, g.place FROM c JOIN g
             ON contains(c.headline || chr(10) || coalesce(c.content, ''), g.place)),
     pl AS (SELECT page_id, string_agg(DISTINCT place, '|' ORDER BY place) AS places,
            max({{'n': length(place), 'p': place}}) FILTER (WHERE kind = 'city') AS city,
            max({{'n': length(place), 'p': place}}) FILTER (WHERE kind = 'county') AS county
            FROM hit GROUP BY page_id)"""
-PLACE_ROWS = (
-    f"WITH {PLACES} SELECT c.page_id, coalesce(pl.places, '') AS places, coalesce(pl.city.p, 'none') AS city, "
+
+
+def place_rows(of: str) -> str:
+    return f"WITH {places_sql(of)} {PLACE_FIELDS}"
+
+
+PLACES = places_sql("benchmark")
+PLACE_FIELDS = (
+    f"SELECT c.page_id, coalesce(pl.places, '') AS places, coalesce(pl.city.p, 'none') AS city, "
     "coalesce(pl.county.p, 'none') AS county FROM c LEFT JOIN pl ON pl.page_id = c.page_id"
 )
 CASES = f"""{PLACES},
@@ -227,16 +247,19 @@ def post_rows(layout: str) -> str:
     WHERE {strip("coalesce(nickname, '')")} <> '' AND {strip("coalesce(post, '')")} <> '' AND {noise_ok(strip('post'))}"""
 
 
+# Pages without a container give no posts.
+BOXED = "EXISTS (SELECT 1 FROM el bx WHERE bx.page_id = {0}.page_id AND bx.cls = 'content')"
+
 # inn: every token with the start and class of the innermost div around it.
-INNER = """inn AS (SELECT n.page_id, n.url, n.idx, n.tok, n.tag, n.closing, n.name, n.cls, n.src, n.next_tok,
+INNER = """inn AS (SELECT n.page_id, n.url, n.idx, n.tok, n.tag, n.closing, n.name, n.cls, n.src, n.next_tok, n.wrapped,
       sum(CASE WHEN n.name NOT IN ('a', 'em', 'i', 'b') THEN 0 WHEN n.closing THEN -1 ELSE 1 END)
         OVER (PARTITION BY n.page_id ORDER BY n.idx) AS inline_depth, w.bs, w.bcls
     FROM n LEFT JOIN (SELECT n.page_id, n.idx, max(el.s) AS bs, arg_max(el.cls, el.s) AS bcls FROM n JOIN el
       ON el.page_id = n.page_id AND el.s < n.idx AND el.e > n.idx GROUP BY n.page_id, n.idx) w
       ON w.page_id = n.page_id AND w.idx = n.idx),
-    lnk AS (SELECT page_id, idx, bs, bcls, cls, tok, CASE WHEN starts_with(next_tok, '<') THEN '' ELSE next_tok END AS label,
+    lnk AS (SELECT page_id, idx, bs, bcls, cls, tok, wrapped, CASE WHEN starts_with(next_tok, '<') THEN '' ELSE next_tok END AS label,
       lag(name) OVER (PARTITION BY page_id ORDER BY idx) AS before FROM inn WHERE tag),
-    an AS (SELECT l.* FROM lnk l WHERE starts_with(l.tok, '<a ') OR l.tok = '<a>'),
+    an AS (SELECT l.* FROM lnk l WHERE (starts_with(l.tok, '<a ') OR l.tok = '<a>') AND l.wrapped = 0),
     chain AS (SELECT p.page_id, coalesce(
       (SELECT nullif(trim(min_by(label, idx)), '') FROM an WHERE page_id = p.page_id AND bcls = 'WB_info' AND cls = 'WB_name S_func1' AND label <> ''),
       (SELECT nullif(trim(min_by(label, idx)), '') FROM an WHERE page_id = p.page_id AND bcls = 'WB_info' AND label <> ''),
@@ -264,7 +287,7 @@ def layout_1a(html: str, url: str, where: str = "true") -> str:
     nm AS (SELECT page_id, post_seq + 1 AS post_seq, next_name FROM num WHERE next_name IS NOT NULL),
     found AS (SELECT b.page_id, b.url, b.post_seq, CASE WHEN b.post_seq = 0 THEN ch.page_name ELSE nm.next_name END AS nickname,
       b.post, b.images FROM body b LEFT JOIN nm ON nm.page_id = b.page_id AND nm.post_seq = b.post_seq
-      LEFT JOIN chain ch ON ch.page_id = b.page_id WHERE EXISTS (SELECT 1 FROM el WHERE el.page_id = b.page_id AND el.cls = 'WB_info'))
+      LEFT JOIN chain ch ON ch.page_id = b.page_id WHERE {BOXED.format('b')} AND EXISTS (SELECT 1 FROM el WHERE el.page_id = b.page_id AND el.cls = 'WB_info'))
     {post_rows('1a')}"""
 
 
@@ -288,7 +311,7 @@ def layout_1b(html: str, url: str, where: str = "true") -> str:
       CASE WHEN num.post_seq = 0 THEN any_value(ch.page_name) ELSE max(CASE WHEN author THEN num.name END) END AS nickname,
       string_agg(CASE WHEN author OR (NOT has_link AND num.images IS NULL AND k >= 2) THEN text END, '' ORDER BY k) AS post,
       string_agg(CASE WHEN NOT has_link THEN num.images END, ',' ORDER BY k) AS images
-      FROM num LEFT JOIN chain ch ON ch.page_id = num.page_id GROUP BY num.page_id, num.url, num.post_seq)
+      FROM num LEFT JOIN chain ch ON ch.page_id = num.page_id WHERE {BOXED.format('num')} GROUP BY num.page_id, num.url, num.post_seq)
     {post_rows('1b')}"""
 
 
@@ -301,8 +324,8 @@ PARAGRAPHS = """ends AS (SELECT page_id, idx, name, closing FROM n WHERE name IN
 def layout_2(html: str, url: str, where: str = "true") -> str:
     return f"""WITH {markup(html, url, f"{WEIBO} AND ({where})")}, {PARAGRAPHS},
     x AS (SELECT pr.page_id, pr.s,
-      min_by(CASE WHEN n.name = 'a' AND n.cls = 'con_name_txt S_txt1' AND NOT starts_with(n.next_tok, '<') THEN n.next_tok END,
-        CASE WHEN n.name = 'a' AND n.cls = 'con_name_txt S_txt1' AND NOT starts_with(n.next_tok, '<') THEN n.idx END) AS name,
+      min_by(CASE WHEN n.name = 'a' AND n.wrapped = 0 AND n.cls = 'con_name_txt S_txt1' AND NOT starts_with(n.next_tok, '<') THEN n.next_tok END,
+        CASE WHEN n.name = 'a' AND n.wrapped = 0 AND n.cls = 'con_name_txt S_txt1' AND NOT starts_with(n.next_tok, '<') THEN n.idx END) AS name,
       string_agg(CASE WHEN n.name = 'img' THEN n.src END, ',' ORDER BY n.idx) AS images,
       string_agg(CASE WHEN NOT n.tag THEN {unescape('n.tok')} END, '' ORDER BY n.idx) AS text
       FROM pr LEFT JOIN n ON n.page_id = pr.page_id AND n.idx > pr.s AND n.idx < pr.e GROUP BY pr.page_id, pr.s),
@@ -310,7 +333,7 @@ def layout_2(html: str, url: str, where: str = "true") -> str:
     found AS (SELECT num.page_id, any_value(dd.url) AS url, post_seq, max(name) AS nickname,
       string_agg(CASE WHEN name IS NULL AND images IS NULL THEN text END, '' ORDER BY s) AS post,
       string_agg(CASE WHEN name IS NULL THEN images END, ',' ORDER BY s) AS images
-      FROM num JOIN dd ON dd.page_id = num.page_id WHERE post_seq > 0 GROUP BY num.page_id, post_seq)
+      FROM num JOIN dd ON dd.page_id = num.page_id WHERE post_seq > 0 AND {BOXED.format('num')} GROUP BY num.page_id, post_seq)
     {post_rows('2')}"""
 
 
@@ -337,8 +360,8 @@ def layout_3(html: str, url: str, where: str = "true") -> str:
       OVER (PARTITION BY n.page_id, cp.s ORDER BY n.idx) AS inline_depth
       FROM cp JOIN n ON n.page_id = cp.page_id AND n.idx > cp.s AND n.idx < cp.e),
     x AS (SELECT page_id, s,
-      min_by(tok || next_tok || after_next, idx) FILTER (WHERE name = 'a' AND NOT closing) AS link,
-      min_by(CASE WHEN starts_with(next_tok, '<') THEN after_next ELSE next_tok END, idx) FILTER (WHERE name = 'a' AND NOT closing) AS link_text,
+      min_by(tok || next_tok || after_next, idx) FILTER (WHERE name = 'a' AND NOT closing AND wrapped = 0) AS link,
+      min_by(CASE WHEN starts_with(next_tok, '<') THEN after_next ELSE next_tok END, idx) FILTER (WHERE name = 'a' AND NOT closing AND wrapped = 0) AS link_text,
       nullif(trim(regexp_replace(string_agg(CASE WHEN NOT tag AND inline_depth = 0 THEN {unescape('tok')} END, ' ' ORDER BY idx), '\s+', ' ', 'g')), '') AS text,
       string_agg(CASE WHEN name = 'img' THEN src END, ',' ORDER BY idx) AS images FROM tk GROUP BY page_id, s),
     k AS (SELECT *, CASE WHEN link IS NULL THEN 'body' WHEN contains(link, '{PLATFORM}') AND NOT contains(link, '{OTHER_DOMAIN}') THEN 'open'
@@ -378,6 +401,11 @@ def posts_all_sql() -> str:
     )
 
 
+def stored_posts_sql() -> str:
+    return rf"""SELECT url, source_post_id, layout, post_seq, sha256('{q.DEMO_KEY}' || nickname) AS nickname,
+        regexp_replace(post, '@[\p{{L}}\p{{N}}_-]+', '@_', 'g') AS post, images FROM ({posts_all_sql()})"""
+
+
 def sibling_sql(mixed: bool) -> str:
     block = "(contains(node, 'WB_info') OR contains(node, 'WB_text'))"
     named = f"({block} AND contains(node, 'WB_name'))"
@@ -421,8 +449,8 @@ def all_oracles() -> dict[str, str]:
         "url_post_id": f"SELECT page_id, {POST_ID} AS post_id FROM (SELECT page_id, {deco.POST_URL} AS url FROM pages)",
         "frontier": todo,
         "progress": f"SELECT (SELECT count(*) FROM pages WHERE page_id % 2 = 0) AS done, (SELECT count(*) FROM ({todo})) AS remaining",
-        "gazetteer_clean": f"WITH {gazetteer(q.WORD_RAW)} SELECT kind, place FROM g",
-        "gazetteer_short": f"""WITH {gazetteer("substr(split_part(text, ' ', 3), 1, 2)")} SELECT kind, place FROM g WHERE length(place) < 2""",
+        "gazetteer_clean": f"WITH {gazetteer(q.WORD_RAW, "documents")} SELECT kind, place FROM g",
+        "gazetteer_short": f"""WITH {gazetteer(q.WORD_PLACE, "documents")} SELECT kind, place FROM g WHERE length(place) < 2""",
         "headline": f"SELECT page_id, {plain} AS headline, {unescape(plain)} AS plain_headline FROM pages",
         "content_text": f"WITH {CONTENT} SELECT page_id, coalesce(content, 'None') AS content FROM c",
         "container_nested": f"WITH {content_sql(q.NESTED_HTML, ONLY_CONTENT)} SELECT page_id, content FROM c",
@@ -434,8 +462,9 @@ def all_oracles() -> dict[str, str]:
             CAST(depth + CASE WHEN name = 'div' AND closing THEN 1 ELSE 0 END AS INT) AS div_depth FROM n""",
         "headline_date": f"{head} SELECT page_id, coalesce({DATE}, 'none') AS date, coalesce(nullif({DATE_RAW}, ''), 'none') AS date_raw FROM h",
         "bracket_keywords": f"{head} SELECT page_id, coalesce({KEYWORD1}, 'none') AS keyword1, coalesce({KEYWORD2}, 'none') AS keyword2 FROM h",
-        "place_tags": PLACE_ROWS,
-        "place_tags_join": PLACE_ROWS,
+        "place_tags": place_rows("benchmark"),
+        "place_tags_join": place_rows("documents"),
+        "place_tags_inline": place_rows("benchmark"),
         "people_arabic": counts(people=ARABIC, people_compat=COMPAT),
         "people_numeral": counts(people=NUMERAL),
         "people_largest": counts(people=PEOPLE),
@@ -450,11 +479,21 @@ def all_oracles() -> dict[str, str]:
         "posts_2": layout_2(deco.HTML_2, unique),
         "posts_3": layout_3(deco.HTML_3, unique),
         "posts_all": posts_all_sql(),
-        "post_append": rf"""SELECT url, source_post_id, layout, post_seq, sha256('{q.DEMO_KEY}' || nickname) AS nickname,
-            regexp_replace(post, '@[\p{{L}}\p{{N}}_-]+', '@_', 'g') AS post, images FROM ({posts_all_sql()})""",
+        "post_append": stored_posts_sql(),
         "post_sibling": sibling_sql(False),
         "post_sibling_mixed": sibling_sql(True),
-        "post_noise": f"SELECT * FROM (SELECT conv_id, turn, {q.NOISY_TEXT} AS post FROM conversations) WHERE {noise_ok('post')}",
+        "post_noise": f"""WITH s AS (SELECT conv_id, turn, regexp_split_to_array(text, '[.,\\n]') AS ps FROM conversations),
+            p AS (SELECT conv_id, turn, CAST(generate_subscripts(ps, 1) - 1 AS INT) AS place, unnest(ps) AS piece FROM s)
+            SELECT * FROM (SELECT conv_id, turn, place, {q.NOISY_TEXT} AS post FROM p) WHERE {noise_ok('post')}""",
         "sample_n": f"SELECT * FROM documents ORDER BY md5(CAST(doc_id AS VARCHAR) || '|{q.SEED}') LIMIT {q.SAMPLE_SIZE}",
+        "incremental_posts": stored_posts_sql(),
+        "offline_posts": rf"""WITH s AS (SELECT page_id FROM (SELECT page_id, {deco.HTML_SIBLING} AS html FROM pages)
+              WHERE contains(html, '{PLATFORM}') ORDER BY page_id LIMIT 88 OFFSET 12),
+            u AS (SELECT {deco.POST_URL_UNIQUE} AS url FROM pages WHERE page_id IN (SELECT page_id FROM s))
+            SELECT url, source_post_id, sha256('{q.DEMO_KEY}' || nickname) AS nickname,
+              regexp_replace(post, '@[\p{{L}}\p{{N}}_-]+', '@_', 'g') AS post
+            FROM ({sibling_sql(True)}) WHERE url IN (SELECT url FROM u) AND nickname <> 'none' AND post <> 'none'""",
+        "sample_rand": f"SELECT least(count(*), {q.SAMPLE_SIZE}) AS rows, least(count(DISTINCT doc_id), {q.SAMPLE_SIZE}) AS ids, "
+        f"least(count(*), {q.SAMPLE_SIZE}) AS whole_rows FROM documents",
         "incremental": f"WITH {CASES} SELECT url, {CASE_FIELDS} FROM cs",
     }

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from casework.functions import coding
 from casework.operators import cases, filters, places, posts, sampling, tokens, urls
 from casework.plans import decorated as deco
-from casework.sources.pages import read_table
-from casework.sources.stores import CaseLog, append_posts, work_dir
-from casework.streaming.incremental import code_arriving, page_stream
+from casework.sources.pages import read_table, read_urls
+from casework.sources.stores import HANDLE_KEY, CaseLog, append_posts, read_posts, work_dir
+from casework.streaming.incremental import code_arriving, page_stream, store_arriving_posts
 
 SITE, EXCLUDED = "example", "blog."
 SAMPLE_SIZE, SEED = 100, 7
@@ -19,17 +19,15 @@ SAMPLE_SIZE, SEED = 100, 7
 DEMO_KEY = "demo"
 # URL with a line break on every third page.
 URL_BROKEN = "url || CASE WHEN page_id % 3 = 0 THEN chr(10) ELSE '' END"
-# Gazetteer entries: a word of each document, with suffixes and blanks for the cleaning.
-WORD_KIND = "CASE WHEN doc_id % 2 = 0 THEN 'city' ELSE 'county' END"
+# Gazetteer entries: all words of all texts of a table, with suffixes and blanks for the cleaning.
+WORD_KIND = "CASE WHEN length(word) % 2 = 0 THEN 'city' ELSE 'county' END"
 WORD_RAW = (
-    "CASE WHEN doc_id % 5 = 0 THEN substr(split_part(text, ' ', 1), 1, 1) || ' ' || substr(split_part(text, ' ', 1), 2) "
-    "ELSE split_part(text, ' ', 1) END || CASE doc_id % 4 WHEN 0 THEN '市' WHEN 1 THEN '县' WHEN 2 THEN '区' ELSE '' END"
-)
-WORD_PLACE = "split_part(text, ' ', 2)"
-NOISY_TEXT = (
-    "substr(text, 1, CAST((conv_id + turn) % 40 AS INT)) || "
-    "CASE turn % 3 WHEN 0 THEN '@x' WHEN 1 THEN 'weibo.com' ELSE '' END"
+    "CASE WHEN length(word) % 5 = 0 THEN substr(word, 1, 1) || ' ' || substr(word, 2) ELSE word END "
+    "|| CASE length(word) % 4 WHEN 0 THEN '市' WHEN 1 THEN '县' WHEN 2 THEN '区' ELSE '' END"
 )
+WORD_PLACE = "word"
+# Posts: the pieces of each text between marks, some with a mention or a link.
+NOISY_TEXT = "piece || CASE (turn + length(piece)) % 3 WHEN 0 THEN '@x' WHEN 1 THEN 'weibo.com' ELSE '' END"
 NESTED_HTML = deco.swap(
     "html",
     ("<p><b>", "'</div><div class=\"deep\"><div>'"),
@@ -40,6 +38,8 @@ NESTED_HTML = deco.swap(
     ("</article>", "'</div></div>after'"),
 )
 
+POST_TYPES = [field.strip().split(" ") for field in posts.POST_SCHEMA.split(",")]
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -51,9 +51,9 @@ def _pages(spark: SparkSession, sf_dir: str, html: str = "html", url: str = "url
     return deco.pages_with(table(spark, sf_dir, "pages"), html, url)
 
 
-def _gazetteer(spark: SparkSession, sf_dir: str, name: str = WORD_PLACE) -> DataFrame:
-    words = table(spark, sf_dir, "documents").select(F.expr(WORD_KIND).alias("kind"), F.expr(name).alias("name"))
-    return places.clean_gazetteer(words)
+def _gazetteer(spark: SparkSession, sf_dir: str, name: str = WORD_PLACE, of: str = "benchmark") -> DataFrame:
+    words = table(spark, sf_dir, of).select(F.explode(F.split("text", " ")).alias("word")).distinct()
+    return places.clean_gazetteer(words.select(F.expr(WORD_KIND).alias("kind"), F.expr(name).alias("name")))
 
 
 def url_normalise_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,11 +80,11 @@ def progress(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gazetteer_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _gazetteer(spark, sf_dir, WORD_RAW)
+    return _gazetteer(spark, sf_dir, WORD_RAW, "documents")
 
 
 def gazetteer_short(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return places.short_names(_gazetteer(spark, sf_dir, "substr(split_part(text, ' ', 3), 1, 2)"))
+    return places.short_names(_gazetteer(spark, sf_dir, of="documents"))
 
 
 def headline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,16 +140,24 @@ def _place_row(tagged: DataFrame) -> DataFrame:
     )
 
 
+def _case_texts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Column]:
+    return cases.page_texts(_pages(spark, sf_dir, deco.CASE_HTML)), F.concat_ws("\n", "headline", "content")
+
+
 def place_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = cases.page_texts(_pages(spark, sf_dir, deco.CASE_HTML))
-    text = F.concat_ws("\n", "headline", "content")
+    texts, text = _case_texts(spark, sf_dir)
     return _place_row(places.tag_places(texts, _gazetteer(spark, sf_dir), text))
 
 
 def place_tags_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = cases.page_texts(_pages(spark, sf_dir, deco.CASE_HTML))
-    text = F.concat_ws("\n", "headline", "content")
-    return _place_row(places.tag_places_by_join(texts, _gazetteer(spark, sf_dir), text))
+    """A gazetteer that grows with the data: every word of every document."""
+    texts, text = _case_texts(spark, sf_dir)
+    return _place_row(places.tag_places(texts, _gazetteer(spark, sf_dir, of="documents"), text))
+
+
+def place_tags_inline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts, text = _case_texts(spark, sf_dir)
+    return _place_row(places.tag_places_inline(texts, _gazetteer(spark, sf_dir), text))
 
 
 def _counts(spark: SparkSession, sf_dir: str, **values) -> DataFrame:
@@ -237,8 +245,9 @@ def posts_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 def post_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored posts: account names hashed, mentions masked."""
     path = work_dir(spark, "posts")
-    append_posts(posts.all_posts(_pages(spark, sf_dir, deco.HTML_ALL, deco.POST_URL_UNIQUE)), path, key=DEMO_KEY)
-    return _post_rows(spark.read.schema(posts.POST_SCHEMA).parquet(path))
+    found = posts.all_posts(_pages(spark, sf_dir, deco.HTML_ALL, deco.POST_URL_UNIQUE))
+    append_posts(found, path, 0, key=spark.conf.get(HANDLE_KEY, DEMO_KEY))
+    return _post_rows(read_posts(spark, path).drop("batch"))
 
 
 def _sibling(mixed: bool) -> Query:
@@ -256,7 +265,9 @@ def _sibling(mixed: bool) -> Query:
 
 
 def post_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.expr(NOISY_TEXT).alias("post"))
+    turns = table(spark, sf_dir, "conversations")
+    pieces = turns.select("conv_id", "turn", F.posexplode(F.split("text", "[.,\n]")).alias("place", "piece"))
+    rows = pieces.select("conv_id", "turn", "place", F.expr(NOISY_TEXT).alias("post"))
     return rows.filter(filters.worth_keeping(F.col("post")))
 
 
@@ -265,17 +276,58 @@ def sample_n(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sample_rand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampling.sample_rows(table(spark, sf_dir, "documents"), SAMPLE_SIZE, SEED).select("doc_id", "lang")
+    """What can be said of a random sample: its size, and that its rows are different rows of the table."""
+    docs = table(spark, sf_dir, "documents")
+    drawn = sampling.sample_rows(docs, SAMPLE_SIZE, SEED)
+    found = drawn.join(docs.select(*[F.col(c).alias(f"of_{c}") for c in docs.columns]), F.col("doc_id") == F.col("of_doc_id"))
+    whole = F.count_if(F.forall(F.array(*[F.col(c).cast("string").eqNullSafe(F.col(f"of_{c}").cast("string")) for c in docs.columns]), lambda x: x))
+    return found.agg(F.count("*").alias("rows"), F.countDistinct("doc_id").alias("ids"), whole.alias("whole_rows"))
+
+
+def _arriving(spark: SparkSession, sf_dir: str, html: str, url: str) -> DataFrame:
+    """All pages as a stream of two files, one for each batch."""
+    path = work_dir(spark, "arriving")
+    _pages(spark, sf_dir, html, url).repartitionByRange(2, "page_id").write.parquet(path)
+    return page_stream(spark, path, files_per_batch=1)
 
 
 def incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # A pattern, so that the table may be one file or a folder of files.
-    arriving = deco.pages_with(page_stream(spark, f"{sf_dir}/[p]ages.parquet"), deco.CASE_HTML, "url")
     log = CaseLog(spark, work_dir(spark, "cases"))
-    code_arriving(arriving, _gazetteer(spark, sf_dir), log, work_dir(spark, "progress")).awaitTermination()
+    arriving = _arriving(spark, sf_dir, deco.CASE_HTML, "url")
+    # The names are cleaned once, not for every batch.
+    names = work_dir(spark, "names")
+    _gazetteer(spark, sf_dir).write.parquet(names)
+    code_arriving(arriving, spark.read.parquet(names), log, work_dir(spark, "progress")).awaitTermination()
     return cases.with_sentinels(log.current())
 
 
+def incremental_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages whose URLs are in no stored post arrive in batches and become posts."""
+    path = work_dir(spark, "posts")
+    pages = _pages(spark, sf_dir, deco.HTML_ALL, deco.POST_URL_UNIQUE)
+    first = pages.filter(F.col("page_id") % 3 == 0)
+    key = spark.conf.get(HANDLE_KEY, DEMO_KEY)
+    # Number 0 of a stream that went before; the new one stores under its own folder.
+    append_posts(posts.all_posts(first), f"{path}/old", 0, key)
+    todo = urls.frontier(pages.select("url"), read_urls(spark, f"{path}/old"))
+    arriving = work_dir(spark, "arriving")
+    pages.join(todo, "url", "left_semi").select("page_id", "url", "html").repartitionByRange(2, "page_id").write.parquet(arriving)
+    stream = page_stream(spark, arriving, files_per_batch=1)
+    store_arriving_posts(stream, f"{path}/new", work_dir(spark, "progress"), key).awaitTermination()
+    return _post_rows(read_posts(spark, f"{path}/old").unionByName(read_posts(spark, f"{path}/new")).drop("batch"))
+
+
+def offline_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The offline pipeline in one plan: keyword filter, slice, one post per page, protected sink."""
+    pages = _pages(spark, sf_dir, deco.HTML_SIBLING, deco.POST_URL_UNIQUE)
+    some = filters.slice_rows(pages.filter(filters.mentions_keyword(F.col("html"), filters.PLATFORM)), "page_id", 12, 100)
+    path = work_dir(spark, "offline")
+    found = posts.sibling_posts(some).filter("nickname IS NOT NULL AND post IS NOT NULL")
+    found = found.select(*[F.col(c) if c in found.columns else F.lit(None).cast(kind).alias(c) for c, kind in POST_TYPES])
+    append_posts(found, path, 0, spark.conf.get(HANDLE_KEY, DEMO_KEY))
+    return read_posts(spark, path).select("url", F.coalesce("source_post_id", F.lit(-1).cast("bigint")).alias("source_post_id"), "nickname", "post")
+
+
 def all_queries() -> dict[str, Query]:
     return {
         "url_normalise_filter": url_normalise_filter,
@@ -292,6 +344,7 @@ def all_queries() -> dict[str, Query]:
         "bracket_keywords": bracket_keywords,
         "place_tags": place_tags,
         "place_tags_join": place_tags_join,
+        "place_tags_inline": place_tags_inline,
         "people_arabic": people_arabic,
         "people_numeral": people_numeral,
         "people_largest": people_largest,
@@ -313,4 +366,6 @@ def all_queries() -> dict[str, Query]:
         "sample_n": sample_n,
         "sample_rand": sample_rand,
         "incremental": incremental,
+        "incremental_posts": incremental_posts,
+        "offline_posts": offline_posts,
     }

@@ -7,27 +7,24 @@ per URL; compacting does the same once and stores the outcome elsewhere.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from casework.operators.cases import CASE_COLUMNS, CASE_SCHEMA, resolve
-from casework.operators.posts import protect
+from casework.operators.posts import POST_SCHEMA, protect
 
 HANDLE_KEY = "spark.casework.handleKey"
+#: Own setting, read where ``spark.checkpoint.dir`` is unset.
+WORK_DIR = "spark.casework.workDir"
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """New folder name in the shared folder of the cluster.
-
-    Only a local session without that setting falls back to the machine's own.
-    """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+    """New folder name in the folder that all executors share."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(WORK_DIR, None)
     if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a shared folder")
-        shared = tempfile.mkdtemp(prefix="casework-")
+        raise ValueError(f"spark.checkpoint.dir (or {WORK_DIR}) must name a shared folder")
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -44,10 +41,8 @@ class CaseLog:
         self.spark, self.path = spark, path.rstrip("/")
 
     def batches(self) -> list[int]:
-        """Numbers of the stored batches."""
-        pattern = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/batch=*")
-        files = pattern.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        return sorted(int(s.getPath().getName().split("=")[1]) for s in files.globStatus(pattern) or [])
+        """Numbers of the stored batches, at least those with records."""
+        return _batches(self.records())
 
     def append(self, cases: DataFrame, batch: int, order: str) -> None:
         """Store a batch of records; running a batch again replaces it."""
@@ -55,10 +50,7 @@ class CaseLog:
         rows.write.mode("overwrite").parquet(f"{self.path}/batch={int(batch)}")
 
     def records(self) -> DataFrame:
-        schema = f"{CASE_SCHEMA}, seq BIGINT, batch BIGINT"
-        if not self.batches():
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(self.path)
+        return _read(self.spark, self.path, f"{CASE_SCHEMA}, seq BIGINT, batch BIGINT")
 
     def current(self) -> DataFrame:
         """One row per URL, as upserting the batches in turn would leave it."""
@@ -76,8 +68,8 @@ class CaseLog:
         return target
 
 
-def append_posts(posts: DataFrame, path: str, key: str | None = None, raw: bool = False) -> int:
-    """Append posts and return how many rows were written.
+def append_posts(posts: DataFrame, path: str, batch: int, key: str | None = None, raw: bool = False) -> int:
+    """Store a batch of posts and return how many rows were written; running it again replaces it.
 
     Account names are hashed with ``key`` or the session setting unless ``raw``
     is asked for; the count is observed during the write, not in a second pass.
@@ -85,5 +77,24 @@ def append_posts(posts: DataFrame, path: str, key: str | None = None, raw: bool
     if not raw:
         posts = protect(posts, key or posts.sparkSession.conf.get(HANDLE_KEY, ""))
     seen = Observation()
-    posts.observe(seen, F.count("*").alias("rows")).write.mode("append").parquet(path)
+    rows = posts.observe(seen, F.count("*").alias("rows"))
+    rows.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={int(batch)}")
     return seen.get["rows"]
+
+
+def read_posts(spark: SparkSession, path: str) -> DataFrame:
+    """All stored posts with their batch; none if nothing was stored yet."""
+    return _read(spark, path, f"{POST_SCHEMA}, batch BIGINT")
+
+
+def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def _batches(rows: DataFrame) -> list[int]:
+    return sorted(r.batch for r in rows.select("batch").distinct().collect())

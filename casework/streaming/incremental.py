@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from casework.operators.cases import case_records
-from casework.sources.pages import PAGE_SCHEMA, spread
-from casework.sources.stores import CaseLog
+from casework.operators.posts import all_posts
+from casework.sources.pages import PAGE_SCHEMA
+from casework.sources.stores import CaseLog, append_posts
 
 
 def page_stream(
@@ -17,13 +18,19 @@ def page_stream(
     reader = spark.readStream.schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return spread(reader.parquet(path))
+    return reader.parquet(path)
 
 
 def code_arriving(
-    pages: DataFrame, gazetteer: DataFrame, log: CaseLog, checkpoint: str, order: str = "page_id", **options
+    pages: DataFrame,
+    gazetteer: DataFrame,
+    log: CaseLog,
+    checkpoint: str,
+    order: str = "page_id",
+    trigger: dict | None = None,
+    **options,
 ) -> StreamingQuery:
-    """Code each batch of arriving pages into the log, once, and stop when all is done.
+    """Code each batch of arriving pages into the log, once; without a ``trigger`` stop when all is done.
 
     A batch writes only its own records, keyed by its number, so a restart after
     a failure repeats no effect; the log resolves repeated URLs when it is read.
@@ -35,9 +42,23 @@ def code_arriving(
             raise ValueError("the log holds later batches of another stream; start on a compacted copy")
         log.append(case_records(batch, gazetteer, keep=(order,), **options), number, order)
 
-    return (
-        pages.writeStream.foreachBatch(store)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    return _started(pages, store, checkpoint, trigger)
+
+
+def store_arriving_posts(
+    pages: DataFrame, path: str, checkpoint: str, key: str | None = None, trigger: dict | None = None, **options
+) -> StreamingQuery:
+    """Cut each batch of arriving pages into posts and store them by the number of the batch.
+
+    A batch that is run again after a failure replaces itself.
+    """
+
+    def store(batch: DataFrame, number: int) -> None:
+        append_posts(all_posts(batch, **options), path, number, key)
+
+    return _started(pages, store, checkpoint, trigger)
+
+
+def _started(pages: DataFrame, store, checkpoint: str, trigger: dict | None) -> StreamingQuery:
+    writer = pages.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
+    return writer.trigger(**(trigger or {"availableNow": True})).start()

@@ -153,8 +153,8 @@ def test_clean_keeps_only_that_there_was_a_script(values):
 
 
 def test_unescape(values):
-    texts = ["a &amp; b &lt;&gt;&quot;", "&#20013;&#x4e2d;&#999", "&#9999999;&#xD800;&#0;&#x1F600;", "&amp;lt; &quot;&apos;&nope;", "plain", None]
-    assert values(markup.unescape, texts) == ['a & b <>"', "中中&#999", "&#9999999;&#xD800;&#0;😀", "&lt; \"'&nope;", "plain", None]
+    texts = ["a &amp; b &lt;&gt;&quot;", "&#20013;&#x4e2d;&#999", "&#9999999;&#xD800;&#0;&#x1F600;", "&amp;lt; &quot;&apos;&nope;", "plain", None, "one &mdash; two &ldquo;x&rdquo; &eacute;&nbsp;&CounterClockwiseContourIntegral;", "&#00000000233;&#x00000000E9;&eacute &"]
+    assert values(markup.unescape, texts) == ['a & b <>"', "中中&#999", "&#9999999;&#xD800;&#0;😀", "&lt; \"'&nope;", "plain", None, "one — two “x” é ∳", "éé&eacute &"]
 
 
 def test_short_posts(values):

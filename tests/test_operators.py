@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from casework.operators import cases, filters, places, posts, sampling, urls
 from casework.sources.pages import read_gazetteer, read_page_files, read_urls
-from casework.sources.stores import CaseLog, append_posts, work_dir
+from casework.sources.stores import CaseLog, append_posts, read_posts, work_dir
 from casework.streaming.incremental import code_arriving, page_stream
 
 AUTHOR = '<a href="http://weibo.com/u">'
@@ -50,19 +50,20 @@ TEXTS = ["abcd", "xxabcdefgh", "在北京路上", "x.y (z] ^$\\d", "xzy", "", No
 
 @pytest.mark.parametrize("way", ["inline", "join", "odd names"])
 def test_places_equal_brute_force(spark, way):
-    # A name with a control character cannot be put into the constant tables.
-    names = NAMES + [("city", "\u0002b")] if way == "odd names" else NAMES
+    # A name with a control character cannot be put into the constant tables, nor can a very long one.
+    names = NAMES + [("city", "\u0002b"), ("county", "x" * 300)] if way == "odd names" else NAMES
     gaz = spark.createDataFrame(names, "kind STRING, place STRING")
-    pages = spark.createDataFrame([(f"u{i}", t) for i, t in enumerate(TEXTS)], "url STRING, t STRING")
-    tagged = (
-        places.tag_places(pages, gaz, F.col("t"))
-        if way != "join"
-        else places.tag_places(pages, gaz, F.col("t"), inline_names=3)
-    )
-    got = {r.url: r for r in tagged.collect()}
-    for i, text in enumerate(TEXTS):
+    texts = TEXTS + ["y" + "x" * 300 + "\u0002b", "x" * 299]
+    # No URL, or one URL for two pages, takes no match away.
+    pages = spark.createDataFrame([(i, [None, "u", f"u{i}"][i % 3], t) for i, t in enumerate(texts)], "i INT, url STRING, t STRING")
+    if way == "odd names":
+        with pytest.raises(ValueError):
+            places.tag_places_inline(pages, gaz, F.col("t"))
+    tag = places.tag_places_inline if way == "inline" else places.tag_places
+    got = {r.i: r for r in tag(pages, gaz, F.col("t")).collect()}
+    for i, text in enumerate(texts):
         hits = [(k, p) for k, p in names if p in (text or "")]
-        row = got[f"u{i}"]
+        row = got[i]
         assert row.places == sorted({p for _, p in hits})
         for kind in ("city", "county"):
             best = max(((len(p), p) for k, p in hits if k == kind), default=(0, None))[1]
@@ -152,9 +153,9 @@ def test_one_url_may_hold_a_third_of_all_rows(spark):
         F.col("id").alias("page_id"), "url",
         F.concat(F.lit("<title>t"), "id", F.lit('</title><div class="content">'), text, F.lit("</div>"), post).alias("html"),
     )
-    for limit in (10, 0):
+    for tag in (places.tag_places_inline, places.tag_places):
         texts = cases.page_texts(pages)
-        tagged = places.tag_places(texts, gaz, F.col("content"), inline_names=limit)
+        tagged = tag(texts, gaz, F.col("content"))
         got = tagged.groupBy(F.col("page_id") % 2).agg(F.collect_set("places"), F.count("*")).collect()
         assert {(r[0], str(r[1]), r[2]) for r in got} == {(0, "[['平原']]", 1500), (1, "[['东镇']]", 1500)}
     coded = cases.case_records(pages, gaz, keep=("page_id",))
@@ -223,7 +224,8 @@ def test_stream_in_two_deliveries(spark, tmp_path):
     assert whole.exceptAll(log.current()).count() == 0
 
 
-def _posts(spark, html, layouts=("1a", "1b", "2", "3"), **options):
+def _posts(spark, html, layouts=("1a", "1b", "2", "3"), boxed=True, **options):
+    html = html if 'class="content"' in html or not boxed else f'<div class="content">{html}</div>'
     pages = spark.createDataFrame([("http://x.org/post/7/a", "weibo" + html)], "url STRING, html STRING")
     rows = posts.page_posts(pages, layouts, **options).orderBy("layout", "post_seq").collect()
     assert all(r.source_post_id == 7 for r in rows)
@@ -305,6 +307,26 @@ def test_layout_3(spark):
     ]
 
 
+def test_links_inside_other_children_are_no_author_links(spark):
+    wrapped = f'<b>{AUTHOR}n2</a></b> more words'
+    html = f'<div class="content"><p>{AUTHOR}n1</a></p><p>first words</p><p>{wrapped}</p></div>'
+    assert _posts(spark, html, ("3",)) == [("n1", "first words more words", None)]
+    html = f'<div class="WB_info">0</div><div class="WB_info">1</div><div class="WB_info">{AUTHOR}n1</a> says</div><div class="WB_info"><b>{AUTHOR}n2</a></b>and more</div>'
+    assert _posts(spark, html, ("1b",)) == [("n1", "saysand more", None)]
+    name = '<a class="con_name_txt S_txt1" href="u">{}</a>'
+    html = f"<p>{name.format('n1')}</p><p>one</p><p><i>{name.format('n2')}</i> two</p>"
+    assert _posts(spark, html, ("2",)) == [("n1", "onen2 two", None)]
+    html = '<div class="WB_info"><b><a class="WB_name S_func1">no</a></b><a>yes</a></div><div class="WB_text">a text that stays</div>'
+    assert _posts(spark, html, ("1a",)) == [("yes", "a text that stays", None)]
+
+
+def test_no_posts_without_a_container(spark):
+    html = _info("user_1") + '<div class="WB_text">a text that stays</div>'
+    assert _posts(spark, html, ("1a",)) and not _posts(spark, html, ("1a",), boxed=False)
+    name = '<p><a class="con_name_txt S_txt1" href="u">n</a></p><p>words</p>'
+    assert _posts(spark, name, ("2",)) and not _posts(spark, name, ("2",), boxed=False)
+
+
 def test_union_keeps_each_post_once(spark):
     rows = [("u", 1, "3", 1, "n", "p", ["b"]), ("u", 1, "1a", 2, "n", "p", None), ("u", 1, "1a", 3, "n", "q", None)]
     table = spark.createDataFrame(rows, posts.POST_SCHEMA)
@@ -332,14 +354,15 @@ def test_posts_are_stored_without_names(spark, tmp_path):
     table = spark.createDataFrame([("u", 1, "1a", 0, "user_1", "hello @user_2: x", None)], posts.POST_SCHEMA)
     path = str(tmp_path / "posts")
     with pytest.raises(ValueError):
-        append_posts(table, path)
-    assert append_posts(table, path, key="k") == 1
-    assert append_posts(table, path, key="k") == 1
-    rows = spark.read.parquet(path).collect()
+        append_posts(table, path, 0)
+    assert read_posts(spark, path).count() == 0
+    for batch in (0, 1, 1):
+        assert append_posts(table, path, batch, key="k") == 1
+    rows = read_posts(spark, path).collect()
     assert len(rows) == 2 and {r.post for r in rows} == {"hello @_: x"}
     assert len(rows[0].nickname) == 64 and rows[0].nickname == rows[1].nickname
     raw = str(tmp_path / "raw")
-    assert append_posts(table, raw, raw=True) == 1
+    assert append_posts(table, raw, 0, raw=True) == 1
     assert read_urls(spark, raw).columns == ["url"]
 
 
@@ -347,6 +370,12 @@ def test_slice(spark):
     table = spark.range(0, 300).withColumn("text", F.lit("x"))
     assert sorted(r.id for r in filters.slice_rows(table, "id").collect()) == list(range(12, 100))
     assert filters.slice_rows(table, "id", 290, 400).count() == 10
+    # Keys that repeat, also over both ends, and no key.
+    rows = spark.range(0, 90).select(F.when(F.col("id") < 80, (F.col("id") / 7).cast("int")).alias("k"), (F.col("id") % 2).alias("v"))
+    order = sorted((-1 if r.k is None else r.k) for r in rows.collect())
+    for start, stop in ((0, 10), (3, 40), (12, 12), (85, 200)):
+        got = sorted((-1 if r.k is None else r.k) for r in filters.slice_rows(rows, "k", start, stop).collect())
+        assert got == order[start:stop]
 
 
 @pytest.mark.parametrize("n", [0, 1, 10, 999, 1000, 5000])
