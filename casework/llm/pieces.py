@@ -41,6 +41,9 @@ class Pieces:
         self.bytes = {int(p.piece[3:5], 16): i for i, p in enumerate(proto.pieces) if p.type == BYTE}
         self.unknown = next(i for i, p in enumerate(proto.pieces) if p.type == UNKNOWN)
         self.is_byte = {i: b for b, i in self.bytes.items()}
+        # What a piece stands for; a byte below 128 is a character by itself, others are read together.
+        self.plain = [chr(self.is_byte[i]) if self.is_byte.get(i, 128) < 128 else t.replace(SPACE, " ") for i, t in enumerate(self.texts)]
+        self.high = frozenset(i for i, b in self.is_byte.items() if b > 127)
         self.least = min(self.scores[i] for i in self.ids.values()) - PENALTY
         self.longest = max(map(len, self.ids))
         letters = set("".join(self.ids))
@@ -76,9 +79,13 @@ class Pieces:
         if known is None:
             if len(self._fits) >= PAIRS:
                 self._fits.clear()
-            known = self._fits[key] = self.merged(left + right) == ([left, right] if left else [right])
+            known = self._fits[key] = self.leaves(left, right)
         return known
 
+    def leaves(self, left: str, right: str) -> bool:
+        """The same, worked out anew."""
+        return self.merged(left + right) == ([left, right] if left else [right])
+
     def fallback(self, character: str) -> list[int]:
         """Ids of a character that is in no piece: its bytes, else the unknown piece."""
         return [self.bytes[b] for b in character.encode()] if len(self.bytes) == 256 else [self.unknown]

@@ -16,6 +16,7 @@ like the results are replaced.
 
 from __future__ import annotations
 
+import math
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
@@ -25,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from casework.llm.pieces import SPACE, Pieces, pieces_of
+from casework.llm.pieces import PAIRS, SPACE, Pieces, pieces_of
 
 #: Pre-tokens, and pieces in all of them, that a worker remembers.
 REMEMBERED = 1 << 18
@@ -41,10 +42,63 @@ class Encoder:
             self.automaton.add_word(text, (len(text), i))
         if pieces.ids:
             self.automaton.make_automaton()
+        self.letters = frozenset(x for x in pieces.ids if len(x) == 1)
+        self.sizes = list(map(len, pieces.texts))
+        # Pairs of pieces, as one number, that merging leaves as they are; the empty beginning counts as a piece.
+        self.begin = len(pieces.texts)
+        self.side_by_side: dict[int, bool] = {}
         self.known: dict[str, array] = {}
+        self.older: dict[str, array] = {}
 
     def segment(self, text: str) -> array:
         """Ids of the best segmentation, in one pass over the matches."""
+        if not self.letters.issuperset(text):
+            return self._with_unknown(text)
+        if self.pieces.bpe:
+            last = self._last_merged(text)
+        else:
+            last = self._last_scored(text)
+        out, at = array("i"), len(text)
+        while at:
+            out.append(last[at])
+            at -= self.sizes[last[at]]
+        out.reverse()
+        return out
+
+    def _last_merged(self, text: str) -> list[int]:
+        """Last piece of each prefix, where every character is a piece: the candidate that stays beside the one before."""
+        last, fits, base = [self.begin] + [-1] * len(text), self.side_by_side, self.begin + 1
+        for end, (size, i) in self.automaton.iter(text):
+            end += 1
+            if last[end] < 0:
+                before = last[end - size]
+                pair = before * base + i
+                good = fits.get(pair)
+                if good is None:
+                    good = self._pair(pair, before, i)
+                if good:
+                    last[end] = i
+        return last
+
+    def _pair(self, pair: int, before: int, i: int) -> bool:
+        if len(self.side_by_side) >= PAIRS:
+            self.side_by_side.clear()
+        texts = self.pieces.texts
+        good = self.side_by_side[pair] = self.pieces.leaves("" if before == self.begin else texts[before], texts[i])
+        return good
+
+    def _last_scored(self, text: str) -> list[int]:
+        """Last piece of each prefix, where every character is a piece: the one of the best sum."""
+        last, best, scores = [-1] * (len(text) + 1), [0.0] + [-math.inf] * len(text), self.pieces.scores
+        for end, (size, i) in self.automaton.iter(text):
+            end += 1
+            new = best[end - size] + scores[i]
+            if new > best[end]:
+                best[end], last[end] = new, i
+        return last
+
+    def _with_unknown(self, text: str) -> array:
+        """The same for texts with characters that are no piece."""
         pieces, n = self.pieces, len(text)
         score = [0.0] + [None] * n
         back: list[tuple[int, int]] = [(0, -1)] * (n + 1)
@@ -78,15 +132,20 @@ class Encoder:
 
     def encode(self, text: str) -> array:
         out = array("i")
+        known, extend = self.known, out.extend
         for w in self.pieces.pretokens(text):
-            ids = self.known.get(w)
+            ids = known.get(w)
             if ids is None:
-                ids = self.segment(w)
+                # What was used of late is found in the older half, and stays.
+                ids = self.older.get(w)
+                if ids is None:
+                    ids = self.segment(w)
                 if len(w) <= SHORT:
-                    if len(self.known) >= REMEMBERED:
-                        self.known.clear()
-                    self.known[w] = ids
-            out.extend(ids)
+                    if len(known) >= REMEMBERED // 2:
+                        self.older, known = known, {}
+                        self.known = known
+                    known[w] = ids
+            extend(ids)
         return out
 
 
@@ -98,6 +157,9 @@ def encoder_of(model: bytes) -> Encoder:
 
 def decode_ids(pieces: Pieces, ids) -> str:
     """Text of the ids; runs of byte pieces are read as UTF-8."""
+    if pieces.high.isdisjoint(ids):
+        text = "".join(map(pieces.plain.__getitem__, ids))
+        return text[1:] if pieces.prefix and text.startswith(" ") else text
     out, raw = [], bytearray()
     for i in ids:
         b = pieces.is_byte.get(i)
@@ -168,7 +230,15 @@ def decode(rows: DataFrame, model: bytes, ids: str = "ids") -> DataFrame:
 
 
 def round_trip(docs: DataFrame, model: bytes, text: str = "text") -> DataFrame:
-    """``docs`` with ``ids, decoded, n_pieces`` and whether the text came back."""
-    rows = decode(encode(docs, model, text), model)
+    """``docs`` with ``ids, decoded, n_pieces`` and whether the text came back; ids are decoded where they are made."""
+
+    def work(texts: pa.Array, state: dict) -> pa.Array:
+        encoder = encoder_of(model)
+        ids = [None if t is None else encoder.encode(t) for t in texts.to_pylist()]
+        decoded = [None if x is None else decode_ids(encoder.pieces, x) for x in ids]
+        return pa.StructArray.from_arrays([_lists(ids), pa.array(decoded, pa.string())], names=["ids", "decoded"])
+
+    rest = [c for c in docs.columns if c not in ("ids", "decoded", "n_pieces", "round_trip")]
+    rows = _added(docs.select(*rest), "__codec", "struct<ids:array<int>,decoded:string>", text, work).select(*rest, "__codec.*")
     same = F.col("decoded").eqNullSafe(F.replace(F.col(text), F.lit(SPACE), F.lit(" ")))
     return rows.withColumn("n_pieces", F.size("ids").cast("bigint")).withColumn("round_trip", same)
