@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 from casework.llm.pieces import Pieces, pieces_of
 
 #: Prefixes that a worker keeps.
-NODES = 1 << 20
+NODES = 1 << 19
 
 
 class Trie:
