@@ -39,6 +39,9 @@ REMEMBERED = 1 << 17
 #: Characters of a word that are looked at; no word of a language is longer.
 WORD = 64
 
+#: Score below which the pipeline rejects a text: hardly better than a guess among four languages.
+LEAST_SCORE = 0.3
+
 _SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -199,7 +202,7 @@ def learn_and_predict(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     return model, predict(docs, model, text)
 
 
-def identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
+def identified(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
     """The rows of ``docs`` whose language can be told: not ``und``, and with a score of ``least`` or more."""
     model = train(stored(training_rows(docs), "sample"))
     lang, score = "__lang_pred", "__score"
