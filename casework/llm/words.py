@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are worked on together.
-BLOCK = 1 << 22
+BLOCK = 1 << 21
 #: Bytes whose running sums are in memory together.
 PIECE = 1 << 20
 
