@@ -432,8 +432,9 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     members = every.select("doc_id", "n_shingles", "digest").join(groups, "digest", "left")
     members = stored(members.select("doc_id", "n_shingles", F.coalesce("first", "doc_id").alias("first")), "members")
     copies = members.filter("first <> doc_id").select(F.col("doc_id").alias("a"), F.col("first").alias("b")).distinct()
-    again = groups.select("digest", F.col("first").alias("keep"))
-    sets = some.join(again, "digest", "left").filter("keep IS NULL OR keep = doc_id").drop("keep", "digest")
+    # Representatives, once: the wide rows are shuffled by id for this, and not again.
+    heads = members.filter("first = doc_id").select("doc_id").distinct()
+    sets = stored(some.drop("digest").join(heads.hint("merge"), "doc_id", "left_semi"), "sets")
 
     links, classes = copies, None
     for turn in range(rounds):
