@@ -14,6 +14,7 @@ an empty table gives an empty table; columns other than the text are passed by.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -36,8 +37,8 @@ LONGEST = 4
 BACKOFF = math.log(0.4)
 #: Words that a worker remembers.
 REMEMBERED = 1 << 17
-#: Characters of a word that are looked at; no word of a language is longer.
-WORD = 64
+#: Longer words are looked at whole, but by pieces, and known by a digest; workers do not remember them.
+LONG = 64
 
 #: Score below which the pipeline rejects a text: hardly better than a guess among four languages.
 LEAST_SCORE = 0.3
@@ -81,14 +82,18 @@ class Model:
 
     def word(self, w: str) -> np.ndarray:
         """Scores of a word: its own, or those of its longest known n-grams."""
-        at = self.words.get(w)
+        at = self.words.get(key(w))
         if at is not None:
             return self.word_scores[at]
-        padded = f"<{w[:WORD]}>"
+        padded = f"<{w}>"
         for step, n in enumerate(range(LONGEST, 0, -1)):
-            known = [g for k in range(len(padded) - n + 1) if (g := self.grams.get(padded[k : k + n])) is not None]
-            if known:
-                return self.gram_scores[known].mean(axis=0) + BACKOFF * (step + 1)
+            total, found, places = np.zeros(len(self.langs)), 0, len(padded) - n + 1
+            # A long word is added up in parts.
+            for i in range(0, places, REMEMBERED):
+                known = [g for k in range(i, min(i + REMEMBERED, places)) if (g := self.grams.get(padded[k : k + n])) is not None]
+                total, found = total + self.gram_scores[known].sum(axis=0), found + len(known)
+            if found:
+                return total / found + BACKOFF * (step + 1)
         return np.zeros(len(self.langs))
 
 
@@ -110,7 +115,10 @@ class Scorer:
 
     def sums(self, text: str) -> np.ndarray:
         counts = Counter(text.lower().split())
-        items, total = list(counts), np.zeros(len(self.model.langs) + 1)
+        items, total = [w for w in counts if len(w) <= LONG], np.zeros(len(self.model.langs) + 1)
+        for raw in counts if len(items) < len(counts) else ():
+            if len(raw) > LONG and (w := strip(raw)):
+                total += counts[raw] * np.append(self.model.word(w), 1)
         # A text with more words than are remembered is added up in parts.
         for i in range(0, len(items), self.remembered):
             part = items[i : i + self.remembered]
@@ -132,6 +140,11 @@ class Scorer:
         return model.langs[best], float(np.round(1 / spread.sum(), 9))
 
 
+def key(word: str) -> str:
+    """A word, or the digest of a long one after a space, which no word holds."""
+    return word if len(word) <= LONG else " " + hashlib.sha256(word.encode()).hexdigest()
+
+
 def strip(word: str) -> str:
     """The word from its first to its last letter."""
     if word.isalpha():
@@ -143,10 +156,13 @@ def strip(word: str) -> str:
 def train(rows: DataFrame, words: int = WORDS, grams: int = GRAMS) -> Model:
     """Learn from ``lang, text`` rows; at most ``words + grams`` entries per language leave the executors."""
     every = rows.select("lang", F.explode(_words(F.col("text"))).alias("item")).filter("item <> ''")
-    every = stored(every.groupBy("lang", F.substring("item", 1, WORD).alias("item")).agg(F.count("*").alias("n")), "words")
+    every = stored(every.groupBy("lang", "item").agg(F.count("*").alias("n")), "words")
     padded = F.concat(F.lit("<"), F.col("item"), F.lit(">"))
     cut = every.select("lang", padded.alias("w"), "n", F.explode(F.sequence(F.lit(1), F.lit(LONGEST))).alias("k"))
-    cut = cut.filter(F.length("w") >= F.col("k"))
+    # A long word in pieces that overlap by one character less than an n-gram, so each n-gram is in one piece.
+    pattern = F.concat(F.lit("(?s)(?=(.{1,"), (F.col("k") + LONG - 1).cast("string"), F.lit("})).{1,%d}" % LONG))
+    piece = F.when(F.length("w") <= LONG, F.array("w")).otherwise(F.regexp_extract_all("w", pattern, F.lit(1)))
+    cut = cut.select("lang", "n", "k", F.explode(piece).alias("w")).filter(F.length("w") >= F.col("k"))
     cut = cut.select("lang", "n", "k", F.explode(F.transform(F.sequence(F.lit(1), F.length("w") - F.col("k") + 1), lambda i: F.substring(F.col("w"), i, F.col("k")))).alias("item"))
     cut = cut.groupBy("lang", "k", "item").agg(F.sum("n").alias("n"))
 
@@ -155,6 +171,8 @@ def train(rows: DataFrame, words: int = WORDS, grams: int = GRAMS) -> Model:
         rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "item"))
         return counted.join(F.broadcast(total), group).withColumn("rank", rank).filter(F.col("rank") <= limit).drop("rank").collect()
 
+    digest = F.concat(F.lit(" "), F.sha2(F.col("item").cast("binary"), 256))
+    every = every.withColumn("item", F.when(F.length("item") > LONG, digest).otherwise(F.col("item")))
     known, parts = most(every, words, ["lang"]), most(cut, grams, ["lang", "k"])
     totals = rows.groupBy("lang").count().collect()
     langs = [r["lang"] for r in sorted(totals, key=lambda r: (-r["count"], r["lang"]))]

@@ -176,3 +176,27 @@ def test_shared_lines(spark):
 
     assert got == sorted(map(str, ((r[0], *cleaned(r[1])) for r in rows)))
     assert line_dedup.without_shared_lines(docs.limit(0)).count() == 0
+
+
+def test_words_are_looked_at_whole(spark):
+    # No spaces: what tells the languages apart begins after the 64th character.
+    same = "".join(chr(0x4E00 + i) for i in range(80))
+    own = {x: "".join(chr(0x5000 + 300 * k + i % 200) for i in range(300)) for k, x in enumerate(("zh", "ja"))}
+    rows = [(x, f"{same}{t}") for x, t in own.items()]
+    model = language_id.train(spark.createDataFrame(rows, "lang STRING, text STRING"))
+    # Learned whole: each word, and each n-gram as often as plain Python counts it.
+    scorer = language_id.Scorer(model, 16)
+    for x, text in rows:
+        assert language_id.key(text) in model.words
+        grams = {f"<{text}>"[i : i + n] for n in range(1, 5) for i in range(len(text) + 3 - n)}
+        assert grams <= set(model.grams)
+        # Unseen words that begin alike and end in one language.
+        assert scorer(f"{same}{own[x][5:150]}")[0] == scorer(f"{same * 3}{own[x][40:]}")[0] == x
+    counts = Counter(g for _, t in rows for g in (f"<{t}>"[i : i + 4] for i in range(len(t) - 1)))
+    half = {x: np.log(0.5 / (len(t) - 1 + 1)) for x, t in rows}
+    for x, text in rows:
+        g = text[200:204]
+        other = next(y for y in own if y != x)
+        total = counts[g] + 0.5
+        wanted = (np.log(total / (len(text) - 1 + 1)) - half[other]) / 2
+        assert abs(model.gram_scores[model.grams[g]][model.langs.index(x)] - wanted) < 1e-9
