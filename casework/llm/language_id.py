@@ -1,7 +1,7 @@
 """Language of whole texts: known words first, character n-grams for the others.
 
 Training counts words and the character n-grams of words by language, on a bounded
-sample of the labelled rows.  A known word scores its log frequency in each
+sample of the labelled rows; how frequent a language is, is counted on all of them.  A known word scores its log frequency in each
 language.  A word that is not known backs off to its character n-grams of the
 longest length of which any is known, at a penalty for each step.  A text has the
 language with the largest sum; equal sums go to the more frequent, then to the
@@ -40,8 +40,8 @@ REMEMBERED = 1 << 17
 #: Longer words are looked at whole, but by pieces, and known by a digest; workers do not remember them.
 LONG = 64
 
-#: Score below which the pipeline rejects a text: hardly better than a guess among four languages.
-LEAST_SCORE = 0.3
+#: Evidence below which the pipeline rejects a text: a score of 0.3 among four languages, of which three are equal.
+LEAST_EVIDENCE = math.log(9 / 7)
 
 _SPACE = r"[\x20\x09-\x0D]+"
 
@@ -51,14 +51,19 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
 
 
-def training_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> DataFrame:
+def labelled(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """``doc_id, text, lang`` of the rows that may be learned from."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
+    return rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.coalesce(held_out(F.col("doc_id")), F.lit(False)))
+
+
+def training_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE, counts: DataFrame | None = None) -> DataFrame:
     """``lang, text`` of about ``sample`` labelled rows per language at most, chosen by a hash.
 
-    All rows are counted; the share that is taken follows from the counts.
+    All rows are counted (or ``counts`` says how many there are); the share that is taken follows from the counts.
     """
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-    rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.coalesce(held_out(F.col("doc_id")), F.lit(False)))
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    rows = labelled(docs, doc_id, text, lang)
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")) if counts is None else counts
     share = F.least(F.lit(1.0), F.lit(float(sample)) / F.col("n"))
     pick = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < share * (1 << 20)
     return rows.join(counts, "lang").filter(pick).select("lang", "text")
@@ -129,15 +134,24 @@ class Scorer:
         return total
 
     def __call__(self, text: str | None) -> tuple[str, float]:
+        return self.judge(text)[:2]
+
+    def judge(self, text: str | None) -> tuple[str, float, float]:
+        """Language, score and evidence: by how much the words alone speak for one language against the mean of the others.
+
+        Evidence is scaled like the score, but neither the shares nor the number of the languages enter it.
+        """
         model = self.model
         if not text or not model.langs or not any(map(str.isalpha, text)):
-            return UNKNOWN, 0.0
-        *total, n = self.sums(text)
+            return UNKNOWN, 0.0, 0.0
+        *words, n = self.sums(text)
         # Rounded, so that the order in which words are added up decides nothing.
-        total = np.round(np.array(total) + model.prior, 6)
-        best = int(np.argmax(total))
-        spread = np.exp((total - total[best]) / math.sqrt(max(1.0, n)))
-        return model.langs[best], float(np.round(1 / spread.sum(), 9))
+        total = np.round(np.array(words) + model.prior, 6)
+        best, scale = int(np.argmax(total)), math.sqrt(max(1.0, n))
+        spread = np.exp((total - total[best]) / scale)
+        others = len(words) - 1
+        lead = (max(words) - (sum(words) - max(words)) / others) / scale if others else math.inf
+        return model.langs[best], float(np.round(1 / spread.sum(), 9)), float(np.round(lead, 9))
 
 
 def key(word: str) -> str:
@@ -153,8 +167,11 @@ def strip(word: str) -> str:
     return word[letters[0] : letters[-1] + 1] if letters else ""
 
 
-def train(rows: DataFrame, words: int = WORDS, grams: int = GRAMS) -> Model:
-    """Learn from ``lang, text`` rows; at most ``words + grams`` entries per language leave the executors."""
+def train(rows: DataFrame, words: int = WORDS, grams: int = GRAMS, counts: DataFrame | None = None) -> Model:
+    """Learn from ``lang, text`` rows; at most ``words + grams`` entries per language leave the executors.
+
+    ``counts`` has the rows ``n`` of each ``lang`` in the table that ``rows`` are a sample of.
+    """
     every = rows.select("lang", F.explode(_words(F.col("text"))).alias("item")).filter("item <> ''")
     every = stored(every.groupBy("lang", "item").agg(F.count("*").alias("n")), "words")
     padded = F.concat(F.lit("<"), F.col("item"), F.lit(">"))
@@ -174,10 +191,10 @@ def train(rows: DataFrame, words: int = WORDS, grams: int = GRAMS) -> Model:
     digest = F.concat(F.lit(" "), F.sha2(F.col("item").cast("binary"), 256))
     every = every.withColumn("item", F.when(F.length("item") > LONG, digest).otherwise(F.col("item")))
     known, parts = most(every, words, ["lang"]), most(cut, grams, ["lang", "k"])
-    totals = rows.groupBy("lang").count().collect()
-    langs = [r["lang"] for r in sorted(totals, key=lambda r: (-r["count"], r["lang"]))]
-    n = sum(r["count"] for r in totals)
-    prior = np.array([math.log(next(r["count"] for r in totals if r["lang"] == x) / n) for x in langs])
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")) if counts is None else counts
+    shares = {r["lang"]: r["n"] for r in counts.collect()}
+    langs = sorted(shares, key=lambda x: (-shares[x], x))
+    prior = np.array([math.log(shares[x] / sum(shares.values())) for x in langs])
     return Model(langs, prior, *_scores(known, langs, 0), *_scores(parts, langs, 1))
 
 
@@ -198,31 +215,36 @@ def _scores(rows: list, langs: list[str], by_length: int) -> tuple[dict[str, int
     return index, out - out.mean(axis=1, keepdims=True) if len(out) else out
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """``docs`` with the language and the score; columns of such names are replaced."""
+def predict(docs: DataFrame, model: Model, text: str = "text", names: tuple[str, ...] = ("lang_pred", "score")) -> DataFrame:
+    """``docs`` with the language and the score, and the evidence if there is a third name; columns of such names are replaced."""
     rest = [c for c in docs.columns if c not in names]
     docs = docs.select(*rest)
-    schema = docs.withColumn(names[0], F.lit("")).withColumn(names[1], F.lit(0.0)).schema
+    schema = docs.withColumns({name: F.lit(0.0) if k else F.lit("") for k, name in enumerate(names)}).schema
     at = rest.index(text)
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for batch in batches:
-            found = [scorer(t.as_py()) for t in batch.column(at)]
-            langs, scores = ([f[k] for f in found] for k in (0, 1))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=schema.names)
+            found = [scorer.judge(t.as_py()) for t in batch.column(at)]
+            made = [pa.array([f[k] for f in found], pa.float64() if k else pa.string()) for k in range(len(names))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=schema.names)
 
     return docs.mapInArrow(label, schema)
 
 
+def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Model:
+    """Words from a sample of the labelled rows; shares of the languages from all of them."""
+    counts = stored(labelled(docs, doc_id, text, lang).groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    return train(stored(training_rows(docs, doc_id, text, lang, sample, counts), "sample"), counts=counts)
+
+
 def learn_and_predict(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> tuple[Model, DataFrame]:
-    model = train(stored(training_rows(docs, doc_id, text, lang, sample), "sample"))
+    model = learn(docs, doc_id, text, lang, sample)
     return model, predict(docs, model, text)
 
 
-def identified(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
-    """The rows of ``docs`` whose language can be told: not ``und``, and with a score of ``least`` or more."""
-    model = train(stored(training_rows(docs), "sample"))
-    lang, score = "__lang_pred", "__score"
-    found = predict(docs, model, names=(lang, score))
-    return found.filter((F.col(lang) != UNKNOWN) & (F.col(score) >= least)).select(*docs.columns)
+def identified(docs: DataFrame, least: float = LEAST_EVIDENCE, sample: int = SAMPLE) -> DataFrame:
+    """The rows of ``docs`` whose language can be told: not ``und``, and with evidence of ``least`` or more."""
+    lang, score, evidence = "__lang_pred", "__score", "__evidence"
+    found = predict(docs, learn(docs, sample=sample), names=(lang, score, evidence))
+    return found.filter((F.col(lang) != UNKNOWN) & (F.col(evidence) >= least)).select(*docs.columns)

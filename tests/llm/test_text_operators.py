@@ -200,3 +200,18 @@ def test_words_are_looked_at_whole(spark):
         total = counts[g] + 0.5
         wanted = (np.log(total / (len(text) - 1 + 1)) - half[other]) / 2
         assert abs(model.gram_scores[model.grams[g]][model.langs.index(x)] - wanted) < 1e-9
+
+
+def test_shares_are_those_of_all_labelled_rows(spark):
+    texts = {"en": "the house and the garden", "fr": "la maison et le jardin", "de": "das haus und der garten"}
+    rows = [(k, texts[x], x) for k, x in enumerate(["en"] * 240 + ["fr"] * 120 + ["de"] * 60)]
+    docs = spark.createDataFrame(rows, "doc_id LONG, text STRING, lang STRING")
+    learned = Counter(x for k, _, x in rows if zlib.crc32(str(k).encode()) % 4 != 2)
+    model, _ = language_id.learn_and_predict(docs, sample=20)
+    assert model.langs == ["en", "fr", "de"]
+    assert np.allclose(np.exp(model.prior), [learned[x] / sum(learned.values()) for x in model.langs])
+    # A text without evidence is dropped, whatever the sample and the shares are; one with evidence stays.
+    more = docs.unionByName(spark.createDataFrame([(1000, "ψωξ", None), (1001, "haus", None), (1002, "la", None)], docs.schema))
+    for sample in (20, 4000):
+        kept = {r.doc_id for r in language_id.identified(more, sample=sample).collect()}
+        assert kept == {*range(len(rows)), 1001, 1002}
