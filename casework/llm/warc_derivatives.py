@@ -1,7 +1,8 @@
 """Derived WARC records: from each response a metadata record and a plain-text conversion.
 
 A derived record names its response (``WARC-Refers-To``, with target and date), keeps
-the digests of the response's payload and block, and has its own identifier, a digest of
+all header lines of the source (in the metadata record) and its own digests, else new
+digests of the response's payload and block, and has its own identifier, a digest of
 what it is derived from: deriving again gives the same records.  Every record follows
 from its response alone, so the work is a map over the responses without a shuffle.
 
@@ -75,14 +76,44 @@ def _head(names: list[tuple[str, Column]], block: Column) -> Column:
     return F.concat_ws(CRLF, F.lit(VERSION), *lines, F.concat(F.lit("Content-Length: "), F.octet_length(block).cast("string")))
 
 
+def _header(name: str) -> Column:
+    """A header of the source record, its name in any case; null without one."""
+    found = F.filter(F.map_entries("headers"), lambda e: F.lower(e["key"]) == name.lower())
+    return F.try_element_at(found, F.lit(1))["value"]
+
+
+def _source_lines() -> Column:
+    """Header lines of the source, each as a field: of the HTTP message as they stand, and of the WARC record.
+
+    A message that came without a record's headers is one that ``responses`` has made, and its
+    own two lines are not repeated: the type is a field already, the length is the payload's.
+    """
+    # A folded line belongs to the one before.
+    lines = F.split(F.regexp_replace("http", r"\r?\n[ \t]+", " "), r"\r?\n")
+    lines = F.filter(F.slice(lines, 2, F.greatest(F.size(lines), F.lit(1))), lambda x: x != "")
+    length = F.concat(F.lit("Content-Length: "), F.octet_length("payload").cast("string"))
+    made = F.col("headers").isNull()
+    lines = F.filter(lines, lambda x: ~(made & (x.isin(length, F.lit("Content-Type: text/html; charset=utf-8")))))
+    http = F.transform(lines, lambda x: F.concat(F.lit("sourceHttpHeader: "), x))
+    entries = F.array_sort(F.map_entries("headers"))
+    warc = F.transform(entries, lambda e: F.concat(F.lit("sourceWarcHeader: "), e["key"], F.lit(": "), e["value"]))
+    return F.concat(http, F.coalesce(warc, F.array().cast("array<string>")))
+
+
 def derive(records: DataFrame) -> DataFrame:
-    """Two records for each response: ``record_id, record_type, refers_to, target_uri, date, content_type, block, block_digest, payload_digest, head``."""
-    rows = records.select(*[c.strip() for c in RECORD.split(",")]).filter(F.col("record_type") == "response")
+    """Two records for each response: ``record_id, record_type, refers_to, target_uri, date, content_type, block, block_digest, payload_digest, head``.
+
+    Where ``records`` have the map ``headers`` of their source, as ``read_warc`` gives it, its own digests are kept.
+    """
+    source = F.col("headers") if "headers" in records.columns else F.lit(None).cast("map<string,string>")
+    rows = records.select(*[c.strip() for c in RECORD.split(",")], source.alias("headers")).filter(F.col("record_type") == "response")
     at = F.instr(F.coalesce("block", F.lit("")), END)
     rows = rows.withColumn("block", F.coalesce("block", F.lit(""))).withColumn("at", at)
     rows = rows.withColumn("http", F.when(F.col("at") > 0, F.expr("substring(block, 1, at - 1)")).otherwise(F.col("block")))
     payload = F.when(F.col("at") > 0, F.expr("substring(block, at + 4)")).otherwise(F.lit(""))
-    rows = rows.withColumn("payload", payload).withColumn("payload_digest", digest(F.col("payload"))).withColumn("source_digest", digest(F.col("block")))
+    rows = rows.withColumn("payload", payload).withColumn("payload_digest", F.coalesce(_header("WARC-Payload-Digest"), digest(F.col("payload"))))
+    rows = rows.withColumn("source_digest", F.coalesce(_header("WARC-Block-Digest"), digest(F.col("block"))))
+    rows = rows.withColumn("source_lines", _source_lines())
     title = F.regexp_replace(F.regexp_extract("payload", r"(?is)<title[^>]*>(.*?)</title", 1), r"\s+", " ")
     fields = F.concat_ws(
         CRLF,
@@ -92,6 +123,7 @@ def derive(records: DataFrame) -> DataFrame:
         F.concat(F.lit("language: "), F.regexp_extract("payload", r"(?is)<html[^>]*\blang=[\"']?([A-Za-z-]+)", 1)),
         F.concat(F.lit("outlinks: "), F.regexp_count("payload", F.lit(r"(?i)<a\s[^>]*href=")).cast("string")),
         F.concat(F.lit("sourcePayloadDigest: "), F.col("payload_digest")),
+        F.when(F.size("source_lines") > 0, F.array_join("source_lines", CRLF)),
     )
     kinds = F.array(
         F.struct(F.lit("metadata").alias("record_type"), F.lit("application/warc-fields").alias("content_type"), fields.alias("block")),

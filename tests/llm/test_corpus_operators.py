@@ -227,3 +227,20 @@ def test_mix_query_against_brute_force(spark):
     for d in docs:
         r = rows[d.doc_id]
         assert r.size == len(d.text.split()) and r.source_size == sizes[d.source] and abs(r.target - targets[d.source]) < 1e-6
+
+
+def test_warc_source_headers_and_digests(spark):
+    http = "HTTP/1.1 301 Moved\r\nServer: x\r\nContent-Type: text/html\r\nLocation: /b\r\nSet-Cookie: a\r\nSet-Cookie: b\r\n  more\r\nContent-Length: 99"
+    block = f"{http}\r\n\r\n<p>x"
+    schema = "record_id STRING, record_type STRING, target_uri STRING, date STRING, content_type STRING, block STRING, headers MAP<STRING, STRING>"
+    own = {"WARC-Payload-Digest": "sha1:AAA", "warc-block-digest": "sha1:BBB", "WARC-IP-Address": "10.0.0.1"}
+    rows = [("<i>", "response", "u", "d", "c", block, own), ("<j>", "response", "u", "d", "c", block, None)]
+    got = {(r.refers_to, r.record_type): r for r in warc_derivatives.derive(spark.createDataFrame(rows, schema)).collect()}
+    for kind in ("metadata", "conversion"):
+        assert got["<i>", kind].payload_digest == "sha1:AAA" and "WARC-Source-Block-Digest: sha1:BBB" in got["<i>", kind]["head"]
+        assert got["<j>", kind].payload_digest.startswith("sha256:")
+    fields = got["<i>", "metadata"].block.split("\r\n")
+    for line in ("Server: x", "Content-Type: text/html", "Location: /b", "Set-Cookie: a", "Set-Cookie: b more", "Content-Length: 99"):
+        assert f"sourceHttpHeader: {line}" in fields
+    assert "sourceWarcHeader: WARC-IP-Address: 10.0.0.1" in fields and "sourcePayloadDigest: sha1:AAA" in fields
+    assert "sourceHttpHeader: Content-Length: 99" in got["<j>", "metadata"].block
