@@ -112,7 +112,7 @@ def calls_and_results(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = chat_tools.linked_calls(*calls_and_results(spark.read.parquet(f"{sf_dir}/conversations.parquet")), TOOLS)
+    rows = chat_tools.calls_and_results(*calls_and_results(spark.read.parquet(f"{sf_dir}/conversations.parquet")), TOOLS)
     return rows.withColumn("problems", F.array_join("problems", " "))
 
 

@@ -244,3 +244,16 @@ def test_warc_source_headers_and_digests(spark):
         assert f"sourceHttpHeader: {line}" in fields
     assert "sourceWarcHeader: WARC-IP-Address: 10.0.0.1" in fields and "sourcePayloadDigest: sha1:AAA" in fields
     assert "sourceHttpHeader: Content-Length: 99" in got["<j>", "metadata"].block
+
+
+def test_every_result_is_linked_or_listed(spark):
+    call = "conv_id LONG, turn LONG, call_id STRING, name STRING, arguments STRING, after ARRAY<STRING>"
+    calls = [(1, t, c, "find", '{"q":"x"}', []) for t, c in ((3, "a"), (3, "a"), (7, "a"), (5, "b"), (4, "c"))]
+    results = [(1, 2, "a", "early"), (1, 4, "a", "one"), (1, 5, "a", "extra"), (1, 8, "a", None), (1, 8, "a", None), (1, 4, "b", "early"), (1, 6, "b", "valid")]
+    results += [(1, 4, "c", "same turn"), (1, 9, "z", "lone"), (1, 10, "z", "lone"), (None, 1, "a", "n"), (1, 1, None, "n")]
+    found = chat_tools.calls_and_results(spark.createDataFrame(calls, call), spark.createDataFrame(results, "conv_id LONG, turn LONG, call_id STRING, content STRING"), SCHEMAS)
+    got = sorted((str(r.call_id), r.turn, r.name or "", r.result_turn or 0, " ".join(r.problems)) for r in found.collect())
+    wanted = [("a", 3, "find", 4, "")] * 2 + [("a", 7, "find", 8, ""), ("b", 5, "find", 6, ""), ("c", 4, "find", 0, "")]
+    wanted += [("a", 2, "", 2, "early_result"), ("a", 5, "", 5, "extra_result"), ("a", 8, "", 8, "extra_result"), ("b", 4, "", 4, "early_result"), ("c", 4, "", 4, "early_result")]
+    wanted += [("z", 9, "", 9, "no_call"), ("z", 10, "", 10, "no_call"), ("a", 1, "", 1, "no_call"), ("None", 1, "", 1, "no_call")]
+    assert got == sorted(wanted)
