@@ -19,15 +19,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from casework.functions.markup import unescape
+
 VERSION = "WARC/1.1"
 CRLF = "\r\n"
 END = CRLF + CRLF
 RECORD = "record_id, record_type, target_uri, date, content_type, block"
 
-# Elements whose text is never read, elements that end a line, and entities.
+# Elements whose text is never read, and elements that end a line.
 HIDDEN = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<noscript\b.*?</noscript\s*>|<head\b.*?</head\s*>|<!--.*?-->"
 LINES = r"(?i)</?(?:p|div|br|li|ul|ol|h[1-6]|tr|table|article|section|header|footer|nav|title|blockquote|pre)\b[^>]*>"
-ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&hellip;", "…"), ("&mdash;", "—"), ("&ndash;", "–"), ("&amp;", "&")]
 
 
 def digest(data: Column) -> Column:
@@ -64,8 +65,7 @@ def plain_text(html: Column) -> Column:
     text = F.regexp_replace(html, HIDDEN, " ")
     text = F.regexp_replace(F.regexp_replace(text, r"\s+", " "), LINES, "\n")
     text = F.regexp_replace(text, r"<[^>]*>", "")
-    for entity, character in ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(character))
+    text = unescape(text)
     text = F.regexp_replace(text, r" *\n[ \n]*", "\n")
     return F.regexp_replace(text, r"^[ \n]+|[ \n]+$", "")
 

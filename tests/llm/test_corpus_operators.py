@@ -257,3 +257,10 @@ def test_every_result_is_linked_or_listed(spark):
     wanted += [("a", 2, "", 2, "early_result"), ("a", 5, "", 5, "extra_result"), ("a", 8, "", 8, "extra_result"), ("b", 4, "", 4, "early_result"), ("c", 4, "", 4, "early_result")]
     wanted += [("z", 9, "", 9, "no_call"), ("z", 10, "", 10, "no_call"), ("a", 1, "", 1, "no_call"), ("None", 1, "", 1, "no_call")]
     assert got == sorted(wanted)
+
+
+def test_warc_text_resolves_all_entities(spark):
+    rows = [("it&#8217;s &#x2014; caf&eacute;&nbsp;&ldquo;q&rdquo;", "it\u2019s \u2014 caf\u00e9 \u201cq\u201d"), ("&amp;lt; &nosuch; &", "&lt; &nosuch; &"), ("&#128512;&euro;", "\U0001f600\u20ac")]
+    pages = spark.createDataFrame([(str(k), f"<p>{html}</p>") for k, (html, _) in enumerate(rows)], "url STRING, html STRING")
+    found = warc_derivatives.derive(warc_derivatives.responses(pages, "d")).filter("record_type = 'conversion'").collect()
+    assert {r.target_uri: r.block for r in found} == {str(k): text for k, (_, text) in enumerate(rows)}
