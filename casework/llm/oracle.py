@@ -145,5 +145,37 @@ FROM v
 """
 
 
+#: n-grams of 1 to 4 words within pieces, counted; cuts; and what lies in a longer one.
+OP11 = r"""
+WITH p AS (
+    SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS doc, unnest(string_split_regex(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents
+),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p),
+t AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM w GROUP BY lang),
+s AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
+g AS (
+    SELECT lang, m.m AS size, array_to_string(ws[i:i + m.m - 1], ' ') AS phrase, count(*) AS f
+    FROM s, (SELECT unnest([1, 2, 3, 4]) AS m) m WHERE i + m.m - 1 <= len(ws) GROUP BY ALL HAVING count(*) >= 30
+),
+c AS (SELECT *, string_split(phrase, ' ') AS ws FROM g WHERE size > 1),
+k AS (SELECT lang, phrase, f AS a, unnest(range(1, size)) AS k, ws FROM c),
+x AS (
+    SELECT k.lang, k.phrase, a, k, l.f AS l, r.f AS r, CAST(CAST(2000000 AS HUGEINT) * a // (l.f + r.f) AS BIGINT) AS score
+    FROM k JOIN g l ON l.lang = k.lang AND l.phrase = array_to_string(ws[1:k], ' ') JOIN g r ON r.lang = k.lang AND r.phrase = array_to_string(ws[k + 1:], ' ')
+),
+b AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+u AS (SELECT lang, f, size, ws, unnest(range(2, size)) AS m FROM c WHERE size > 2),
+v AS (SELECT lang, f, ws, m, unnest(range(1, size - m + 2)) AS i FROM u),
+y AS (SELECT lang, array_to_string(ws[i:i + m - 1], ' ') AS phrase, max(f) AS longer FROM v GROUP BY ALL),
+z AS (
+    SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank
+    FROM b LEFT JOIN y ON y.lang = b.lang AND y.phrase = b.phrase WHERE longer IS NULL OR 100 * longer < 80 * a
+)
+SELECT z.lang, rank, phrase, a, l, r, n, score FROM z JOIN t ON t.lang = z.lang WHERE rank <= 2000
+"""
+
+
 def all_oracles() -> dict[str, str]:
-    return {"op3_ngram_jaccard_join": OP3, "op4_exact_dedup": OP4, "op5_quality_rules": OP5, "op8_line_dedup": OP8, "op9_chat_formatting": OP9, "op10_warc_derivatives": OP10}
+    return {"op3_ngram_jaccard_join": OP3, "op4_exact_dedup": OP4, "op5_quality_rules": OP5, "op8_line_dedup": OP8, "op9_chat_formatting": OP9, "op10_warc_derivatives": OP10, "op11_collocations": OP11}

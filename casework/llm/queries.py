@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from casework.llm import (
     chat_tools,
+    collocations,
     exact_dedup,
     jaccard_join,
     language_id,
@@ -121,6 +122,10 @@ def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_derivatives.derive(warc_derivatives.responses(pages, PAGE_DATE))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_documents(spark, sf_dir))
+
+
 def all_queries() -> dict[str, Query]:
     return {
         "op1_token_counts": op1_token_counts,
@@ -133,4 +138,5 @@ def all_queries() -> dict[str, Query]:
         "op8_line_dedup": op8_line_dedup,
         "op9_chat_formatting": op9_chat_formatting,
         "op10_warc_derivatives": op10_warc_derivatives,
+        "op11_collocations": op11_collocations,
     }

@@ -133,8 +133,8 @@ def _ranges(begin: np.ndarray, counts: np.ndarray) -> np.ndarray:
 ranges = _ranges
 
 
-def blocks(texts: pa.Array, most: int = BLOCK) -> Iterator[tuple[int, Block]]:
-    """The texts of an Arrow column as blocks, each with the row of its first text; null is empty."""
+def blocks(texts: pa.Array, most: int = BLOCK, kind: type = Block) -> Iterator[tuple[int, Block]]:
+    """The texts of an Arrow column as blocks of a ``kind``, each with the row of its first text; null is empty."""
     texts = texts.cast(pa.large_binary())
     lengths = texts.fill_null(b"") if texts.null_count else texts
     offsets = np.frombuffer(lengths.buffers()[1], np.int64)[lengths.offset : lengths.offset + len(lengths) + 1]
@@ -144,5 +144,5 @@ def blocks(texts: pa.Array, most: int = BLOCK) -> Iterator[tuple[int, Block]]:
     while i < len(lengths):
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, "right")) - 1)
         own = offsets[i : j + 1]
-        yield i, Block(data[own[0] : own[-1]], own - own[0])
+        yield i, kind(data[own[0] : own[-1]], own - own[0])
         i = j
