@@ -177,5 +177,26 @@ SELECT z.lang, rank, phrase, a, l, r, n, score FROM z JOIN t ON t.lang = z.lang
 """
 
 
+def _op13(rounds: int = 10) -> str:
+    """Every round is a table of centroids and one of the nearest centroid of each vector."""
+    steps = [
+        """v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+        WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        "c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS j, x AS c FROM v ORDER BY j LIMIT 8)",
+    ]
+    nearest = """SELECT vec_id, x, arg_min(j, (d, j)) AS j, min(d) AS d FROM (SELECT vec_id, x, j,
+        list_sum(list_transform(list_zip(x, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d FROM v, c{}) GROUP BY vec_id, x"""
+    for r in range(rounds + 1):
+        steps.append(f"a{r} AS MATERIALIZED ({nearest.format(r)})")
+        if r < rounds:
+            steps.append(f"""c{r + 1} AS MATERIALIZED (SELECT o.j, coalesce(n.c, o.c) AS c FROM c{r} o LEFT JOIN (
+            SELECT j, list(m ORDER BY i) AS c FROM (SELECT j, i, (sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) AS m
+                FROM (SELECT j, unnest(x) AS x, unnest(range(64)) AS i FROM a{r}) GROUP BY j, i) GROUP BY j) n ON n.j = o.j)""")
+    last = rounds
+    return f"""WITH {", ".join(steps)}
+    SELECT vec_id, CAST(a.j AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY a.j) AS BIGINT) AS cluster_inertia,
+        CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256 FROM a{last} a JOIN c{last} c ON a.j = c.j"""
+
+
 def all_oracles() -> dict[str, str]:
-    return {"op3_ngram_jaccard_join": OP3, "op4_exact_dedup": OP4, "op5_quality_rules": OP5, "op8_line_dedup": OP8, "op9_chat_formatting": OP9, "op10_warc_derivatives": OP10, "op11_collocations": OP11}
+    return {"op3_ngram_jaccard_join": OP3, "op4_exact_dedup": OP4, "op5_quality_rules": OP5, "op8_line_dedup": OP8, "op9_chat_formatting": OP9, "op10_warc_derivatives": OP10, "op11_collocations": OP11, "op13_centroid_clustering": _op13()}

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from casework.llm import (
+    centroids,
     chat_tools,
     collocations,
     exact_dedup,
@@ -126,6 +127,10 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(_documents(spark, sf_dir))
 
 
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.centroid_clusters(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def all_queries() -> dict[str, Query]:
     return {
         "op1_token_counts": op1_token_counts,
@@ -139,4 +144,5 @@ def all_queries() -> dict[str, Query]:
         "op9_chat_formatting": op9_chat_formatting,
         "op10_warc_derivatives": op10_warc_derivatives,
         "op11_collocations": op11_collocations,
+        "op13_centroid_clustering": op13_centroid_clustering,
     }
