@@ -46,8 +46,9 @@ NO_LANG = "und"
 #: Marks at which a text is cut into pieces.
 BREAKS = b".,;:!?\x0a\x0b\x0c\x0d"
 
-#: Counters of a task before it writes its summaries.
-HELD = 1 << 22
+#: Counters of a task before it writes its summaries, and most of them in a row.
+HELD = 1 << 21
+IN_ROW = 1 << 16
 #: Bytes of text for each partition of the summaries, and the least number of these.
 PER_PART, LEAST_PARTS = 1 << 28, 32
 #: Parts into which a language's phrases are dealt before its first ones are chosen.
@@ -148,7 +149,7 @@ def _planes(values: np.ndarray) -> bytes:
     return values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
 
 
-def _from_planes(raw: bytes) -> np.ndarray:
+def _from_planes(raw: pa.Buffer) -> np.ndarray:
     return np.frombuffer(raw, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
 
 
@@ -164,7 +165,8 @@ def _summaries(parts: int, held_most: int):
             low = (keys[i:j] & np.uint64(0xFFFFFFFF)).astype(np.int64)
             out.append((int(part[i]), 0, int(counts[i:j].sum()), b"", b""))
             # A count beyond 32 bits is more than a task can read.
-            out.append((int(part[i]), 1, 0, _planes(np.diff(low, prepend=0)), _planes(counts[i:j])))
+            for x in range(0, j - i, IN_ROW):
+                out.append((int(part[i]), 1, 0, _planes(np.diff(low[x : x + IN_ROW], prepend=0)), _planes(counts[i:j][x : x + IN_ROW])))
         types = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["part", "body", "mass", "keys", "counts"])
 
@@ -198,7 +200,7 @@ def _survivors(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, mass, held, size, lost = None, 0, [], 0, 0
         for batch in batches:
-            for p, body, m, raw_keys, raw_counts in zip(*(batch.column(k).to_pylist() for k in range(5))):
+            for i, (p, body, m) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(3)))):
                 if p != part:
                     if part is not None:
                         yield finish(part, held, lost)
@@ -206,8 +208,8 @@ def _survivors(least: int):
                 mass += m
                 if not body:
                     continue
-                keys = np.cumsum(_from_planes(raw_keys), dtype=np.uint64)
-                held.append((keys, _from_planes(raw_counts).astype(np.int64)))
+                keys = np.cumsum(_from_planes(batch.column(3)[i].as_buffer()), dtype=np.uint64)
+                held.append((keys, _from_planes(batch.column(4)[i].as_buffer()).astype(np.int64)))
                 size += len(keys)
                 capacity = mass // least + 1
                 if size > 2 * capacity + 65_536:
