@@ -18,6 +18,7 @@ from casework.llm import (
     pieces,
     quality_rules,
     sentencepiece_codec,
+    suffix_dedup,
     token_counts,
     warc_derivatives,
 )
@@ -127,6 +128,14 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(_documents(spark, sf_dir))
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = suffix_dedup.without_repeats(_documents(spark, sf_dir).select("doc_id", "text"))
+    removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["begin"])
+    return rows.select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.centroid_clusters(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -144,5 +153,6 @@ def all_queries() -> dict[str, Query]:
         "op9_chat_formatting": op9_chat_formatting,
         "op10_warc_derivatives": op10_warc_derivatives,
         "op11_collocations": op11_collocations,
+        "op12_suffix_dedup": op12_suffix_dedup,
         "op13_centroid_clustering": op13_centroid_clustering,
     }
