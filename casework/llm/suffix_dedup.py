@@ -36,17 +36,18 @@ from casework.llm.work import stored
 
 SIZE = 200
 #: Bytes whose hash anchors a window.
-ANCHOR = 80
+ANCHOR = 64
 #: Bytes of text that are worked on together.
-SEGMENT = 1 << 20
+SEGMENT = words.PIECE - (1 << 12)
 #: Different pieces of an anchor that one task compares.
 GROUP = 2000
 #: Bytes of pieces in one suffix array, where an anchor has no more.
-ARRAY = 1 << 15
+ARRAY = 1 << 13
 #: Windows of a piece after each cut of a large anchor.
 CUTS = (11, 1)
-#: Rows of a piece from which on it is frequent: one in so many of all.
+#: Rows of a piece from which on it is frequent, one in so many of all, and parts over which its rows are dealt.
 FREQUENT = 1000
+SALTS = 64
 
 _ROOT = words._ROOT
 
@@ -57,20 +58,20 @@ class Pieces:
     def __init__(self, data: np.ndarray, offsets: np.ndarray, size: int, anchor: int):
         n, width = len(data), size - anchor + 1
         self.data = data
-        up, down = words._powers(_ROOT, n + 1), words._powers(pow(_ROOT, -1, 2**64), n + 1)
+        up, down = words._piece_powers() if n <= words.PIECE else (words._powers(_ROOT, n + 1), words._powers(pow(_ROOT, -1, 2**64), n + 1))
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum(words._byte_values(False)[data] * up[:n], out=sums[1:])
         hashes = words.mix((sums[anchor:] - sums[:-anchor]) * down[: n - anchor + 1])
         least = _least(hashes, width)
-        start = np.arange(len(least))
-        text = np.searchsorted(offsets, start, "right") - 1
-        inside = start + size <= offsets[text + 1]
-        start, least, text = start[inside], least[inside], text[inside]
-        first = np.flatnonzero(np.concatenate([[True], (least[1:] != least[:-1]) | (text[1:] != text[:-1])])) if len(start) else start
-        self.lo, self.text, at = start[first], text[first], least[first]
-        self.n = np.diff(np.append(first, len(start)))
+        first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]])) if len(least) else np.zeros(0, np.int64)
+        at, behind = least[first], np.append(first[1:], len(least))
+        # The windows of an anchor lie in its own text.
+        text = np.searchsorted(offsets, at, "right") - 1
+        lo, hi = np.maximum(first, offsets[text]), np.minimum(behind, offsets[text + 1] - size + 1)
+        inside = lo < hi
+        self.lo, self.text, at, self.n = lo[inside], text[inside], at[inside], (hi - lo)[inside]
         self.q = at - self.lo
-        self.a = hashes[at] if len(at) else np.zeros(0, np.uint64)
+        self.a = hashes[at]
         self.g = words.mix((sums[self.lo + self.n + size - 1] - sums[self.lo]) * down[self.lo] + self.n.astype(np.uint64))
 
 
@@ -126,20 +127,15 @@ def _all_pieces(size: int, anchor: int):
     return run
 
 
-def _place_key(k1: np.ndarray, k2: np.ndarray, lo: np.ndarray) -> np.ndarray:
-    """One number for a place in a text."""
-    return words.mix(k1.view(np.uint64) + words.mix(k2.view(np.uint64) + lo.astype(np.uint64)))
-
-
 def _texts_of(table: bytes, size: int, anchor: int):
     """The bytes of the pieces at the places that the table knows, and perhaps of some others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = bit_table.opened(table)
         for batch in batches:
-            k1, k2 = (batch.column(k).to_numpy() for k in (1, 2))
+            k1 = batch.column(1).to_numpy()
             for row, lo, p in _segments(batch.column(0), size, anchor):
-                on = np.flatnonzero(bit_table.maybe(wanted, _place_key(k1[row], k2[row], lo)))
+                on = np.flatnonzero(bit_table.maybe(wanted, k1[row] ^ lo))
                 raw = [p.data[b : b + n + size - 1].tobytes() for b, n in zip(p.lo[on].tolist(), p.n[on].tolist())]
                 columns = [_column(p.a[on]), _column(p.g[on]), pa.array(p.q[on].astype(np.int32)), pa.array(raw, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["a", "g", "q", "bytes"])
@@ -147,13 +143,16 @@ def _texts_of(table: bytes, size: int, anchor: int):
     return run
 
 
-def _known(table: bytes, keys, names: list[str]):
-    """Rows whose key the table may know."""
+def _known(table: bytes, names: list[str]):
+    """Rows whose key, the numbers in ``names`` combined bit by bit, the table may know."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = bit_table.opened(table)
         for batch in batches:
-            yield batch.filter(pa.array(bit_table.maybe(wanted, keys(*(batch.column(batch.schema.get_field_index(c)).to_numpy() for c in names)))))
+            keys = np.zeros(batch.num_rows, np.int64)
+            for c in names:
+                keys = keys ^ batch.column(batch.schema.get_field_index(c)).to_numpy()
+            yield batch.filter(pa.array(bit_table.maybe(wanted, keys)))
 
     return run
 
@@ -172,14 +171,15 @@ def repeated_windows(pieces: list[bytes], size: int) -> list[tuple[int, int] | N
     is_window[windows] = True
     order = suffix_array(joined)
     order = order[is_window[order]]
-    equal = np.ones(max(0, len(order) - 1), bool)
     x, y = order[:-1], order[1:]
-    eight = np.lib.stride_tricks.sliding_window_view((joined - 1).astype(np.uint8), 8)
+    # Eight bytes as one number.
+    raw = (joined - 1).astype(np.uint8)
+    eight = np.lib.stride_tricks.sliding_window_view(raw, 8).copy().view(np.uint64).ravel()
     for step in [*range(0, size - 8, 8), size - 8]:
-        on = np.flatnonzero(equal)
-        equal[on] = (eight[x[on] + step] == eight[y[on] + step]).all(1)
+        same = eight[x + step] == eight[y + step]
+        x, y = x[same], y[same]
     again = np.zeros(len(joined), bool)
-    again[x[equal]] = again[y[equal]] = True
+    again[x] = again[y] = True
     out: list[tuple[int, int] | None] = []
     for b, n in zip(begin, lengths - size + 1):
         at = np.flatnonzero(again[b : b + n])
@@ -270,18 +270,17 @@ def repeated_spans(
     """``k1, k2, spans`` of the rows with repeated strings; a span is the first byte and the one behind the last."""
     texts = _keyed(docs, doc_id, text).filter(F.octet_length("text") >= size).select("text", "k1", "k2")
     every = stored(texts.mapInArrow(_all_pieces(size, anchor), PIECE), "pieces")
-    as_u64 = lambda a: a.view(np.uint64)
     anchors = bit_table.build(stored(every.groupBy("a").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("a").alias("key")), "anchors"))
-    some = every.mapInArrow(_known(anchors, as_u64, ["a"]), PIECE)
-    pieces = some.groupBy("a", "g").agg(F.count("*").alias("c"), F.max("n").alias("n"), F.min(F.struct("k1", "k2", "lo")).alias("at"))
+    some = every.mapInArrow(_known(anchors, ["a"]), PIECE)
+    # One place of each piece, as a number that few other places share.
+    pieces = some.groupBy("a", "g").agg(F.count("*").alias("c"), F.max("n").alias("n"), F.min(F.col("k1").bitwiseXOR(F.col("lo"))).alias("at"))
     pieces = stored(pieces, "different-pieces")
     kinds = pieces.groupBy("a").agg(F.count("*").alias("kinds"))
     again = pieces.filter("c > 1").selectExpr("a", "g", "0 AS first", "n - 1 AS last")
-    mixed = pieces.join(kinds.filter("kinds > 1"), "a")
-    mixed = stored(mixed.select("a", "g", "c", "n", "kinds", "at"), "mixed")
+    mixed = stored(pieces.join(kinds.filter("kinds > 1"), "a").select("a", "g", "c", "n", "kinds", "at"), "mixed")
 
-    # The bytes of the different pieces, each from the first of its places.
-    places = bit_table.build(stored(mixed.select("at.*").mapInArrow(_place_keys, "key BIGINT"), "places"))
+    # The bytes of the different pieces, each from that place.
+    places = bit_table.build(mixed.select(F.col("at").alias("key")))
     found = texts.mapInArrow(_texts_of(places, size, anchor), "a BIGINT, g BIGINT, q INT, bytes BINARY")
     found = found.groupBy("a", "g").agg(F.max(F.struct("q", "bytes")).alias("t"))
     mixed = stored(mixed.join(found, ["a", "g"]).select("a", "g", "c", "n", "kinds", "t.q", "t.bytes"), "mixed-bytes")
@@ -297,27 +296,18 @@ def repeated_spans(
     # Windows of a piece are so near each other that its first and its last span all between them.
     ends = stored(ends.groupBy("a", "g").agg(F.min("first").alias("first"), F.max("last").alias("last")), "ends")
 
-    wanted = bit_table.build(stored(ends.mapInArrow(_piece_keys, "key BIGINT"), "wanted"))
-    rows = every.mapInArrow(_known(wanted, lambda a, g: words.mix(a.view(np.uint64) + words.mix(g.view(np.uint64))), ["a", "g"]), PIECE)
-    # Frequent pieces, at most FREQUENT of them, are told where they lie.
+    # Rows of frequent pieces, of which there are at most FREQUENT, are dealt over several tasks.
     least = max(32, every.count() // FREQUENT)
-    frequent = stored(pieces.filter(F.col("c") > least).select("a", "g").join(ends, ["a", "g"]), "frequent")
-    often = rows.join(F.broadcast(frequent), ["a", "g"])
-    seldom = rows.join(F.broadcast(frequent.select("a", "g")), ["a", "g"], "left_anti").join(ends, ["a", "g"])
-    own = often.select("k1", "k2", "lo", "first", "last").unionByName(seldom.select("k1", "k2", "lo", "first", "last"))
-    span = F.struct((F.col("lo") + F.col("first")).alias("begin"), (F.col("lo") + F.col("last") + size).alias("end"))
-    return stored(own.groupBy("k1", "k2").agg(F.collect_set(span).alias("spans")), "spans")
+    frequent = stored(pieces.filter(F.col("c") > least).select("a", "g", F.lit(SALTS).alias("salts")), "frequent")
+    wanted = bit_table.build(ends.select(F.col("a").bitwiseXOR(F.col("g")).alias("key")))
 
+    def salted(rows: DataFrame, salt) -> DataFrame:
+        return rows.join(F.broadcast(frequent), ["a", "g"], "left").withColumn("salts", F.coalesce("salts", F.lit(1))).withColumn("salt", salt)
 
-def _place_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([_column(_place_key(*(batch.column(k).to_numpy() for k in range(3))))], names=["key"])
-
-
-def _piece_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        a, g = (batch.column(k).to_numpy().view(np.uint64) for k in range(2))
-        yield pa.RecordBatch.from_arrays([_column(words.mix(a + words.mix(g)))], names=["key"])
+    rows = salted(every.mapInArrow(_known(wanted, ["a", "g"]), PIECE), F.pmod("k1", F.col("salts")).cast("int"))
+    own = rows.join(salted(ends, F.explode(F.sequence(F.lit(0), F.col("salts") - 1))), ["a", "g", "salt"])
+    span = F.struct((F.col("lo") + F.col("first")).alias("begin"), (F.col("lo") + F.col("last") + size).alias("end"))
+    return stored(own.groupBy("k1", "k2").agg(F.collect_set(span).alias("spans")), "spans")
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -336,15 +326,14 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     spans = repeated_spans(docs, doc_id, text, **options)
     rows = _keyed(docs, doc_id, text)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    keys = lambda k1, k2: _place_key(k1, k2, np.zeros(len(k1), np.int64))
-    touched = bit_table.build(stored(spans.select("k1", "k2", F.lit(0).cast("bigint").alias("lo")).mapInArrow(_place_keys, "key BIGINT"), "touched"))
+    touched = bit_table.build(spans.select(F.col("k1").alias("key")))
     schema = f"doc_id {kind}, kept BINARY, spans ARRAY<STRUCT<begin: BIGINT, end: BIGINT>>, n_bytes BIGINT"
 
     def some(on: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             table = bit_table.opened(touched)
             for batch in batches:
-                yield batch.filter(pa.array(bit_table.maybe(table, keys(batch.column(2).to_numpy(), batch.column(3).to_numpy())) == on))
+                yield batch.filter(pa.array(bit_table.maybe(table, batch.column(2).to_numpy()) == on))
 
         return run
 

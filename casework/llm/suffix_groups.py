@@ -47,9 +47,10 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
     g = len(members) - 1
     while g >= 0:
         live = members[g]
-        if len(live) != count[g]:
-            live = [i for i in live if gid[i] == g]
-        if len(live) == 1:
+        many = count[g]
+        if len(live) != many:
+            live = members[g] = [i for i in live if gid[i] == g]
+        if many == 1:
             i = live[0]
             done[i] = 1
             j = i - 1
@@ -61,8 +62,17 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
                 if count[k] == 1:
                     length[k] += length[g]
                 else:
-                    raised([j], k, length[g])
-        elif live:
+                    # The same as raised([j], k, length[g]), written out for speed.
+                    gid[j] = new = len(members)
+                    members.append([j])
+                    count.append(1)
+                    count[k] -= 1
+                    length.append(length[k] + length[g])
+                    up = above[k]
+                    below.append(k)
+                    above.append(up)
+                    above[k] = below[up] = new
+        elif many:
             for i in live:
                 done[i] = 1
             # How many suffixes of this group follow each other behind one lower suffix.
@@ -87,9 +97,8 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
                         members[k] = js
                 else:
                     raised(js, k, times * own)
-        if live:
+        if many:
             descending.append(g)
-            members[g] = live
         g = below[g]
 
     # The suffix at which the Lyndon prefix of another ends is the next smaller one.
