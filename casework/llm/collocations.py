@@ -47,8 +47,10 @@ NO_LANG = "und"
 BREAKS = b".,;:!?\x0a\x0b\x0c\x0d"
 
 #: Counters of a task before it writes its summaries, and most of them in a row.
-HELD = 1 << 21
+HELD = 1 << 20
 IN_ROW = 1 << 16
+#: Bytes of text that are worked on together.
+BLOCK = 1 << 20
 #: Bytes of text for each partition of the summaries, and the least number of these.
 PER_PART, LEAST_PARTS = 1 << 28, 32
 #: Parts into which a language's phrases are dealt before its first ones are chosen.
@@ -65,9 +67,9 @@ class Pieces(words.Block):
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         super().__init__(_SIGNS[data], offsets)
-        ends = np.cumsum(self.data == 10, dtype=np.int64)
+        ends = np.cumsum(self.data == 10, dtype=np.int32)
         self.text_of = np.repeat(np.arange(len(self)), np.diff(self.first))
-        self.piece = (ends[self.begin] if len(self.begin) else np.zeros(0, np.int64)) + self.text_of
+        self.piece = (ends[self.begin] if len(self.begin) else np.zeros(0, np.int32)) + self.text_of
 
     def together(self, size: int) -> np.ndarray:
         """For each word whether it and the next ones, ``size`` in all, are of one piece."""
@@ -111,7 +113,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Pieces, np.ndarra
         for name in set(names) - known.keys():
             known[name] = int.from_bytes(hashlib.blake2b(name.encode(), digest_size=8).digest(), "little")
         marks = np.array([known[n] for n in names], np.uint64)
-        for i, block in words.blocks(batch.column(0), kind=Pieces):
+        for i, block in words.blocks(batch.column(0), BLOCK, Pieces):
             yield block, block.hashes(lower=False), marks[i : i + len(block)][block.text_of], names[i : i + len(block)]
 
 
