@@ -146,13 +146,14 @@ def trimmed(keys: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[np.nda
     return keys[keep], counts[keep] - off, off
 
 
-def _planes(values: np.ndarray) -> bytes:
-    """32-bit numbers, byte by byte: small ones leave runs of zeros to the compression."""
-    return values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+def _packed(values: np.ndarray) -> bytes:
+    """32-bit numbers, compressed byte by byte: small ones leave runs of zeros."""
+    return pa.compress(values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), "zstd", asbytes=True)
 
 
-def _from_planes(raw: pa.Buffer) -> np.ndarray:
-    return np.frombuffer(raw, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
+def _unpacked(raw: pa.Buffer, n: int) -> np.ndarray:
+    plain = pa.decompress(raw, 4 * n, "zstd")
+    return np.frombuffer(plain, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
 
 
 SUMMARY = "part INT, body INT, mass BIGINT, keys BINARY, counts BINARY"
@@ -166,9 +167,10 @@ def _summaries(parts: int, held_most: int):
         for i, j in zip(cuts, cuts[1:]):
             low = (keys[i:j] & np.uint64(0xFFFFFFFF)).astype(np.int64)
             out.append((int(part[i]), 0, int(counts[i:j].sum()), b"", b""))
-            # A count beyond 32 bits is more than a task can read.
+            # The number of counters is the body; a count beyond 32 bits is more than a task can read.
             for x in range(0, j - i, IN_ROW):
-                out.append((int(part[i]), 1, 0, _planes(np.diff(low[x : x + IN_ROW], prepend=0)), _planes(counts[i:j][x : x + IN_ROW])))
+                some = low[x : x + IN_ROW]
+                out.append((int(part[i]), len(some), 0, _packed(np.diff(some, prepend=0)), _packed(counts[i:j][x : x + IN_ROW])))
         types = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["part", "body", "mass", "keys", "counts"])
 
@@ -210,8 +212,8 @@ def _survivors(least: int):
                 mass += m
                 if not body:
                     continue
-                keys = np.cumsum(_from_planes(batch.column(3)[i].as_buffer()), dtype=np.uint64)
-                held.append((keys, _from_planes(batch.column(4)[i].as_buffer()).astype(np.int64)))
+                keys = np.cumsum(_unpacked(batch.column(3)[i].as_buffer(), body), dtype=np.uint64)
+                held.append((keys, _unpacked(batch.column(4)[i].as_buffer(), body).astype(np.int64)))
                 size += len(keys)
                 capacity = mass // least + 1
                 if size > 2 * capacity + 65_536:
@@ -261,7 +263,7 @@ def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", le
     rows = docs.select(F.col(text).cast("string").alias("text"), F.coalesce(F.col(lang).cast("string"), F.lit(NO_LANG)).alias("lang"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(LEAST_PARTS, math.ceil(size / per_part))
-    dealt = rows.mapInArrow(_summaries(parts, held), SUMMARY).repartition("part").sortWithinPartitions("part", "body")
+    dealt = rows.mapInArrow(_summaries(parts, held), SUMMARY).repartition(parts, "part").sortWithinPartitions("part", "body")
     table = bit_table.build(stored(dealt.mapInArrow(_survivors(least), "key BIGINT"), "survivors"))
     counts = rows.mapInArrow(_exact(table, parts), COUNT).groupBy("lang", "size", "phrase").agg(F.sum("f").alias("f"))
     return stored(counts.filter((F.col("size") == 0) | (F.col("f") >= least)), "phrases")
