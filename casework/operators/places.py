@@ -2,25 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from zlib import crc32
-
 from pyspark.sql import Column, DataFrame, functions as F
 
-from casework.functions.arrays import let
+from casework.sources.work import work_dir
 
 # Administrative suffixes that short city names may drop.
 SUFFIXES = "市|县|区"
 
-# Up to these bounds names may travel inside the query (tag_places_inline).
-INLINE_NAMES, INLINE_CHARS, INLINE_LENGTH = 20_000, 1_000_000, 200
-# Joined names are broadcast up to these bounds (well under 1 GB), and shuffled beyond.
+# Names are broadcast up to these bounds (well under 1 GB), and shuffled beyond.
 BROADCAST_NAMES, BROADCAST_CHARS = 3_000_000, 60_000_000
-# Longest head of a name, and the type of a text's candidates.
-HEAD = 16
-NO_CANDIDATES = "CAST(array() AS array<struct<place:string,kind:string>>)"
-# Separators inside the constants that carry the names.
-BUCKET, ENTRY, VALUE, NAME = "\u0001", "\u0002", "\u0003", "\u0004"
+# Characters of a key gram, and how many characters from a key gram on are compared at once.
+GRAM, AHEAD = 6, 32
+BEHIND = AHEAD - GRAM
+# Characters of a text that are cut into grams together.
+CHUNK = 1000
+# Parts over which the rows of a gram are dealt where names are shuffled.
+SALTS = 8
 
 
 def clean_gazetteer(names: DataFrame, kind: str = "kind", name: str = "name") -> DataFrame:
@@ -49,177 +46,119 @@ def best_place(places: Column) -> Column:
     return ranked["p"]
 
 
-def _escape(char: str) -> str:
-    return "\\" + char if char.isascii() and not char.isalnum() else char
-
-
-def name_pattern(names: list[str]) -> str:
-    """Pattern for the longest of ``names`` that begins at a position.
+def prepared_names(gazetteer: DataFrame) -> DataFrame:
+    """The names of a gazetteer with the gram by which texts look for them, stored for repeated use.
 
-    Names share their common beginnings, and many different next characters are
-    told apart by ranges first, so a position in the text costs a few comparisons
-    however many names there are.
+    A name of up to ``GRAM`` characters is its own key.  A longer one is known by that of
+    its grams which the fewest names have, so that a place in a text meets few names however many
+    there are and however they begin.  ``back`` and ``seen`` say which characters around
+    the gram are compared at once, and ``whole`` whether these are all of the name.
     """
+    names = gazetteer.select("kind", "place").filter("place <> ''").groupBy("place").agg(F.sort_array(F.collect_set("kind")).alias("kinds"))
+    # Read three times below.
+    names = _written(names, "gazetteer")
+    short = names.filter(F.length("place") <= GRAM)
+    grams = names.filter(F.length("place") > GRAM).select("place", "kinds", F.posexplode_outer(_grams(F.col("place"), GRAM)).alias("at", "gram"))
+    shared = grams.groupBy("gram").agg(F.count("*").alias("n"))
+    # The number of names and the place in one long: a plain minimum.
+    rank = F.shiftleft("n", 32).bitwiseOR(F.col("at").cast("bigint"))
+    rarest = grams.join(shared, "gram").groupBy("place", "kinds").agg(F.min(rank).bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("at"))
+    place, at = F.col("place"), F.col("at")
+    keyed = short.select("place", "kinds", F.col("place").alias("gram"), F.lit(0).alias("at")).unionByName(
+        rarest.select("place", "kinds", F.substring(place, at + 1, F.lit(GRAM)).alias("gram"), "at")
+    )
+    back = F.least(at, F.lit(BEHIND))
+    seen = F.substring(place, at - back + 1, back + AHEAD)
+    rows = keyed.select("gram", "place", "kinds", back.alias("back"), seen.alias("seen"), (F.length(seen) == F.length(place)).alias("whole"))
+    return _written(rows, "names")
 
-    def alternatives(patterns: list[str]) -> str:
-        return patterns[0] if len(patterns) == 1 else f"(?:{'|'.join(patterns)})"
-
-    def branch(options: list[str]) -> str:
-        by_char: dict[str, list[str]] = {}
-        for option in options:
-            by_char.setdefault(option[:1], []).append(option[1:])
-        ends = by_char.pop("", None)
-        arms = [(c, _escape(c) + branch(rest)) for c, rest in sorted(by_char.items())]
-        if not arms:
-            return ""
-        if len(arms) > 16:
-            width = round(len(arms) ** 0.5)
-            ranges = [arms[i : i + width] for i in range(0, len(arms), width)]
-            pattern = alternatives(
-                [f"(?=[{_escape(r[0][0])}-{_escape(r[-1][0])}]){alternatives([p for _, p in r])}" for r in ranges]
-            )
-        else:
-            pattern = alternatives([p for _, p in arms])
-        return f"(?:{pattern})?" if ends else pattern
-
-    return branch(sorted(set(names)))
-
-
-def _lookup(entries: dict[str, str]) -> Callable[[Column], Column]:
-    """Look up a bounded table inside a row; NULL for other keys.
-
-    The entries lie in hash buckets of a constant array, so one costs the same
-    however many there are.
-    """
-    buckets = [""] * max(len(entries) // 4, 1)
-    for key, value in entries.items():
-        buckets[crc32(key.encode()) % len(buckets)] += f"{ENTRY}{key}{VALUE}{value}"
-
-    def get(key: Column) -> Column:
-        # Spark folds the split of a literal into a constant array.
-        place = (F.crc32(key.cast("binary")) % len(buckets)).cast("int")
-        bucket = F.concat(F.get(F.split(F.lit(BUCKET.join(buckets)), BUCKET), place), F.lit(ENTRY))
-        start = F.concat(F.lit(ENTRY), key, F.lit(VALUE))
-        return let(
-            F.split_part(bucket, start, F.lit(2)),
-            lambda rest: F.when(rest != "", F.substring_index(rest, ENTRY, 1)),
-        )
 
-    return get
+def _written(rows: DataFrame, name: str) -> DataFrame:
+    path = work_dir(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
-def _names_in(text: Column, names: list[str]) -> Column:
-    """All names of a bounded list that occur in a text, overlapping ones included.
+def _grams(text: Column, size: int) -> Column:
+    """All runs of ``size`` characters, in order."""
+    return F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{size}}}))."), F.lit(1))
 
-    One pass finds the longest name at every position; the shorter names it begins
-    with occur there as well.
-    """
-    if not names:
-        return F.array().cast("array<string>")
-    known = set(names)
-    within = {n: [n[:i] for i in range(1, len(n)) if n[:i] in known] for n in names}
-    shorter = _lookup({n: NAME.join(w) for n, w in within.items() if w})
-    found = F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?=({name_pattern(names)}))"), F.lit(1)))
-    return let(
-        found,
-        lambda longest: F.array_sort(
-            F.array_union(
-                longest,
-                F.flatten(
-                    F.filter(
-                        F.transform(longest, lambda n: F.split(shorter(n), NAME)), lambda w: w.isNotNull()
-                    )
-                ),
-            )
-        ),
-    )
 
-
-def tag_places_inline(pages: DataFrame, gazetteer: DataFrame, text: Column) -> DataFrame:
-    """What :func:`tag_places` gives, for a small gazetteer: the names become one pattern in the query.
-
-    Every page is tagged where it lies, without a shuffle.  The gazetteer is collected, so
-    one beyond the bounds is refused before its names are.
-    """
-    names = gazetteer.select("kind", "place").distinct()
-    size = names.agg(
-        F.count("*").alias("n"),
-        F.coalesce(F.sum(F.length("place")), F.lit(0)).alias("chars"),
-        F.coalesce(F.max(F.length("place")), F.lit(0)).alias("longest"),
-        F.count_if(F.rlike("place", F.lit(f"[{BUCKET}-{NAME}]"))).alias("odd"),
-    ).first()
-    if size.n > INLINE_NAMES or size.chars > INLINE_CHARS or size.longest > INLINE_LENGTH or size.odd:
-        raise ValueError("the gazetteer is too large to travel in the query; use tag_places")
-    kinds: dict[str, str] = {}
-    for r in names.collect():
-        kinds[r.place] = kinds.get(r.place, "") + r.kind
-    kind_of = _lookup(kinds)
-    tagged = pages.withColumn("_text", F.coalesce(text, F.lit(""))).withColumn("places", _names_in(F.col("_text"), sorted(kinds)))
-    return tagged.withColumn("_kinds", F.transform("places", kind_of)).select(
-        *pages.columns,
-        "places",
-        *[
-            best_place(F.filter("places", lambda p, i: F.contains(F.get(F.col("_kinds"), i), F.lit(k)))).alias(k)
-            for k in ("city", "county")
-        ],
-    )
+def _is_prepared(names: DataFrame) -> bool:
+    return "gram" in names.columns
 
 
 def tag_places(pages: DataFrame, gazetteer: DataFrame, text: Column) -> DataFrame:
     """Add ``places`` (all names in the text), ``city`` and ``county`` (one each), for a gazetteer of any size.
 
-    A name's head is its first 1, 2, 4, 8 or 16 characters, as many as it has.  Texts
-    are cut into their distinct pieces of these lengths; pieces that are no head are
-    dropped by a semi-join and the others meet the names on equality.  A text's
-    candidates, mostly names of which only the head is there, are then looked for in
-    the text itself, so no piece is longer than 16 characters whatever the names.
+    ``gazetteer`` is one, or the stored names of :func:`prepared_names`.  A text is cut
+    into chunks that overlap, and these into grams with the characters around
+    them.  Grams meet the names on equality, and the characters around decide at once:
+    only names that are there go on to be grouped by text.  Names longer than the
+    characters that a gram carries are looked for in the text itself before that.
 
-    Candidates belong to a text, not to a page: they are joined back on a digest of it,
+    Places belong to a text, not to a page: they are joined back on a digest of it,
     so pages without a URL, or several of one URL, keep their own places.
     """
-    names = gazetteer.select("kind", "place").distinct()
-    per_size = names.groupBy(F.length("place").alias("size")).count().collect()
-    fits = (
-        sum(r["count"] for r in per_size) <= BROADCAST_NAMES
-        and sum(r["count"] * r["size"] for r in per_size) <= BROADCAST_CHARS
-    )
-
-    def bounded(df: DataFrame) -> DataFrame:
-        # Spark must not take the pieces for small because the page table is.
-        return F.broadcast(df) if fits else df.hint("merge")
-
-    sizes = sorted({min(HEAD, 1 << (r["size"].bit_length() - 1)) for r in per_size})
-
-    def head(value: Column) -> Column:
-        width = F.lit(None).cast("int")
-        for size in sizes:
-            width = F.when(F.length(value) >= size, F.lit(size)).otherwise(width)
-        return F.substring(value, 1, width)
-
-    def pieces(value: Column, size: int) -> Column:
-        return F.array_distinct(F.regexp_extract_all(value, F.lit(rf"(?s)(?=(.{{{size}}}))"), F.lit(1)))
+    names = gazetteer if _is_prepared(gazetteer) else prepared_names(gazetteer)
+    size = names.agg(
+        F.count("*").alias("n"),
+        F.coalesce(F.sum(F.length("place") + F.length("seen")), F.lit(0)).alias("chars"),
+        F.collect_set(F.when(F.length("gram") < GRAM, F.length("gram"))).alias("short"),
+        F.coalesce(F.bool_or(~F.col("whole")), F.lit(False)).alias("long"),
+    ).first()
+    fits = size.n <= BROADCAST_NAMES and size.chars <= BROADCAST_CHARS
 
     marked = pages.withColumn("_text", F.coalesce(text, F.lit("")))
     marked = marked.withColumns({"_digest": F.xxhash64("_text"), "_also": F.xxhash64(F.lit(1), "_text")})
-    cut = F.concat(F.array().cast("array<string>"), *[pieces(F.col("_text"), size) for size in sizes])
-    headed = names.withColumn("_head", head(F.col("place")))
-    found = (
-        marked.select("_digest", "_also", F.explode(cut).alias("_head"))
-        .join(bounded(headed.select("_head").distinct()), "_head", "left_semi")
-        .join(bounded(headed), "_head")
-        .groupBy("_digest", "_also")
-        .agg(F.collect_set(F.struct("place", "kind")).alias("_candidates"))
-    )
-    there = F.filter("_candidates", lambda c: F.contains(F.col("_text"), c["place"]))
-    tagged = marked.join(found, ["_digest", "_also"], "left").withColumn("_there", F.coalesce(there, F.expr(NO_CANDIDATES)))
+    found = _names_there(marked.select("_digest", "_also", "_text"), names, sorted(size.short), fits)
+    if size.long:
+        found = found.filter("whole").unionByName(
+            found.filter("NOT whole").distinct().join(marked.select("_digest", "_also", "_text").distinct(), ["_digest", "_also"])
+            .filter(F.contains("_text", F.col("place"))).drop("_text")
+        )
+    found = found.groupBy("_digest", "_also").agg(F.collect_set(F.struct("place", "kinds")).alias("_there"))
+    tagged = marked.join(found, ["_digest", "_also"], "left").withColumn("_there", F.coalesce("_there", F.expr(NONE_THERE)))
 
     def best(kind: str) -> Column:
-        own = F.filter("_there", lambda c: c["kind"] == kind)
+        own = F.filter("_there", lambda c: F.array_contains(c["kinds"], kind))
         return best_place(F.transform(own, lambda c: c["place"])).alias(kind)
 
     return tagged.select(
         *[F.col(c) for c in pages.columns],
-        F.array_sort(F.array_distinct(F.transform("_there", lambda c: c["place"]))).alias("places"),
+        F.array_sort(F.transform("_there", lambda c: c["place"])).alias("places"),
         best("city"),
         best("county"),
     )
+
+
+NONE_THERE = "CAST(array() AS array<struct<place:string,kinds:array<string>>>)"
+
+
+def _names_there(texts: DataFrame, names: DataFrame, short: list[int], fits: bool) -> DataFrame:
+    """``_digest, _also, place, kinds, whole`` of the names whose visible characters are in a text."""
+    pattern = rf"(?s)(?=(.{{1,{CHUNK + BEHIND + AHEAD}}})).{{1,{CHUNK}}}"
+    chunks = texts.select("_digest", "_also", F.explode_outer(F.regexp_extract_all("_text", F.lit(pattern), F.lit(1))).alias("_chunk"))
+
+    def entry(gram: Column, before: Column, around: Column) -> Column:
+        return F.struct(gram.alias("gram"), before.alias("before"), around.alias("around"))
+
+    def with_context(gram: Column, i: Column) -> Column:
+        before = F.least(i, F.lit(BEHIND))
+        return entry(gram, before, F.substring("_chunk", i - before + 1, before + AHEAD))
+
+    # A name of less than GRAM characters is where its own characters are, once for each chunk.
+    pieces = [F.transform(F.array_distinct(_grams(F.col("_chunk"), k)), lambda g: entry(g, F.lit(0), g)) for k in short]
+    cut = F.concat(F.transform(_grams(F.col("_chunk"), GRAM), with_context), *pieces)
+    grams = chunks.select("_digest", "_also", F.inline_outer(cut))
+    if fits:
+        met = grams.join(F.broadcast(names), "gram")
+    else:
+        # Every gram is dealt over several tasks, as some are in every text.
+        salt = F.pmod(F.xxhash64("_digest", "around"), F.lit(SALTS)).cast("int")
+        dealt = names.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = grams.withColumn("_salt", salt).join(dealt.hint("merge"), ["gram", "_salt"])
+    there = (F.col("before") >= F.col("back")) & (
+        F.substring("around", F.col("before") - F.col("back") + 1, F.length("seen")) == F.col("seen")
+    )
+    return met.filter(there).select("_digest", "_also", "place", "kinds", "whole")

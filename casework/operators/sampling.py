@@ -7,7 +7,7 @@ import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from casework.sources.stores import work_dir
+from casework.sources.work import work_dir
 
 SCORE_RANGE = 1 << 60
 

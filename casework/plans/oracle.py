@@ -155,7 +155,7 @@ NUMERAL = _bounded(
 PEOPLE = f"greatest({ARABIC}, {NUMERAL})"
 
 
-def gazetteer(name: str, of: str = "benchmark") -> str:
+def gazetteer(name: str, of: str = "documents") -> str:
     """CTE g = kind, place."""
     bare = f"replace({name}, ' ', '')"
     short = f"regexp_replace({bare}, '市|县|区', '', 'g')"
@@ -180,7 +180,7 @@ def place_rows(of: str) -> str:
     return f"WITH {places_sql(of)} {PLACE_FIELDS}"
 
 
-PLACES = places_sql("benchmark")
+PLACES = places_sql("documents")
 PLACE_FIELDS = (
     f"SELECT c.page_id, coalesce(pl.places, '') AS places, coalesce(pl.city.p, 'none') AS city, "
     "coalesce(pl.county.p, 'none') AS county FROM c LEFT JOIN pl ON pl.page_id = c.page_id"
@@ -449,8 +449,8 @@ def all_oracles() -> dict[str, str]:
         "url_post_id": f"SELECT page_id, {POST_ID} AS post_id FROM (SELECT page_id, {deco.POST_URL} AS url FROM pages)",
         "frontier": todo,
         "progress": f"SELECT (SELECT count(*) FROM pages WHERE page_id % 2 = 0) AS done, (SELECT count(*) FROM ({todo})) AS remaining",
-        "gazetteer_clean": f"WITH {gazetteer(q.WORD_RAW, "documents")} SELECT kind, place FROM g",
-        "gazetteer_short": f"""WITH {gazetteer(q.WORD_PLACE, "documents")} SELECT kind, place FROM g WHERE length(place) < 2""",
+        "gazetteer_clean": f"WITH {gazetteer(q.WORD_RAW)} SELECT kind, place FROM g",
+        "gazetteer_short": f"""WITH {gazetteer(q.WORD_PLACE)} SELECT kind, place FROM g WHERE length(place) < 2""",
         "headline": f"SELECT page_id, {plain} AS headline, {unescape(plain)} AS plain_headline FROM pages",
         "content_text": f"WITH {CONTENT} SELECT page_id, coalesce(content, 'None') AS content FROM c",
         "container_nested": f"WITH {content_sql(q.NESTED_HTML, ONLY_CONTENT)} SELECT page_id, content FROM c",
@@ -462,7 +462,7 @@ def all_oracles() -> dict[str, str]:
             CAST(depth + CASE WHEN name = 'div' AND closing THEN 1 ELSE 0 END AS INT) AS div_depth FROM n""",
         "headline_date": f"{head} SELECT page_id, coalesce({DATE}, 'none') AS date, coalesce(nullif({DATE_RAW}, ''), 'none') AS date_raw FROM h",
         "bracket_keywords": f"{head} SELECT page_id, coalesce({KEYWORD1}, 'none') AS keyword1, coalesce({KEYWORD2}, 'none') AS keyword2 FROM h",
-        "place_tags": place_rows("benchmark"),
+        "place_tags": place_rows("documents"),
         "place_tags_join": place_rows("documents"),
         "place_tags_inline": place_rows("benchmark"),
         "people_arabic": counts(people=ARABIC, people_compat=COMPAT),

@@ -51,7 +51,7 @@ def _pages(spark: SparkSession, sf_dir: str, html: str = "html", url: str = "url
     return deco.pages_with(table(spark, sf_dir, "pages"), html, url)
 
 
-def _gazetteer(spark: SparkSession, sf_dir: str, name: str = WORD_PLACE, of: str = "benchmark") -> DataFrame:
+def _gazetteer(spark: SparkSession, sf_dir: str, name: str = WORD_PLACE, of: str = "documents") -> DataFrame:
     words = table(spark, sf_dir, of).select(F.explode(F.split("text", " ")).alias("word")).distinct()
     return places.clean_gazetteer(words.select(F.expr(WORD_KIND).alias("kind"), F.expr(name).alias("name")))
 
@@ -80,11 +80,11 @@ def progress(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gazetteer_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _gazetteer(spark, sf_dir, WORD_RAW, "documents")
+    return _gazetteer(spark, sf_dir, WORD_RAW)
 
 
 def gazetteer_short(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return places.short_names(_gazetteer(spark, sf_dir, of="documents"))
+    return places.short_names(_gazetteer(spark, sf_dir))
 
 
 def headline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,19 +145,21 @@ def _case_texts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Column]:
 
 
 def place_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A gazetteer that grows with the data: every word of every document."""
     texts, text = _case_texts(spark, sf_dir)
     return _place_row(places.tag_places(texts, _gazetteer(spark, sf_dir), text))
 
 
 def place_tags_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A gazetteer that grows with the data: every word of every document."""
+    """The same with names that were prepared before."""
     texts, text = _case_texts(spark, sf_dir)
-    return _place_row(places.tag_places(texts, _gazetteer(spark, sf_dir, of="documents"), text))
+    return _place_row(places.tag_places(texts, places.prepared_names(_gazetteer(spark, sf_dir)), text))
 
 
 def place_tags_inline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A small list of places: the words of the benchmark."""
     texts, text = _case_texts(spark, sf_dir)
-    return _place_row(places.tag_places_inline(texts, _gazetteer(spark, sf_dir), text))
+    return _place_row(places.tag_places(texts, _gazetteer(spark, sf_dir, of="benchmark"), text))
 
 
 def _counts(spark: SparkSession, sf_dir: str, **values) -> DataFrame:

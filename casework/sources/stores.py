@@ -7,27 +7,14 @@ per URL; compacting does the same once and stores the outcome elsewhere.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from casework.operators.cases import CASE_COLUMNS, CASE_SCHEMA, resolve
 from casework.operators.posts import POST_SCHEMA, protect
+from casework.sources.work import WORK_DIR, work_dir  # noqa: F401
 
 HANDLE_KEY = "spark.casework.handleKey"
-#: Own setting, read where ``spark.checkpoint.dir`` is unset.
-WORK_DIR = "spark.casework.workDir"
-
-
-def work_dir(spark: SparkSession, name: str) -> str:
-    """New folder name in the folder that all executors share."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(WORK_DIR, None)
-    if not shared:
-        raise ValueError(f"spark.checkpoint.dir (or {WORK_DIR}) must name a shared folder")
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 class CaseLog:
     """Case records by batch under one path.
 

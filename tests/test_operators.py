@@ -48,18 +48,21 @@ NAMES = [
 TEXTS = ["abcd", "xxabcdefgh", "在北京路上", "x.y (z] ^$\\d", "xzy", "", None, "一州", "bcd" * 50, "x\ny", "a\u0002b"]
 
 
-@pytest.mark.parametrize("way", ["inline", "join", "odd names"])
-def test_places_equal_brute_force(spark, way):
-    # A name with a control character cannot be put into the constant tables, nor can a very long one.
-    names = NAMES + [("city", "\u0002b"), ("county", "x" * 300)] if way == "odd names" else NAMES
+@pytest.mark.parametrize("way", ["broadcast", "shuffle", "small chunks", "prepared"])
+def test_places_equal_brute_force(spark, monkeypatch, way):
+    rest = "".join(chr(97 + i * i % 23) for i in range(40))
+    names = NAMES + [("city", "\u0002b"), ("county", "x" * 300), ("city", "x" * 31 + "y"), ("city", "𝒳𝒴z"), ("county", "q" + rest), ("county", rest), ("city", rest[9:])]
+    if way == "shuffle":
+        monkeypatch.setattr(places, "BROADCAST_NAMES", 0)
+    if way == "small chunks":
+        monkeypatch.setattr(places, "CHUNK", 3)
     gaz = spark.createDataFrame(names, "kind STRING, place STRING")
-    texts = TEXTS + ["y" + "x" * 300 + "\u0002b", "x" * 299]
+    texts = TEXTS + ["y" + "x" * 300 + "\u0002b", "x" * 299, "𝒳𝒳𝒴zab", "𝒳" * 40 + "x" * 40 + "y", "𝒴" * 5 + "abcdefgh", rest * 3, "q" + rest, "ab " * 800 + "abcdefgh" + "\n ab" * 700]
     # No URL, or one URL for two pages, takes no match away.
     pages = spark.createDataFrame([(i, [None, "u", f"u{i}"][i % 3], t) for i, t in enumerate(texts)], "i INT, url STRING, t STRING")
-    if way == "odd names":
-        with pytest.raises(ValueError):
-            places.tag_places_inline(pages, gaz, F.col("t"))
-    tag = places.tag_places_inline if way == "inline" else places.tag_places
+    if way == "prepared":
+        gaz = places.prepared_names(gaz)
+    tag = places.tag_places
     got = {r.i: r for r in tag(pages, gaz, F.col("t")).collect()}
     for i, text in enumerate(texts):
         hits = [(k, p) for k, p in names if p in (text or "")]
@@ -70,6 +73,25 @@ def test_places_equal_brute_force(spark, way):
             assert row[kind] == best
 
 
+def test_only_names_that_are_there_are_grouped(spark):
+    """Ten thousand names of one head meet a text in few places, and what goes on to the grouping is in the text."""
+    names = [("city", f"county of the long northern river {i:05d} b") for i in range(10_000)] + [("city", f"north{i:05d}") for i in range(10_000)]
+    gaz = spark.createDataFrame(names, "kind STRING, place STRING").repartition(4)
+    text = "in the county of the long northern river 00417 b near north00099 and " * 20
+    pages = spark.createDataFrame([("u", text)], "url STRING, t STRING")
+    prepared = places.prepared_names(gaz)
+    assert prepared.count() == 20_000 and prepared.groupBy("gram").count().agg(F.max("count")).first()[0] <= 200
+    texts = pages.select(F.lit(1).alias("_digest"), F.lit(2).alias("_also"), F.col("t").alias("_text"))
+    for fits in (True, False):
+        rows = places._names_there(texts, prepared, [], fits).filter("whole").collect()
+        assert {r.place for r in rows} == {"north00099"} and len(rows) <= 45
+    assert places.tag_places(pages, prepared, F.col("t")).first().places == ["county of the long northern river 00417 b", "north00099"]
+    plan = places.tag_places(pages, prepared, F.col("t"))._jdf.queryExecution().executedPlan().toString()
+    # The characters around a gram are compared below the grouping.
+    grouped = plan.index("collect_set")
+    assert "around" in plan[grouped:] and "substring(around" in plan
+
+
 def test_more_names_never_remove_a_match(spark):
     pages = spark.createDataFrame([("u", "ab abc bcd")], "url STRING, t STRING")
     found = set()
@@ -153,9 +175,9 @@ def test_one_url_may_hold_a_third_of_all_rows(spark):
         F.col("id").alias("page_id"), "url",
         F.concat(F.lit("<title>t"), "id", F.lit('</title><div class="content">'), text, F.lit("</div>"), post).alias("html"),
     )
-    for tag in (places.tag_places_inline, places.tag_places):
+    for names in (gaz, places.prepared_names(gaz)):
         texts = cases.page_texts(pages)
-        tagged = tag(texts, gaz, F.col("content"))
+        tagged = places.tag_places(texts, names, F.col("content"))
         got = tagged.groupBy(F.col("page_id") % 2).agg(F.collect_set("places"), F.count("*")).collect()
         assert {(r[0], str(r[1]), r[2]) for r in got} == {(0, "[['平原']]", 1500), (1, "[['东镇']]", 1500)}
     coded = cases.case_records(pages, gaz, keep=("page_id",))

@@ -45,7 +45,7 @@ def test_no_python_and_no_cross_join(spark, name):
 
 ROW_LOCAL = [
     "url_normalise_filter", "url_post_id", "headline", "content_text", "container_nested", "token_table", "headline_date",
-    "bracket_keywords", "place_tags_inline", "people_arabic", "people_numeral", "people_largest", "record_guard",
+    "bracket_keywords", "people_arabic", "people_numeral", "people_largest", "record_guard",
     "posts_1a", "posts_1b", "posts_2", "posts_3", "post_sibling", "post_sibling_mixed", "keyword_filter", "sample_n",
 ]
 
