@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from casework.functions import coding, markup
 from casework.operators.filters import valid_record
-from casework.operators.places import tag_places
+from casework.operators.places import Names, tag_places
 from casework.operators.urls import normalise
 
 # Container classes in the order they are tried.
@@ -58,7 +58,7 @@ def page_texts(
 
 def case_records(
     pages: DataFrame,
-    gazetteer: DataFrame,
+    gazetteer: DataFrame | Names,
     classes: tuple[str, ...] = CONTAINERS,
     compat: bool = False,
     keep: tuple[str, ...] = (),

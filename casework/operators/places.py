@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from casework.sources.work import work_dir
@@ -46,7 +48,17 @@ def best_place(places: Column) -> Column:
     return ranked["p"]
 
 
-def prepared_names(gazetteer: DataFrame) -> DataFrame:
+@dataclass
+class Names:
+    """Stored names by key gram, and what is known of them: lengths below ``GRAM``, names longer than what is compared at once, and whether all may be broadcast."""
+
+    rows: DataFrame
+    short: list[int]
+    long: bool
+    fits: bool
+
+
+def prepared_names(gazetteer: DataFrame) -> Names:
     """The names of a gazetteer with the gram by which texts look for them, stored for repeated use.
 
     A name of up to ``GRAM`` characters is its own key.  A longer one is known by that of
@@ -70,7 +82,14 @@ def prepared_names(gazetteer: DataFrame) -> DataFrame:
     back = F.least(at, F.lit(BEHIND))
     seen = F.substring(place, at - back + 1, back + AHEAD)
     rows = keyed.select("gram", "place", "kinds", back.alias("back"), seen.alias("seen"), (F.length(seen) == F.length(place)).alias("whole"))
-    return _written(rows, "names")
+    rows = _written(rows, "names")
+    size = rows.agg(
+        F.count("*").alias("n"),
+        F.coalesce(F.sum(F.length("place") + F.length("seen")), F.lit(0)).alias("chars"),
+        F.collect_set(F.when(F.length("gram") < GRAM, F.length("gram"))).alias("short"),
+        F.coalesce(F.bool_or(~F.col("whole")), F.lit(False)).alias("long"),
+    ).first()
+    return Names(rows, sorted(size.short), size.long, size.n <= BROADCAST_NAMES and size.chars <= BROADCAST_CHARS)
 
 
 def _written(rows: DataFrame, name: str) -> DataFrame:
@@ -84,14 +103,10 @@ def _grams(text: Column, size: int) -> Column:
     return F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{size}}}))."), F.lit(1))
 
 
-def _is_prepared(names: DataFrame) -> bool:
-    return "gram" in names.columns
-
-
-def tag_places(pages: DataFrame, gazetteer: DataFrame, text: Column) -> DataFrame:
+def tag_places(pages: DataFrame, gazetteer: DataFrame | Names, text: Column) -> DataFrame:
     """Add ``places`` (all names in the text), ``city`` and ``county`` (one each), for a gazetteer of any size.
 
-    ``gazetteer`` is one, or the stored names of :func:`prepared_names`.  A text is cut
+    ``gazetteer`` is one, or the names of :func:`prepared_names`.  A text is cut
     into chunks that overlap, and these into grams with the characters around
     them.  Grams meet the names on equality, and the characters around decide at once:
     only names that are there go on to be grouped by text.  Names longer than the
@@ -100,19 +115,11 @@ def tag_places(pages: DataFrame, gazetteer: DataFrame, text: Column) -> DataFram
     Places belong to a text, not to a page: they are joined back on a digest of it,
     so pages without a URL, or several of one URL, keep their own places.
     """
-    names = gazetteer if _is_prepared(gazetteer) else prepared_names(gazetteer)
-    size = names.agg(
-        F.count("*").alias("n"),
-        F.coalesce(F.sum(F.length("place") + F.length("seen")), F.lit(0)).alias("chars"),
-        F.collect_set(F.when(F.length("gram") < GRAM, F.length("gram"))).alias("short"),
-        F.coalesce(F.bool_or(~F.col("whole")), F.lit(False)).alias("long"),
-    ).first()
-    fits = size.n <= BROADCAST_NAMES and size.chars <= BROADCAST_CHARS
-
+    names = gazetteer if isinstance(gazetteer, Names) else prepared_names(gazetteer)
     marked = pages.withColumn("_text", F.coalesce(text, F.lit("")))
     marked = marked.withColumns({"_digest": F.xxhash64("_text"), "_also": F.xxhash64(F.lit(1), "_text")})
-    found = _names_there(marked.select("_digest", "_also", "_text"), names, sorted(size.short), fits)
-    if size.long:
+    found = _names_there(marked.select("_digest", "_also", "_text"), names)
+    if names.long:
         found = found.filter("whole").unionByName(
             found.filter("NOT whole").distinct().join(marked.select("_digest", "_also", "_text").distinct(), ["_digest", "_also"])
             .filter(F.contains("_text", F.col("place"))).drop("_text")
@@ -135,7 +142,7 @@ def tag_places(pages: DataFrame, gazetteer: DataFrame, text: Column) -> DataFram
 NONE_THERE = "CAST(array() AS array<struct<place:string,kinds:array<string>>>)"
 
 
-def _names_there(texts: DataFrame, names: DataFrame, short: list[int], fits: bool) -> DataFrame:
+def _names_there(texts: DataFrame, names: Names) -> DataFrame:
     """``_digest, _also, place, kinds, whole`` of the names whose visible characters are in a text."""
     pattern = rf"(?s)(?=(.{{1,{CHUNK + BEHIND + AHEAD}}})).{{1,{CHUNK}}}"
     chunks = texts.select("_digest", "_also", F.explode_outer(F.regexp_extract_all("_text", F.lit(pattern), F.lit(1))).alias("_chunk"))
@@ -148,15 +155,15 @@ def _names_there(texts: DataFrame, names: DataFrame, short: list[int], fits: boo
         return entry(gram, before, F.substring("_chunk", i - before + 1, before + AHEAD))
 
     # A name of less than GRAM characters is where its own characters are, once for each chunk.
-    pieces = [F.transform(F.array_distinct(_grams(F.col("_chunk"), k)), lambda g: entry(g, F.lit(0), g)) for k in short]
+    pieces = [F.transform(F.array_distinct(_grams(F.col("_chunk"), k)), lambda g: entry(g, F.lit(0), g)) for k in names.short]
     cut = F.concat(F.transform(_grams(F.col("_chunk"), GRAM), with_context), *pieces)
     grams = chunks.select("_digest", "_also", F.inline_outer(cut))
-    if fits:
-        met = grams.join(F.broadcast(names), "gram")
+    if names.fits:
+        met = grams.join(F.broadcast(names.rows), "gram")
     else:
         # Every gram is dealt over several tasks, as some are in every text.
         salt = F.pmod(F.xxhash64("_digest", "around"), F.lit(SALTS)).cast("int")
-        dealt = names.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        dealt = names.rows.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         met = grams.withColumn("_salt", salt).join(dealt.hint("merge"), ["gram", "_salt"])
     there = (F.col("before") >= F.col("back")) & (
         F.substring("around", F.col("before") - F.col("back") + 1, F.length("seen")) == F.col("seen")

@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from casework.functions import coding
 from casework.operators import cases, filters, places, posts, sampling, tokens, urls
 from casework.plans import decorated as deco
+from casework.sources.case_store import CaseStore
 from casework.sources.pages import read_table, read_urls
-from casework.sources.stores import HANDLE_KEY, CaseLog, append_posts, read_posts, work_dir
-from casework.streaming.incremental import code_arriving, page_stream, store_arriving_posts
+from casework.sources.stores import HANDLE_KEY, append_posts, read_posts, work_dir
+from casework.streaming.incremental import code_new_arriving, page_stream, store_arriving_posts
 
 SITE, EXCLUDED = "example", "blog."
 SAMPLE_SIZE, SEED = 100, 7
@@ -199,7 +200,10 @@ def case_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = pages.select(
         *[filled.get(c, F.lit(None)).cast(types[c]).alias(c) for c in cases.CASE_COLUMNS]
     )
-    return cases.with_sentinels(cases.upsert(stored, new, "page_id"))
+    store = CaseStore(spark, work_dir(spark, "cases"))
+    store.upsert(stored.withColumn("page_id", F.lit(0)), "page_id")
+    store.upsert(new, "page_id")
+    return cases.with_sentinels(store.current())
 
 
 def constraint_check(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -286,21 +290,15 @@ def sample_rand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.agg(F.count("*").alias("rows"), F.countDistinct("doc_id").alias("ids"), whole.alias("whole_rows"))
 
 
-def _arriving(spark: SparkSession, sf_dir: str, html: str, url: str) -> DataFrame:
-    """All pages as a stream of two files, one for each batch."""
-    path = work_dir(spark, "arriving")
-    _pages(spark, sf_dir, html, url).repartitionByRange(2, "page_id").write.parquet(path)
-    return page_stream(spark, path, files_per_batch=1)
-
-
 def incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = CaseLog(spark, work_dir(spark, "cases"))
-    arriving = _arriving(spark, sf_dir, deco.CASE_HTML, "url")
-    # The names are cleaned once, not for every batch.
-    names = work_dir(spark, "names")
-    _gazetteer(spark, sf_dir).write.parquet(names)
-    code_arriving(arriving, spark.read.parquet(names), log, work_dir(spark, "progress")).awaitTermination()
-    return cases.with_sentinels(log.current())
+    """Pages arrive in three batches, some of them in each; a URL is coded once."""
+    path = work_dir(spark, "arriving")
+    pages = _pages(spark, sf_dir, deco.CASE_HTML, "url")
+    batches = F.when(F.col("page_id") % 5 == 0, F.array(*[F.lit(b) for b in range(3)])).otherwise(F.array((F.col("page_id") % 3).cast("int")))
+    pages.withColumn("batch", F.explode(batches)).repartitionById(3, "batch").drop("batch").write.parquet(path)
+    store = CaseStore(spark, work_dir(spark, "cases"))
+    code_new_arriving(page_stream(spark, path, files_per_batch=1), _gazetteer(spark, sf_dir), store, work_dir(spark, "progress")).awaitTermination()
+    return cases.with_sentinels(store.current())
 
 
 def incremental_posts(spark: SparkSession, sf_dir: str) -> DataFrame:

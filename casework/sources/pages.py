@@ -26,9 +26,9 @@ def read_page_files(spark: SparkSession, path: str, encoding: str = "UTF-8", pat
     return files.load(path).select(F.col("path").alias("url"), text.alias("html"))
 
 
-def read_urls(spark: SparkSession, path: str) -> DataFrame:
-    """URLs of a stored table; only that column is read."""
-    return spark.read.parquet(path).select("url")
+def read_urls(spark: SparkSession, *paths: str) -> DataFrame:
+    """URLs of a stored table, or of some of its files; only that column is read."""
+    return spark.read.parquet(*paths).select("url")
 
 
 def read_gazetteer(spark: SparkSession, cities: str, counties: str) -> DataFrame:

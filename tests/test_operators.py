@@ -1,10 +1,13 @@
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import functions as F
 
 from casework.operators import cases, filters, places, posts, sampling, urls
+from casework.sources.case_store import CaseStore
 from casework.sources.pages import read_gazetteer, read_page_files, read_urls
 from casework.sources.stores import CaseLog, append_posts, read_posts, work_dir
-from casework.streaming.incremental import code_arriving, page_stream
+from casework.streaming.incremental import code_arriving, code_new_arriving, page_stream
 
 AUTHOR = '<a href="http://weibo.com/u">'
 
@@ -80,10 +83,10 @@ def test_only_names_that_are_there_are_grouped(spark):
     text = "in the county of the long northern river 00417 b near north00099 and " * 20
     pages = spark.createDataFrame([("u", text)], "url STRING, t STRING")
     prepared = places.prepared_names(gaz)
-    assert prepared.count() == 20_000 and prepared.groupBy("gram").count().agg(F.max("count")).first()[0] <= 200
+    assert prepared.rows.count() == 20_000 and prepared.long and prepared.rows.groupBy("gram").count().agg(F.max("count")).first()[0] <= 200
     texts = pages.select(F.lit(1).alias("_digest"), F.lit(2).alias("_also"), F.col("t").alias("_text"))
     for fits in (True, False):
-        rows = places._names_there(texts, prepared, [], fits).filter("whole").collect()
+        rows = places._names_there(texts, replace(prepared, fits=fits)).filter("whole").collect()
         assert {r.place for r in rows} == {"north00099"} and len(rows) <= 45
     assert places.tag_places(pages, prepared, F.col("t")).first().places == ["county of the long northern river 00417 b", "north00099"]
     plan = places.tag_places(pages, prepared, F.col("t"))._jdf.queryExecution().executedPlan().toString()
@@ -148,6 +151,73 @@ def test_upsert(spark):
     assert again.exceptAll(merged).count() == 0 and merged.exceptAll(again).count() == 0
 
 
+def test_case_store(spark, tmp_path, monkeypatch):
+    store = CaseStore(spark, str(tmp_path / "cases"), buckets=8)
+    assert store.current().count() == 0
+    old = _case_table(spark, [_case(f"u{i}", "old", "old", 0) for i in range(40)])
+    assert store.upsert(old, "page_id") == {"rows": 40, "without_url": 0, "buckets": 8}
+    first = store.manifest()
+    # Every file holds the bucket that the manifest says.
+    for b, file in first.files.items():
+        assert {r[0] for r in spark.read.parquet(file).select(F.pmod(F.xxhash64("url"), F.lit(8))).distinct().collect()} == {b}
+    new = _case_table(
+        spark,
+        [
+            _case("u1", "new", "x", 1), _case("u2", "Service", "x", 2), _case("u3", "new", None, 3),
+            _case("e", "Hotspot", None, 4), _case("f", "first", None, 5), _case("f", "second", None, 6),
+            _case("g", "first", "x", 7), _case("g", "second", "x", 8), _case("g", "third", None, 9), _case(None, "n", "x", 10),
+        ],
+    )
+    # A writer that is lost before its manifest leaves the old table; another one may follow.
+    def lost(self, manifest):
+        raise OSError("lost")
+
+    monkeypatch.setattr(CaseStore, "_commit", lost)
+    with pytest.raises(OSError):
+        store.upsert(new, "page_id")
+    monkeypatch.undo()
+    assert store.manifest() == first and store.current().count() == 40
+    # So does a manifest that was not written to its end.
+    (tmp_path / "cases" / "manifest" / f"{2:020d}.json").write_text('{"number": 2, "buck')
+    assert store.manifest() == first
+
+    assert store.upsert(new, "page_id") == {"rows": 10, "without_url": 1, "buckets": len({r[0] for r in new.filter("url IS NOT NULL").select(store.bucket("url")).collect()})}
+    got = {r.url: r.headline for r in store.current().collect()}
+    assert got == {f"u{i}": "old" for i in range(40)} | {"u1": "new", "e": "Hotspot", "f": "first", "g": "second"}
+    merged = cases.upsert(old.drop("page_id"), new, "page_id")
+    assert merged.exceptAll(store.current()).count() == 0 and store.current().exceptAll(merged).count() == 0
+    assert [r.headline for r in store.without_url().collect()] == ["n"]
+    # Buckets that the batch does not meet keep their files.
+    few = _case_table(spark, [_case("u1", "newer", "x", 1)])
+    before = store.manifest()
+    store.upsert(few, "page_id", "s", 4)
+    after = store.manifest()
+    assert sum(before.files[b] != after.files[b] for b in before.files) == 1
+    # A batch that is run again changes nothing; a writer with an old base fails.
+    store.upsert(_case_table(spark, [_case("u1", "again", "x", 1)]), "page_id", "s", 4)
+    assert store.manifest() == after
+    with pytest.raises(RuntimeError, match="another writer"):
+        store._commit(before)
+    assert store.vacuum() >= 1 and {r.url: r.headline for r in store.current().collect()} == got | {"u1": "newer"}
+
+
+def test_case_store_sorts_no_texts(spark):
+    """Winners are settled on narrow rows; the texts are joined by hash."""
+    new = _case_table(spark, []).withColumns({"bucket": F.lit(1), "valid": F.lit(True), "digest": F.lit(0).cast("bigint"), "row": F.lit(0).cast("bigint")})
+    new = new.withColumnRenamed("page_id", "seq")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = CaseStore._merged(new, new.select(*cases.CASE_COLUMNS, "bucket"))
+        df._jdf.queryExecution().executedPlan()
+        text = df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    for section in text.split("\n\n"):
+        if ") Sort\n" in section or ") SortAggregate" in section:
+            assert "content" not in section
+    assert "SortMergeJoin" not in text
+
+
 def test_constraints(spark):
     table = _case_table(spark, [_case("a", "h", "c", 1), _case("a", "h", None, 2), _case(None, "h", "c", 3), _case("b", None, "c", 4)])
     got = {r.check: r.violations for r in cases.constraint_report(table).collect()}
@@ -246,6 +316,28 @@ def test_stream_in_two_deliveries(spark, tmp_path):
     assert whole.exceptAll(log.current()).count() == 0
 
 
+def test_stream_codes_a_url_once(spark, tmp_path, monkeypatch):
+    gaz = spark.createDataFrame([("city", "平原")], "kind STRING, place STRING")
+    page = lambda n, text: f'<title>t{n}</title><div class="content">平原 {text}</div>'
+    store = CaseStore(spark, str(tmp_path / "cases"), buckets=4)
+    batches = [[(1, "a", page(1, "30人到了")), (2, "b", page(2, "x"))], [(3, "a\n", page(3, "x")), (4, "c", page(4, "x"))], [(5, "a", page(5, "x")), (6, "c", page(6, "x")), (7, None, page(7, "x"))]]
+    folder, progress, coded = str(tmp_path / "in"), str(tmp_path / "progress"), []
+    upsert = CaseStore.upsert
+    monkeypatch.setattr(CaseStore, "upsert", lambda self, new, *rest: coded.append(new.count()) or upsert(self, new, *rest))
+    for rows in batches:
+        spark.createDataFrame(rows, "page_id BIGINT, url STRING, html STRING").coalesce(1).write.mode("append").parquet(folder)
+        code_new_arriving(page_stream(spark, folder, files_per_batch=1), gaz, store, progress).awaitTermination()
+    assert {r.url: r.headline for r in store.current().collect()} == {"a": "t1", "b": "t2", "c": "t4"}
+    assert coded == [2, 1, 0] and store.manifest().streams == {progress: 2}
+    # With ``again`` valid records replace older ones, as in the batch.
+    pages = spark.read.parquet(folder)
+    again = CaseStore(spark, str(tmp_path / "again"), buckets=4)
+    code_new_arriving(page_stream(spark, folder), gaz, again, str(tmp_path / "progress2"), again=True).awaitTermination()
+    batch = cases.case_records(pages, gaz, keep=("page_id",))
+    whole = cases.upsert(batch.drop("page_id").filter("false"), batch, "page_id")
+    assert whole.exceptAll(again.current()).count() == 0 and again.current().count() == whole.count()
+
+
 def _posts(spark, html, layouts=("1a", "1b", "2", "3"), boxed=True, **options):
     html = html if 'class="content"' in html or not boxed else f'<div class="content">{html}</div>'
     pages = spark.createDataFrame([("http://x.org/post/7/a", "weibo" + html)], "url STRING, html STRING")
