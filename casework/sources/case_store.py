@@ -24,6 +24,8 @@ from casework.sources.pages import read_urls
 
 #: Buckets of a new table: so many that a bucket is a few hundred megabytes.
 BUCKETS = 64
+#: URLs of a batch that are broadcast.
+BROADCAST_URLS, BROADCAST_CHARS = 1_000_000, 100_000_000
 ROW = f"{CASE_SCHEMA}, bucket INT"
 
 
@@ -107,9 +109,12 @@ class CaseStore:
     def not_done(self, pages: DataFrame, url: str = "url") -> DataFrame:
         """The pages whose URL is not in the table; only URLs of the buckets that they fall into are read."""
         keys = pages.select(normalise(F.col(url)).alias("url")).filter("url IS NOT NULL").distinct()
-        touched = [r.bucket for r in keys.select(self.bucket("url").alias("bucket")).distinct().collect()]
-        todo = keys.join(self.urls(touched), "url", "left_anti").select(F.col("url").alias("_todo"))
-        return pages.join(todo.hint("shuffle_hash"), normalise(F.col(url)) == F.col("_todo"), "left_semi")
+        met = keys.groupBy(self.bucket("url").alias("bucket")).agg(F.count("*").alias("n"), F.sum(F.length("url")).alias("chars")).collect()
+        todo = keys.join(self.urls([r.bucket for r in met]), "url", "left_anti").select(F.col("url").alias("_todo"))
+        # The URLs of a usual batch are few, and its pages stay where they are.
+        few = sum(r.n for r in met) <= BROADCAST_URLS and sum(r.chars for r in met) <= BROADCAST_CHARS
+        todo = F.broadcast(todo) if few else todo.hint("shuffle_hash")
+        return pages.join(todo, normalise(F.col(url)) == F.col("_todo"), "left_semi")
 
     # -- writing
 
