@@ -10,15 +10,16 @@ stay as they are, until one of them is 0 or 1.
 
 Documents are worked on in blocks of bounded size within a source.  Each block ends
 with at most two undecided documents, which meet in blocks of the next turn, until
-one block holds those of a source.  There the flight leaves a dozen documents, whose
-outcomes are all tried; the nearest to the expected words is taken (the landing).
+one block holds those of a source.  The largest documents of a source wait until then:
+with a few others and what the flight leaves, all their outcomes are tried, and the nearest to the
+expected words is taken (the landing).
 All draws are hashes of ids, so reruns agree.
 
 Defined results: a null text has no words; a null source is a source of its own, the
 last one; documents without words, or of a source without words, are taken with their
 source's rate and add nothing; rows with the same id (or none) are separate rows; an
-empty table gives an empty table; other columns are not looked at.  A source misses its
-target by half of its largest document at most, and by a few words where it has many.
+empty table gives an empty table; other columns are not looked at.  A source misses its target by half of
+its largest document at most; with a few dozen documents of different sizes, by some ten words.
 """
 
 from __future__ import annotations
@@ -35,8 +36,10 @@ WEIGHTS = (5, 2, 1)
 MOST = 3
 #: Documents that are balanced in one go.
 BLOCK = 1024
-#: Documents of a source that are left to the landing, besides two that a flight leaves undecided.
-LANDING = 12
+#: Documents of a source that are left to the landing, its largest and any others, besides two that a flight leaves undecided.
+LANDING, OTHERS = 9, 5
+#: Parts of a group whose largest documents are found apart.
+SALTS = 64
 
 
 def word_count(text: Column) -> Column:
@@ -142,36 +145,54 @@ def _flights(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def _landings(rows: pd.DataFrame) -> pd.DataFrame:
-    """The last turn: all but ``LANDING`` documents by the flight, then these and what it left over."""
-    rows = rows.sort_values(["draw", "row"])
+    """The last turn of a group: all but the held documents by the flight, then these and what it left over."""
+    rows = rows.sort_values(["held", "draw", "row"])
     size, chance, draws = (rows[c].to_numpy().copy() for c in ("size", "chance", "draw"))
-    early = max(0, len(rows) - LANDING)
+    early = max(0, int((~rows["held"]).sum()) - OTHERS)
     chance[:early] = flight(size[:early], chance[:early], draws[:early])
     rows["chance"] = landing(size, chance, float(draws[0]))
     return rows
 
 
+def _with_held(rows: DataFrame) -> DataFrame:
+    """``held`` marks the ``LANDING`` largest undecided documents of each group, ties by draw.
+
+    The largest of each of ``SALTS`` parts come first, so that no task sorts a whole group.
+    """
+    largest = [F.desc("size"), F.asc("draw"), F.asc("row")]
+    some = rows.filter("chance > 0 AND chance < 1").select("group", "row", "size", "draw").withColumn("salt", F.pmod("row", F.lit(SALTS)))
+    for part in (["group", "salt"], ["group"]):
+        some = some.withColumn("at", F.row_number().over(Window.partitionBy(*part).orderBy(*largest))).filter(F.col("at") <= LANDING)
+    held = stored(some.select("group", F.col("row").alias("held_row")), "held").groupBy("group").agg(F.collect_list("held_row").alias("held_rows"))
+    held = rows.join(held, "group", "left").withColumn("held", F.coalesce(F.array_contains("held_rows", F.col("row")), F.lit(False)))
+    return held.select(*rows.columns, "held")
+
+
 def balanced(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     """``rows`` with every ``chance`` decided; they need ``row, group, size, chance, draw``.
 
-    Blocks hold ``block`` rows on average, whatever the size of a group.
+    Blocks hold ``block`` rows on average, whatever the size of a group.  The largest documents of a group wait
+    until the others are decided or fit into one block, as only they can outweigh what these leave over.
     """
-    schema, names, decided, turn = rows.schema, rows.columns, [], 0
+    names, block, decided, turn = rows.columns, max(block, 4 * (LANDING + OTHERS)), [], 0
+    rows = stored(_with_held(rows), "mix-held")
+    schema, columns = rows.schema, rows.columns
 
-    def in_block(work):
-        return lambda part: work(part)[names]
+    def decide(part: pd.DataFrame) -> pd.DataFrame:
+        return (_landings if part["part"].iloc[0] < 0 else _flights)(part)[columns]
 
     while True:
         undecided = rows.filter("chance > 0 AND chance < 1")
         decided.append(rows.filter("chance <= 0 OR chance >= 1"))
-        groups = stored(undecided.groupBy("group").agg(F.count("*").alias("n")), "groups")
-        last = (groups.agg(F.max("n")).first()[0] or 0) <= block
-        part = F.pmod(F.xxhash64("row", F.lit(turn)), F.ceil(F.col("n") / block)).alias("part")
-        cut = undecided.join(groups, "group").select(*names, part)
-        rows = stored(cut.groupBy("group", "part").applyInPandas(in_block(_landings if last else _flights), schema), "flight")
+        groups = stored(undecided.groupBy("group").agg(F.count("*").alias("n"), F.count_if("held").alias("h")), "groups")
+        if groups.isEmpty():
+            return reduce(DataFrame.unionByName, decided).select(names)
+        fits = F.col("n") <= block
+        dealt = F.pmod(F.xxhash64("row", F.lit(turn)), F.ceil((F.col("n") - F.col("h")) / block))
+        cut = undecided.join(groups, "group").withColumn("part", F.when(fits, F.lit(-1).cast("bigint")).when(~F.col("held"), dealt))
+        moved = cut.filter("part IS NOT NULL").select(*columns, "part").groupBy("group", "part").applyInPandas(decide, schema)
+        rows = stored(moved.unionByName(cut.filter("part IS NULL").select(columns)), "flight")
         turn += 1
-        if last:
-            return reduce(DataFrame.unionByName, [*decided, rows])
 
 
 def _mix_rows(docs: DataFrame, doc_id: str, text: str, source: str, weights: tuple[int, ...], most: int, block: int) -> DataFrame:
