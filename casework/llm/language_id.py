@@ -22,14 +22,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from casework.llm.work import stored
 
 UNKNOWN = "und"
 #: Most labelled rows to learn from, in each language.
 SAMPLE = 4000
-#: Most words and most n-grams that are learned in each language.
+#: Words and n-grams that each language chooses, its most frequent ones; a chosen item is learned with its counts in every language.
 WORDS = 20_000
 GRAMS = 20_000
 LONGEST = 4
@@ -168,7 +168,7 @@ def strip(word: str) -> str:
 
 
 def train(rows: DataFrame, words: int = WORDS, grams: int = GRAMS, counts: DataFrame | None = None) -> Model:
-    """Learn from ``lang, text`` rows; at most ``words + grams`` entries per language leave the executors.
+    """Learn from ``lang, text`` rows; each language chooses at most ``words + grams`` items (more where its first ones are equally frequent), and the counts of these leave the executors.
 
     ``counts`` has the rows ``n`` of each ``lang`` in the table that ``rows`` are a sample of.
     """
@@ -185,8 +185,18 @@ def train(rows: DataFrame, words: int = WORDS, grams: int = GRAMS, counts: DataF
 
     def most(counted: DataFrame, limit: int, group: list[str]) -> list:
         total = counted.groupBy(*group).agg(F.sum("n").alias("total"))
-        rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "item"))
-        return counted.join(F.broadcast(total), group).withColumn("rank", rank).filter(F.col("rank") <= limit).drop("rank").collect()
+        counted = stored(counted, "items")
+        # How often an item must occur in a language to be chosen by it: told by how many items occur how often.
+        least: dict[str, int] = {}
+        room = {}
+        for r in counted.groupBy("lang", "n").agg(F.count("*").alias("items")).orderBy("lang", F.desc("n")).toLocalIterator():
+            room[r["lang"]] = room.get(r["lang"], limit) - r["items"]
+            if room[r["lang"]] >= 0 or r["lang"] not in least:
+                least[r["lang"]] = r["n"]
+        bounds = counted.sparkSession.createDataFrame(list(least.items()) or [("", 0)], "lang STRING, least BIGINT")
+        chosen = counted.join(F.broadcast(bounds), "lang").filter("n >= least").select("item").distinct()
+        # An item that one language has chosen keeps its counts in all of them.
+        return counted.join(chosen, "item", "left_semi").join(F.broadcast(total), group).collect()
 
     digest = F.concat(F.lit(" "), F.sha2(F.col("item").cast("binary"), 256))
     every = every.withColumn("item", F.when(F.length("item") > LONG, digest).otherwise(F.col("item")))
