@@ -110,13 +110,18 @@ _UUID = "'<urn:uuid:' || h[1:8] || '-' || h[9:12] || '-' || h[13:16] || '-' || h
 _ENTITIES = [("&nbsp;", "' '"), ("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "chr(34)"), ("&#39;", "chr(39)"), ("&apos;", "chr(39)"), ("&copy;", "'©'"), ("&middot;", "'·'"), ("&hellip;", "'…'"), ("&mdash;", "'—'"), ("&ndash;", "'–'"), ("&amp;", "'&'")]
 
 
+def _resolved(text: str) -> str:
+    for entity, character in _ENTITIES:
+        text = f"replace({text}, '{entity}', {character})"
+    return text
+
+
 def _plain_text() -> str:
     hidden = "|".join(f"<{t}\\b.*?</{t}\\s*>" for t in ("script", "style", "noscript", "head")) + "|<!--.*?-->"
     lines = "</?(p|div|br|li|ul|ol|h[1-6]|tr|table|article|section|header|footer|nav|title|blockquote|pre)\\b[^>]*>"
     text = f"regexp_replace(regexp_replace(payload, '{hidden}', ' ', 'gis'), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')"
     text = f"regexp_replace(regexp_replace({text}, '{lines}', chr(10), 'gi'), '<[^>]*>', '', 'g')"
-    for entity, character in _ENTITIES:
-        text = f"replace({text}, '{entity}', {character})"
+    text = _resolved(text)
     return f"regexp_replace(regexp_replace({text}, ' *\\n[ \\n]*', chr(10), 'g'), '^[ \\n]+|[ \\n]+$', '', 'g')"
 
 
@@ -128,9 +133,10 @@ s AS (SELECT *, {_UUID} AS refers_to, 'sha256:' || sha256(payload) AS payload_di
 t AS (
     SELECT * EXCLUDE (h), 'metadata' AS record_type, 'application/warc-fields' AS content_type,
         concat_ws(nl, 'httpStatus: 200', 'sourceContentType: text/html; charset=utf-8',
-            'title: ' || regexp_replace(regexp_extract(payload, '<title[^>]*>(.*?)</title', 1, 'is'), '[ \t\n\x0B\f\r]+', ' ', 'g'),
+            'title: ' || regexp_replace({_resolved("regexp_replace(regexp_extract(payload, '<title[^>]*>(.*?)</title', 1, 'is'), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')")}, '[ \t\n\x0B\f\r]+', ' ', 'g'),
             'language: ' || regexp_extract(payload, '<html[^>]*\\blang=["'']?([A-Za-z-]+)', 1, 'is'),
-            'outlinks: ' || len(regexp_extract_all(payload, '<a\\s[^>]*href=', 0, 'i')), 'sourcePayloadDigest: ' || payload_digest) AS block FROM s
+            'outlinks: ' || len(regexp_extract_all(payload, '<a\\s[^>]*href=', 0, 'i')), 'sourcePayloadDigest: ' || payload_digest,
+            'sourceHttpHeader: Content-Type: text/html; charset=utf-8', 'sourceHttpHeader: Content-Length: ' || strlen(payload)) AS block FROM s
     UNION ALL
     SELECT * EXCLUDE (h), 'conversion', 'text/plain; charset=utf-8', {_plain_text()} FROM s
 ),

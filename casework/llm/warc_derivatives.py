@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from casework.functions.markup import unescape
 
 VERSION = "WARC/1.1"
+#: Begin of the version lines that are read.
+FAMILY = "WARC/1."
 CRLF = "\r\n"
 END = CRLF + CRLF
 RECORD = "record_id, record_type, target_uri, date, content_type, block"
@@ -83,17 +85,10 @@ def _header(name: str) -> Column:
 
 
 def _source_lines() -> Column:
-    """Header lines of the source, each as a field: of the HTTP message as they stand, and of the WARC record.
-
-    A message that came without a record's headers is one that ``responses`` has made, and its
-    own two lines are not repeated: the type is a field already, the length is the payload's.
-    """
+    """Header lines of the source, each as a field: of the HTTP message as they stand, and of the WARC record."""
     # A folded line belongs to the one before.
     lines = F.split(F.regexp_replace("http", r"\r?\n[ \t]+", " "), r"\r?\n")
     lines = F.filter(F.slice(lines, 2, F.greatest(F.size(lines), F.lit(1))), lambda x: x != "")
-    length = F.concat(F.lit("Content-Length: "), F.octet_length("payload").cast("string"))
-    made = F.col("headers").isNull()
-    lines = F.filter(lines, lambda x: ~(made & (x.isin(length, F.lit("Content-Type: text/html; charset=utf-8")))))
     http = F.transform(lines, lambda x: F.concat(F.lit("sourceHttpHeader: "), x))
     entries = F.array_sort(F.map_entries("headers"))
     warc = F.transform(entries, lambda e: F.concat(F.lit("sourceWarcHeader: "), e["key"], F.lit(": "), e["value"]))
@@ -114,7 +109,9 @@ def derive(records: DataFrame) -> DataFrame:
     rows = rows.withColumn("payload", payload).withColumn("payload_digest", F.coalesce(_header("WARC-Payload-Digest"), digest(F.col("payload"))))
     rows = rows.withColumn("source_digest", F.coalesce(_header("WARC-Block-Digest"), digest(F.col("block"))))
     rows = rows.withColumn("source_lines", _source_lines())
-    title = F.regexp_replace(F.regexp_extract("payload", r"(?is)<title[^>]*>(.*?)</title", 1), r"\s+", " ")
+    title = unescape(F.regexp_replace(F.regexp_extract("payload", r"(?is)<title[^>]*>(.*?)</title", 1), r"\s+", " "))
+    # An entity may stand for a line break, which would end the field.
+    title = F.regexp_replace(title, r"\s+", " ")
     fields = F.concat_ws(
         CRLF,
         F.concat(F.lit("httpStatus: "), F.regexp_extract("http", r"^HTTP/\S+ (\d+)", 1)),
@@ -162,14 +159,16 @@ def write_warc(records: DataFrame, path: str, compression: str = "gzip") -> None
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """``head, block, complete, headers`` of the records of WARC files; ``complete`` tells that the length is as declared.
 
-    Records are told apart by the version line after a blank line.
+    Records are told apart by the version line after a blank line, of any WARC/1 version.
     """
-    rows = spark.read.option("lineSep", f"{END}{VERSION}{CRLF}").text(path)
-    text = F.regexp_replace(F.regexp_replace("value", f"^{VERSION}{CRLF}", ""), f"{END}$", "")
-    rows = rows.select(text.alias("t")).withColumn("at", F.instr("t", END))
-    rows = rows.select(F.expr("substring(t, 1, at - 1)").alias("head"), F.expr("substring(t, at + 4)").alias("block"))
+    rows = spark.read.option("lineSep", f"{END}{FAMILY}").text(path)
+    # What is left of the version line: its last number.
+    line = f"^(?:{FAMILY})?([0-9]+){CRLF}"
+    text = F.regexp_replace(F.regexp_replace("value", line, ""), f"{END}$", "")
+    rows = rows.select(F.concat(F.lit(FAMILY), F.regexp_extract("value", line, 1)).alias("version"), text.alias("t")).withColumn("at", F.instr("t", END))
+    rows = rows.select("version", F.expr("substring(t, 1, at - 1)").alias("head"), F.expr("substring(t, at + 4)").alias("block"))
     pairs = F.transform(F.split("head", CRLF), lambda x: F.split(x, ": ", 2))
     headers = F.map_from_entries(F.transform(F.filter(pairs, lambda p: F.size(p) == 2), lambda p: F.struct(p[0], p[1])))
     rows = rows.withColumn("headers", headers)
     length = F.try_element_at("headers", F.lit("Content-Length")).try_cast("bigint")
-    return rows.select(F.concat(F.lit(VERSION + CRLF), "head").alias("head"), "block", "headers", F.coalesce(length == F.octet_length("block"), F.lit(False)).alias("complete"))
+    return rows.select(F.concat("version", F.lit(CRLF), "head").alias("head"), "block", "headers", F.coalesce(length == F.octet_length("block"), F.lit(False)).alias("complete"))
