@@ -128,16 +128,8 @@ def argument_problems(name: Column, arguments: Column, schemas: dict[str, dict[s
     return tools
 
 
-def linked_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict[str, tuple[str, bool]]]) -> DataFrame:
-    """``conv_id, turn, call_id, name, level, result_turn, problems, json`` of every call and of the first result of each identifier without one."""
-    calls = calls.select(*[c.strip() for c in CALLS.split(",")])
-    found = stored(answers(calls, results), "answers")
-    first = found.filter("NOT calls").groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", F.col("content").alias("result"))).alias("r"))
-    return _formatted(calls, linked_answers(found), first.select("conv_id", "call_id", "r.*", F.lit("no_call").alias("problem")), schemas)
-
-
 def calls_and_results(calls: DataFrame, results: DataFrame, schemas: dict[str, dict[str, tuple[str, bool]]]) -> DataFrame:
-    """The columns of ``linked_calls`` for every call and every result: each result is with its call or a row of its own."""
+    """``conv_id, turn, call_id, name, level, result_turn, problems, json`` of every call and every result: each result is with its call or a row of its own."""
     calls = calls.select(*[c.strip() for c in CALLS.split(",")])
     found = stored(answers(calls, results), "answers")
     linked = stored(linked_answers(found), "linked")
