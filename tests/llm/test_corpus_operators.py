@@ -1,5 +1,6 @@
 """Operators across documents: against brute force, and edge cases."""
 
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -8,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from casework.llm import chat_tools, components, exact_dedup, jaccard_join, mixing, queries, warc_derivatives
+from casework.llm import chat_tools, components, exact_dedup, jaccard_join, language_id, mixing, queries, warc_derivatives
 from compare import DATA
 
 SF = f"{DATA}/sf0.001"
@@ -183,10 +184,11 @@ def test_tool_calls(spark):
         (1, 1, "a", "find", '{"q":"x", "n":1}', []),
     ]
     results = [(1, 2, "a", "first"), (1, 4, "a", "second"), (1, 2, "b", "too early"), (9, 1, "a", "lone"), (None, 2, "a", "n"), (1, 6, "c", None)]
-    found = chat_tools.linked_calls(spark.createDataFrame(calls, call), spark.createDataFrame(results, "conv_id LONG, turn LONG, call_id STRING, content STRING"), SCHEMAS)
+    found = chat_tools.calls_and_results(spark.createDataFrame(calls, call), spark.createDataFrame(results, "conv_id LONG, turn LONG, call_id STRING, content STRING"), SCHEMAS)
     rows = sorted(found.collect(), key=str)
     got = {(r.conv_id, r.call_id, r.turn): (r.level, r.result_turn, r.problems, r.json) for r in rows}
-    assert len(rows) == 11
+    assert len(rows) == 14
+    assert got[1, "a", 4][2] == ["extra_result"] and got[1, "b", 2][2] == ["early_result"]
     assert got[1, "a", 1] == (0, 2, [], '{"arguments":{"n":1,"q":"x"},"id":"a","name":"find","result":"first"}')
     assert got[1, "b", 3][:3] == (1, None, ["type:n", "missing:q", "unexpected:zz"])
     assert got[1, "c", 5][:3] == (2, 6, ["unknown_reference"])
@@ -195,7 +197,7 @@ def test_tool_calls(spark):
     assert got[1, "f", 11][2] == ["unknown_tool"]
     assert got[2, "a", 1][2] == ["cycle"] and got[2, "a", 1][3].startswith('{"arguments":{"o":{"a":null,"b":2},"q":"é\\n\\""}')
     assert got[9, "a", 1][2] == ["no_call"] and got[None, "a", 1][1] is None
-    empty = chat_tools.linked_calls(spark.createDataFrame([], call), spark.createDataFrame([], "conv_id LONG, turn LONG, call_id STRING, content STRING"), SCHEMAS)
+    empty = chat_tools.calls_and_results(spark.createDataFrame([], call), spark.createDataFrame([], "conv_id LONG, turn LONG, call_id STRING, content STRING"), SCHEMAS)
     assert empty.count() == 0
 
 
@@ -264,3 +266,42 @@ def test_warc_text_resolves_all_entities(spark):
     pages = spark.createDataFrame([(str(k), f"<p>{html}</p>") for k, (html, _) in enumerate(rows)], "url STRING, html STRING")
     found = warc_derivatives.derive(warc_derivatives.responses(pages, "d")).filter("record_type = 'conversion'").collect()
     assert {r.target_uri: r.block for r in found} == {str(k): text for k, (_, text) in enumerate(rows)}
+
+
+def test_every_source_comes_near_its_target(spark):
+    """The query over sf0.1, sources of several blocks, and small ones beside one a hundred times larger."""
+    docs = spark.read.parquet(f"{DATA}/sf0.1/documents.parquet").select("doc_id", "text", "source")
+    beside = docs.withColumn("source", F.when(F.col("doc_id") % 101 == 0, "small").otherwise("large"))
+    for rows, found in (
+        (docs, queries.op7_source_mixing(spark, f"{DATA}/sf0.1")),
+        (docs, mixing.mix(docs, block=64)),
+        (beside, mixing.mix(beside)),
+    ):
+        got = found.join(rows.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
+        assert len(got) in (2, 20) and max(abs(r.taken - r.target) for r in got) <= 60
+        assert found.filter("taken > 3 * size OR taken % greatest(size, 1) <> 0").count() == 0
+
+
+def test_warc_title_and_version(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "http://x/1", "<title>a &amp; b&#8217;s &copy;&#10;c</title><p>x")], "page_id LONG, url STRING, html STRING")
+    block = warc_derivatives.derive(warc_derivatives.responses(pages, "d")).filter("record_type = 'metadata'").first().block
+    assert "title: a & b’s © c\r\n" in block
+    assert "sourceHttpHeader: Content-Type: text/html; charset=utf-8\r\n" in block and "sourceHttpHeader: Content-Length: " in block
+    # Records of three versions in one file.
+    text = "".join(f"WARC/1.{v}\r\nWARC-Type: response\r\nContent-Length: 4\r\n\r\nab{v}c\r\n\r\n" for v in (0, 1, 0))
+    (tmp_path / "old.warc").write_bytes(text.encode())
+    back = warc_derivatives.read_warc(spark, str(tmp_path / "old.warc")).collect()
+    assert sorted((r["head"][:8], r.block, r.complete) for r in back) == [("WARC/1.0", "ab0c", True), ("WARC/1.0", "ab0c", True), ("WARC/1.1", "ab1c", True)]
+    (tmp_path / "none").mkdir()
+    assert warc_derivatives.read_warc(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_item_limits_never_bound_counts(spark):
+    """An item that one language chooses keeps its counts in the others, where it is rare."""
+    rows = [("en", "the the the the cat sat"), ("en", "the cat a b c d e f"), ("fr", "le le le le le chat the"), ("fr", "le chat g h i j k l")]
+    model = language_id.train(spark.createDataFrame(rows, "lang STRING, text STRING"), words=2, grams=3)
+    assert set(model.words) == {"the", "cat", "le", "chat"}
+    totals, counts = {"en": 14, "fr": 15}, {("the", "en"): 5, ("the", "fr"): 1, ("cat", "en"): 2, ("le", "fr"): 6, ("chat", "fr"): 2}
+    for item, at in model.words.items():
+        want = [math.log((counts.get((item, x), 0) + 0.5) / (totals[x] + 1)) for x in model.langs]
+        assert np.allclose(model.word_scores[at], np.array(want) - np.mean(want))
