@@ -17,29 +17,44 @@ from casework.llm.work import stored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+#: Rows that go to a Python worker together: whole texts, several copies of which are in memory at once.
+ROWS = "1000"
+
+
+def _modest(spark: SparkSession) -> None:
+    """Smaller batches for Python workers, where the session asks for no size of its own."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, ROWS)
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; learned from the labels in ``docs``."""
+    _modest(spark)
     return language_id.identified(docs)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each text."""
+    _modest(spark)
     return exact_dedup.exact_dedup(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
+    _modest(spark)
     return jaccard_join.near_dedup(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them."""
+    _modest(spark)
     return mixing.mixed(docs)
 
 
 def piece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their pieces, and whether these give the text back."""
+    _modest(spark)
     return sentencepiece_codec.round_trip(docs, piece_model(spark)).drop("decoded")
 
 
