@@ -41,6 +41,8 @@ from casework.llm.components import components
 from casework.llm.work import stored
 
 SHINGLE = 5
+#: Bytes of text that are cut into shingles together.
+TEXTS = 1 << 19
 PERCENT = 80
 #: Counters that order shingles by rarity: 8 MB of levels, whatever the input.
 COUNTER_BITS = 23
@@ -151,7 +153,7 @@ def profiles(docs: DataFrame, levels: bytes, doc_id: str, text: str, shingle: in
         level = np.frombuffer(levels, np.uint8)
         shift = np.uint64(64 - int(math.log2(len(level))))
         for batch in batches:
-            for i, block in words.blocks(batch.column(1)):
+            for i, block in words.blocks(batch.column(1), TEXTS):
                 hashes, at = block.shingles(shingle)
                 sizes, digests, bits, probes, keys, typical = [], [], [], [], [], []
                 for k in range(len(block)):
@@ -253,7 +255,7 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, shingle: int = SHINGLE, percen
         table = _table(wanted)
         for batch in batches:
             batch = batch.filter(pa.array(_on(table, batch.column(2).to_numpy())))
-            for i, block in words.blocks(batch.column(1)):
+            for i, block in words.blocks(batch.column(1), TEXTS):
                 hashes, at = block.shingles(shingle)
                 sets = [np.unique(hashes[at[k] : at[k + 1]]).tobytes() for k in range(len(block))]
                 yield pa.RecordBatch.from_arrays([_ids(batch, i, block), pa.array(sets, pa.binary())], names=["id", "hashes"])
