@@ -79,7 +79,7 @@ def shingle_levels(docs: DataFrame, text: str, shingle: int = SHINGLE, counter_b
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(n, np.uint32)
         for batch in batches:
-            for _, block in words.blocks(batch.column(0)):
+            for _, block in words.blocks(batch.column(0), TEXTS):
                 hashes, _ = block.shingles(shingle)
                 np.add.at(total, (hashes >> np.uint64(64 - counter_bits)).astype(np.int64), np.uint32(1))
         slabs = [zlib.compress(np.minimum(x, 255).astype(np.uint8).tobytes(), 1) for x in total.reshape(SLABS, -1)]
