@@ -7,6 +7,7 @@ tags and arrays.
 
 from __future__ import annotations
 
+from casework.operators.elements import ENDS, OTHER, SCOPE, TEXT, VOID
 from casework.operators.filters import OTHER_DOMAIN, PLATFORM, PLATFORM_DOMAIN
 from casework.plans import decorated as deco
 from casework.plans import queries as q
@@ -437,6 +438,51 @@ def sibling_sql(mixed: bool) -> str:
     FROM d LEFT JOIN z ON z.page_id = d.page_id"""
 
 
+def _list(values: tuple[str, ...]) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + "]::VARCHAR[]"
+
+
+def _end_rules() -> str:
+    """name, what it ends within which walls, and what it ends otherwise."""
+    rows = {}
+    for names, ends, walls in ENDS:
+        own = tuple(e for e in ends if e != "p") or ends
+        then = ("p",) if own != ends else ()
+        for name in names:
+            rows.setdefault(name, f"('{name}', {_list(own)}, {_list(walls)}, {_list(then)}, {_list(SCOPE)})")
+    return ", ".join(rows.values())
+
+
+def node_sql(html: str) -> str:
+    """The open elements of each page, followed from token to token by recursion; children numbered at the end."""
+    last = "list_max(list_filter(range(1, len(tags) + 1), lambda i: list_contains({0}, tags[i])))"
+    rule = "CASE WHEN {0} > coalesce({1}, 0) THEN {0} - 1 ELSE {2} END"
+    second = rule.format(last.format("e2"), last.format("w2"), "len(tags)")
+    first = rule.format(last.format("e1"), last.format("w1"), second)
+    opens = f"(name NOT IN ('{TEXT}', '{OTHER}') AND NOT starts_with(name, '/') AND NOT list_contains({_list(VOID)}, name))"
+    return rf"""WITH RECURSIVE {source(html, 'url')},
+    l AS (SELECT page_id, regexp_extract_all(regexp_replace(regexp_replace(html, '{SCRIPT}', '<script>', 'g'), '{NOISE}', '', 'g'),
+          '<[/!?A-Za-z](?:[^<>"'']|"[^"<]*"|''[^''<]*'')*>|<[^<>]+>|[^<]+|<') AS toks FROM dd),
+    r AS (SELECT page_id, unnest(toks) AS tok, CAST(generate_subscripts(toks, 1) - 1 AS INT) AS idx FROM l),
+    k AS (SELECT *, CASE WHEN starts_with(tok, '<') AND length(tok) > 1 THEN lower(regexp_extract(tok, '^<(/?[A-Za-z][A-Za-z0-9]*)', 1))
+          ELSE '{TEXT}' END AS name FROM r),
+    rules(name, e1, w1, e2, w2) AS (VALUES {_end_rules()}),
+    t AS MATERIALIZED (SELECT k.*, e1, w1, e2, w2 FROM k LEFT JOIN rules ON rules.name = k.name),
+    walk AS (SELECT page_id, -1 AS idx, CAST([] AS VARCHAR[]) AS tags, CAST([] AS INT[]) AS ids, -1 AS parent, 0 AS depth FROM l
+      UNION ALL
+      SELECT page_id, idx, CASE WHEN {opens} THEN list_append(tags[1:keep], name) ELSE tags[1:keep] END,
+        CASE WHEN {opens} THEN list_append(ids[1:keep], idx) ELSE ids[1:keep] END, coalesce(ids[keep], -1), CAST(keep AS INT)
+      FROM (SELECT w.page_id, t.idx, t.name, w.tags, w.ids, CASE WHEN starts_with(name, '/')
+          THEN coalesce({last.format('[substr(name, 2)]')} - 1, len(tags)) WHEN e1 IS NULL THEN len(tags) ELSE {first} END AS keep
+        FROM walk w JOIN t ON t.page_id = w.page_id AND t.idx = w.idx + 1))
+    SELECT t.page_id, t.idx, CASE WHEN name = '{TEXT}' THEN 'text' ELSE 'element' END AS kind,
+      CASE WHEN name = '{TEXT}' THEN '' ELSE name END AS tag,
+      CASE WHEN name = '{TEXT}' THEN '' ELSE trim(regexp_extract(tok, '(?s)^<[A-Za-z][A-Za-z0-9]*(.*?)/?>$', 1)) END AS attrs,
+      CASE WHEN name = '{TEXT}' THEN tok ELSE '' END AS text, parent, depth,
+      CAST(row_number() OVER (PARTITION BY t.page_id, parent ORDER BY t.idx) - 1 AS INT) AS child
+    FROM walk JOIN t ON t.page_id = walk.page_id AND t.idx = walk.idx WHERE name <> '{OTHER}' AND NOT starts_with(name, '/')"""
+
+
 def all_oracles() -> dict[str, str]:
     urls = rf"SELECT page_id, trim(regexp_replace({q.URL_BROKEN}, '[\r\n]', '', 'g')) AS url FROM pages"
     todo = f"SELECT DISTINCT url FROM ({urls}) EXCEPT SELECT url FROM ({urls}) WHERE page_id % 2 = 0"
@@ -460,6 +506,7 @@ def all_oracles() -> dict[str, str]:
             CASE WHEN tag THEN trim(regexp_extract(tok, '^<[A-Za-z][A-Za-z0-9]*([^>]*?)/?>', 1)) ELSE '' END AS attrs,
             CASE WHEN tag THEN '' ELSE tok END AS text,
             CAST(depth + CASE WHEN name = 'div' AND closing THEN 1 ELSE 0 END AS INT) AS div_depth FROM n""",
+        "node_table": node_sql(q.TREE_HTML),
         "headline_date": f"{head} SELECT page_id, coalesce({DATE}, 'none') AS date, coalesce(nullif({DATE_RAW}, ''), 'none') AS date_raw FROM h",
         "bracket_keywords": f"{head} SELECT page_id, coalesce({KEYWORD1}, 'none') AS keyword1, coalesce({KEYWORD2}, 'none') AS keyword2 FROM h",
         "place_tags": place_rows("documents"),

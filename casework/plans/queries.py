@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from casework.functions import coding
-from casework.operators import cases, filters, places, posts, sampling, tokens, urls
+from casework.operators import cases, elements, filters, places, posts, sampling, tokens, urls
 from casework.plans import decorated as deco
 from casework.sources.case_store import CaseStore
 from casework.sources.pages import read_table, read_urls
@@ -40,6 +40,13 @@ NESTED_HTML = deco.swap(
     ("<article>", "'<div class=\"wide content\"><div>'"),
     ("</article>", "'</div></div>after'"),
 )
+# End tags that are left out, attribute values with a bracket, and end tags that fit no element.
+TREE_HTML = deco.swap(
+    "html",
+    ("</li>", "CASE WHEN page_id % 2 = 0 THEN '' ELSE '</li>' END"),
+    ("</p>", "CASE WHEN page_id % 3 = 0 THEN '' ELSE '</p></em>' END"),
+    ("<article>", "'<div title=\"a > b\"><table><tr><td>one<td>two<p>three<tr><th>four</table><article>'"),
+)
 
 POST_TYPES = [field.strip().split(" ") for field in posts.POST_SCHEMA.split(",")]
 
@@ -112,6 +119,13 @@ def token_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def node_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = elements.node_table(_pages(spark, sf_dir, TREE_HTML))
+    return found.select(
+        "page_id", "idx", "kind", *[F.coalesce(c, F.lit("")).alias(c) for c in ("tag", "attrs", "text")], "parent", "depth", "child"
+    )
+
+
 def _headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pages(spark, sf_dir, deco.CASE_HTML).select("page_id", cases.headline(F.col("html")).alias("headline"))
 
@@ -344,6 +358,7 @@ def all_queries() -> dict[str, Query]:
         "content_text": content_text,
         "container_nested": container_nested,
         "token_table": token_table,
+        "node_table": node_table,
         "headline_date": headline_date,
         "bracket_keywords": bracket_keywords,
         "place_tags": place_tags,
