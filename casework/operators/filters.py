@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from casework.operators import ranks
+
 # Headlines that mark an error page, the default platform, and the
 # lengths below which a post is noise when it holds a mention or a link.
 ERROR_WORDS = ("Service", "Hotspot")
@@ -46,22 +48,21 @@ def author_link(link: Column, platform: str = PLATFORM, other: str = OTHER_DOMAI
     return F.coalesce(F.contains(link, F.lit(platform)) & ~F.contains(link, F.lit(other)), F.lit(False))
 
 
-def slice_rows(df: DataFrame, key: str, start: int = 12, stop: int = 100) -> DataFrame:
-    """Rows ``start`` to ``stop - 1`` in the order of a key.
+def slice_rows(df: DataFrame, key: str, start: int = 12, stop: int | None = 100) -> DataFrame:
+    """Rows ``start`` to ``stop - 1`` in the order of a key; places below 0 count from the end, no ``stop`` is the end.
 
-    The order is settled on the keys and their counts, so the sort handles narrow
-    rows; the wide rows are then picked by a join.  Of rows that share a key at
-    either end the first by a digest of all columns are taken; equal rows are
-    interchangeable, so the number of rows is always exact.
+    The order is settled on the keys and their counts, by ranges, so no task sorts more than a range of narrow
+    rows; the wide rows are then picked by a join.  Of rows that share a key at either end the first by a digest
+    of all columns are taken; equal rows are interchangeable, so the number of rows is always exact.
     """
-    if start < 0 or stop < start:
-        raise ValueError("0 <= start <= stop is required")
-    counts = df.groupBy(key).agg(F.count("*").alias("_n")).orderBy(F.col(key).asc_nulls_first()).limit(stop)
-    ahead = F.sum("_n").over(Window.orderBy(F.col(key).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1))
-    picked = counts.withColumn("_ahead", F.coalesce(ahead, F.lit(0))).filter((F.col("_ahead") < stop) & (F.col("_ahead") + F.col("_n") > start))
-    picked = picked.select(F.col(key).alias("_key"), "_n", "_ahead")
+    if start >= 0 and stop is not None and 0 <= stop < start:
+        raise ValueError("start <= stop is required")
+    start, stop = ranks.bounds(df, start, stop)
+    picked = ranks.ahead(df, key, start, stop)
     rows = df.join(picked, F.col(key).eqNullSafe(F.col("_key")))
-    # Only keys with several rows need to be numbered.
+    # Only keys that reach over an end need to be numbered.
+    whole = (F.col("_ahead") >= start) & (F.lit(True) if stop is None else F.col("_ahead") + F.col("_n") <= stop)
     place = F.row_number().over(Window.partitionBy("_key").orderBy(F.xxhash64(*df.columns), *df.columns)) - 1 + F.col("_ahead")
-    several = rows.filter("_n > 1").withColumn("_place", place).filter((F.col("_place") >= start) & (F.col("_place") < stop))
-    return rows.filter("_n = 1").select(df.columns).unionByName(several.select(df.columns))
+    cut = rows.filter(~whole).withColumn("_place", place).filter(F.col("_place") >= start)
+    cut = cut if stop is None else cut.filter(F.col("_place") < stop)
+    return rows.filter(whole).select(df.columns).unionByName(cut.select(df.columns))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
+import secrets
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from casework.sources.work import work_dir
 
@@ -75,16 +77,35 @@ def sample_n(df: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
 def sample_rows(df: DataFrame, n: int, seed: int | None = None) -> DataFrame:
     """n random rows of a table without a key.
 
-    Every row draws a number; the rows with their numbers are stored in the shared
-    folder, so that the draw is one and the same for all that follows.  Numbers are
-    all different (a row number breaks ties), which makes the sample that of a keyed
-    table: a plain filter, with no task that holds n rows.
+    Every row draws a number, and only rows below a cut, n and a few more, are stored in the shared folder, so that
+    the draw is one and the same for all that follows.  A draw with fewer than n or more than ``most_stored`` such
+    rows is thrown away and repeated (one in a few hundred); that depends on how many they are, not on which, so
+    every set of n rows stays equally likely.  Numbers are all different (a row number breaks ties), which makes
+    the sample that of a keyed table: a plain filter, with no task that holds n rows.
     """
     check_size(n)
-    path = work_dir(df.sparkSession, "draw")
-    drawn = df.withColumn("_draw", F.struct(F.rand(seed).alias("number"), F.monotonically_increasing_id().alias("row")))
-    drawn.withColumn("_draw", F.format_string("%.17f %020d", "_draw.number", "_draw.row")).write.parquet(path)
-    return sample_n(df.sparkSession.read.parquet(path), n, "_draw", seed or 0).drop("_draw")
+    total = df.count()
+    if total <= n:
+        return df
+    if n == 0:
+        return df.limit(0)
+    start = secrets.randbits(31) if seed is None else seed
+    share = (n + 3 * math.sqrt(n) + 5) / total
+    for attempt in itertools.count():
+        path = work_dir(df.sparkSession, "draw")
+        number = F.struct(F.rand(start + attempt).alias("number"), F.monotonically_increasing_id().alias("row"))
+        drawn = df.withColumn("_draw", number).filter(F.col("_draw.number") < share)
+        seen = Observation()
+        drawn.withColumn("_draw", F.format_string("%.17f %020d", "_draw.number", "_draw.row")).observe(
+            seen, F.count("*").alias("rows")
+        ).write.parquet(path)
+        if n <= seen.get["rows"] <= max(most_stored(n), total * (share >= 1)):
+            return sample_n(df.sparkSession.read.parquet(path), n, "_draw", start).drop("_draw")
+
+
+def most_stored(n: int) -> int:
+    """Rows that ``sample_rows`` stores at most of a larger table."""
+    return int(n + 6 * math.sqrt(n) + 10)
 
 
 def sample_table(spark: SparkSession, table: str, n: int, seed: int | None = None) -> DataFrame:

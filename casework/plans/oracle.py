@@ -527,6 +527,8 @@ def all_oracles() -> dict[str, str]:
         "posts_3": layout_3(deco.HTML_3, unique),
         "posts_all": posts_all_sql(),
         "post_append": stored_posts_sql(),
+        "post_batches": f"""SELECT *, CAST(CASE WHEN regexp_extract(url, '[0-9]+')::INT % 3 = 0 THEN 0 ELSE 1 END AS BIGINT) AS batch
+            FROM ({stored_posts_sql()})""",
         "post_sibling": sibling_sql(False),
         "post_sibling_mixed": sibling_sql(True),
         "post_noise": f"""WITH s AS (SELECT conv_id, turn, regexp_split_to_array(text, '[.,\\n]') AS ps FROM conversations),

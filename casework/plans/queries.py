@@ -11,7 +11,7 @@ from casework.operators import cases, elements, filters, places, posts, sampling
 from casework.plans import decorated as deco
 from casework.sources.case_store import CaseStore
 from casework.sources.pages import read_table, read_urls
-from casework.sources.stores import HANDLE_KEY, append_posts, read_posts, work_dir
+from casework.sources.stores import HANDLE_KEY, append_posts, current_posts, read_posts, work_dir
 from casework.streaming.incremental import code_new_arriving, page_stream, store_arriving_posts
 
 SITE, EXCLUDED = "example", "blog."
@@ -272,6 +272,15 @@ def post_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _post_rows(read_posts(spark, path).drop("batch"))
 
 
+def post_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posts of two batches, as found by every layout; a third of the pages is in both."""
+    path = work_dir(spark, "posts")
+    pages = _pages(spark, sf_dir, deco.HTML_ALL, deco.POST_URL_UNIQUE)
+    for number, some in enumerate((pages.filter(F.col("page_id") % 3 == 0), pages)):
+        append_posts(posts.page_posts(some), path, number, spark.conf.get(HANDLE_KEY, DEMO_KEY))
+    return _post_rows(current_posts(spark, path))
+
+
 def _sibling(mixed: bool) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         pages = _pages(spark, sf_dir, deco.HTML_SIBLING, deco.POST_URL_UNIQUE)
@@ -379,6 +388,7 @@ def all_queries() -> dict[str, Query]:
         "posts_3": _layout(deco.HTML_3, "3"),
         "posts_all": posts_all,
         "post_append": post_append,
+        "post_batches": post_batches,
         "post_sibling": _sibling(False),
         "post_sibling_mixed": _sibling(True),
         "post_noise": post_noise,
