@@ -53,7 +53,8 @@ def slice_rows(df: DataFrame, key: str, start: int = 12, stop: int | None = 100)
 
     The order is settled on the keys and their counts, by ranges, so no task sorts more than a range of narrow
     rows; the wide rows are then picked by a join.  Of rows that share a key at either end the first by a digest
-    of all columns are taken; equal rows are interchangeable, so the number of rows is always exact.
+    of all columns are taken; equal rows are interchangeable, so the number of rows is always exact.  (The rows of such a key, two keys at most, are
+    numbered in one task each.)
     """
     if start >= 0 and stop is not None and 0 <= stop < start:
         raise ValueError("start <= stop is required")

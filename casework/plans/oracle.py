@@ -483,6 +483,21 @@ def node_sql(html: str) -> str:
     FROM walk JOIN t ON t.page_id = walk.page_id AND t.idx = walk.idx WHERE name <> '{OTHER}' AND NOT starts_with(name, '/')"""
 
 
+def guarded_sql() -> str:
+    """Batches as ranks over all complete rows: the first row of a URL in batch and place is the one that is kept."""
+    return f"""WITH {content_sql(deco.CASE_HTML, CLASSES).replace("url AS url", f"{deco.POST_URL} AS url")},
+    two AS (SELECT c.*, page_id * 2 + copy AS place FROM c, (VALUES (0), (1)) v(copy) WHERE copy = 0 OR page_id % 10 = 0),
+    x AS (SELECT 0 AS batch, * FROM two WHERE page_id % 2 = 0
+          UNION ALL SELECT 1, * FROM two WHERE page_id % 2 = 1 OR page_id % 4 = 0),
+    y AS (SELECT *, url IS NOT NULL AND headline IS NOT NULL AND content IS NOT NULL AS whole FROM x),
+    z AS (SELECT *, row_number() OVER (PARTITION BY url, whole ORDER BY batch, place) AS n,
+          row_number() OVER (PARTITION BY url, whole, batch ORDER BY place) AS m FROM y)
+    SELECT batch, place, url, CASE WHEN whole AND n = 1 THEN row_number() OVER (PARTITION BY whole AND n = 1 ORDER BY batch, place)
+      ELSE 0 END AS id, CASE WHEN whole AND n = 1 THEN '' WHEN whole THEN CASE WHEN m = 1 THEN 'stored' ELSE 'duplicate' END
+      ELSE concat_ws(',', CASE WHEN url IS NULL THEN 'null_url' END, CASE WHEN headline IS NULL THEN 'null_headline' END,
+        CASE WHEN content IS NULL THEN 'null_content' END) END AS reasons FROM z"""
+
+
 def all_oracles() -> dict[str, str]:
     urls = rf"SELECT page_id, trim(regexp_replace({q.URL_BROKEN}, '[\r\n]', '', 'g')) AS url FROM pages"
     todo = f"SELECT DISTINCT url FROM ({urls}) EXCEPT SELECT url FROM ({urls}) WHERE page_id % 2 = 0"
@@ -506,6 +521,8 @@ def all_oracles() -> dict[str, str]:
             CASE WHEN tag THEN trim(regexp_extract(tok, '^<[A-Za-z][A-Za-z0-9]*([^>]*?)/?>', 1)) ELSE '' END AS attrs,
             CASE WHEN tag THEN '' ELSE tok END AS text,
             CAST(depth + CASE WHEN name = 'div' AND closing THEN 1 ELSE 0 END AS INT) AS div_depth FROM n""",
+        "page_encodings": f"""SELECT page_id, ['GB18030', 'windows-1252', 'UTF-16LE', 'UTF-8'][CAST(page_id % 4 + 1 AS INT)] AS charset,
+            CASE WHEN page_id % 7 = 0 AND page_id % 4 <> 1 THEN 'none' ELSE {q.NAMED_HTML} END AS html FROM pages""",
         "node_table": node_sql(q.TREE_HTML),
         "headline_date": f"{head} SELECT page_id, coalesce({DATE}, 'none') AS date, coalesce(nullif({DATE_RAW}, ''), 'none') AS date_raw FROM h",
         "bracket_keywords": f"{head} SELECT page_id, coalesce({KEYWORD1}, 'none') AS keyword1, coalesce({KEYWORD2}, 'none') AS keyword2 FROM h",
@@ -521,6 +538,8 @@ def all_oracles() -> dict[str, str]:
         "record_guard": f"WITH {CASES} SELECT page_id FROM cs WHERE {GUARD}",
         "keyword_filter": "SELECT doc_id, contains(text, 'The') AS exact FROM documents WHERE text ILIKE '%the%'",
         "keyword_slice": "SELECT doc_id, text FROM documents WHERE text ILIKE '%the%' ORDER BY doc_id LIMIT 88 OFFSET 12",
+        "slice_last": "SELECT text FROM documents ORDER BY text DESC LIMIT 100",
+        "guarded_insert": guarded_sql(),
         "posts_1a": layout_1a(deco.HTML_1A, unique),
         "posts_1b": layout_1b(deco.HTML_1B, unique),
         "posts_2": layout_2(deco.HTML_2, unique),

@@ -10,6 +10,8 @@ from casework.functions import coding
 from casework.operators import cases, elements, filters, places, posts, sampling, tokens, urls
 from casework.plans import decorated as deco
 from casework.sources.case_store import CaseStore
+from casework.sources.encodings import all_charsets, with_text
+from casework.sources.guarded import GuardedTable
 from casework.sources.pages import read_table, read_urls
 from casework.sources.stores import HANDLE_KEY, append_posts, current_posts, read_posts, work_dir
 from casework.streaming.incremental import code_new_arriving, page_stream, store_arriving_posts
@@ -47,6 +49,8 @@ TREE_HTML = deco.swap(
     ("</p>", "CASE WHEN page_id % 3 = 0 THEN '' ELSE '</p></em>' END"),
     ("<article>", "'<div title=\"a > b\"><table><tr><td>one<td>two<p>three<tr><th>four</table><article>'"),
 )
+# Pages that name the encoding in which they are going to be stored.
+NAMED_HTML = deco.swap("html", ("utf-8", "CASE page_id % 4 WHEN 0 THEN 'gb2312' WHEN 1 THEN 'Latin1' ELSE 'utf-8' END"))
 
 POST_TYPES = [field.strip().split(" ") for field in posts.POST_SCHEMA.split(",")]
 
@@ -126,6 +130,23 @@ def node_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def page_encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as bytes, each in an encoding that it names or marks; every seventh is cut off or names a wrong one."""
+    pages = table(spark, sf_dir, "pages").select("page_id", F.expr(NAMED_HTML).alias("text"))
+    with all_charsets(spark):
+        way = F.col("page_id") % 4
+        marked = F.concat(F.unhex(F.lit("FFFE")), F.encode("text", "UTF-16LE"))
+        content = (
+            F.when(way == 0, F.encode("text", "GB18030")).when(way == 1, F.encode("text", "windows-1252"))
+            .when(way == 2, marked).otherwise(F.encode("text", "UTF-8"))
+        )
+        # The first byte of a character and no other.
+        broken = F.when((F.col("page_id") % 7 == 0) & (way != 1), F.concat(content, F.unhex(F.lit("C3")))).otherwise(content)
+        rows = pages.select("page_id", broken.alias("content"))
+    read = with_text(rows)
+    return read.select("page_id", "charset", F.coalesce("html", F.lit("none")).alias("html"))
+
+
 def _headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pages(spark, sf_dir, deco.CASE_HTML).select("page_id", cases.headline(F.col("html")).alias("headline"))
 
@@ -241,6 +262,24 @@ def keyword_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filters.slice_rows(docs, "doc_id", 12, 100).select("doc_id", "text")
 
 
+def slice_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last hundred in the order of the text, whose copies share a key."""
+    return filters.slice_rows(table(spark, sf_dir, "documents").select("text"), "text", -100, None)
+
+
+def guarded_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two batches into a table with ids and constraints; every tenth page twice, every fourth again in the second."""
+    texts = cases.page_texts(_pages(spark, sf_dir, deco.CASE_HTML, deco.POST_URL))
+    copies = F.sequence(F.lit(0), F.when(F.col("page_id") % 10 == 0, 1).otherwise(0))
+    rows = texts.withColumn("copy", F.explode(copies)).withColumn("place", F.col("page_id") * 2 + F.col("copy"))
+    guarded = GuardedTable(spark, work_dir(spark, "guarded"), ("url", "headline", "content"))
+    for batch, some in enumerate((F.col("page_id") % 2 == 0, (F.col("page_id") % 2 == 1) | (F.col("page_id") % 4 == 0))):
+        guarded.insert(rows.filter(some).select("place", "url", "headline", "content"), batch, "place")
+    kept = guarded.rows().select("batch", "id", "place", "url", F.lit("").alias("reasons"))
+    out = guarded.quarantine().select("batch", F.lit(0).cast("bigint").alias("id"), "place", "url", F.array_join("reasons", ",").alias("reasons"))
+    return kept.unionByName(out).withColumn("batch", F.col("batch").cast("int"))
+
+
 def record_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = cases.page_texts(_pages(spark, sf_dir, deco.CASE_HTML))
     return texts.filter(filters.valid_record(F.col("headline"), F.col("content"))).select("page_id")
@@ -368,6 +407,7 @@ def all_queries() -> dict[str, Query]:
         "container_nested": container_nested,
         "token_table": token_table,
         "node_table": node_table,
+        "page_encodings": page_encodings,
         "headline_date": headline_date,
         "bracket_keywords": bracket_keywords,
         "place_tags": place_tags,
@@ -382,6 +422,8 @@ def all_queries() -> dict[str, Query]:
         "record_guard": record_guard,
         "keyword_filter": keyword_filter,
         "keyword_slice": keyword_slice,
+        "slice_last": slice_last,
+        "guarded_insert": guarded_insert,
         "posts_1a": _layout(deco.HTML_1A, "1a"),
         "posts_1b": _layout(deco.HTML_1B, "1b"),
         "posts_2": _layout(deco.HTML_2, "2"),
