@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions
 
 from casework.operators import ranks
 from casework.operators.cases import CASE_COLUMNS
+from casework.sources.work import work_dir
 
 ACCEPTED, QUARANTINED = "accepted", "quarantined"
 DUPLICATE, STORED = "duplicate", "stored"
@@ -73,7 +74,8 @@ class GuardedTable:
     def insert(self, rows: DataFrame, batch: int, order: str) -> dict[str, int]:
         """Store a batch; counts of accepted and quarantined rows and of each reason, observed while writing.
 
-        Only the keys and the largest id of earlier batches are read.
+        Only the keys and the largest id of earlier batches are read.  The rows are stored once in the shared folder
+        before they are checked, so that costly ones are worked out once and every step sees the same.
         """
         taken, last = None, 0
         if self._exists(batch + 1):
@@ -82,6 +84,9 @@ class GuardedTable:
             earlier = self._read(batch).filter(F.col("state") == ACCEPTED)
             taken = earlier.select(self.key)
             last = earlier.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last")).first().last
+        arrived = work_dir(self.spark, "arrived")
+        rows.write.parquet(arrived)
+        rows = self.spark.read.parquet(arrived)
         marked = checked(rows, order, self.required, self.key, taken, last)
         seen = Observation()
         names = [f"null_{c}" for c in self.required] + [DUPLICATE, STORED]
