@@ -6,20 +6,20 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from casework.functions import windows
+from casework.functions.windows import Wanted
 from casework.sources.work import work_dir
 
 # Administrative suffixes that short city names may drop.
 SUFFIXES = "市|县|区"
 
-# Names are broadcast up to these bounds (well under 1 GB), and shuffled beyond.
-BROADCAST_NAMES, BROADCAST_CHARS = 3_000_000, 60_000_000
+# Names are broadcast up to these bounds (some 30 MB in the driver and in a task), and shuffled beyond.
+BROADCAST_NAMES, BROADCAST_CHARS = 100_000, 4_000_000
 # Characters of a key gram, and how many characters from a key gram on are compared at once.
 GRAM, AHEAD = 6, 32
 BEHIND = AHEAD - GRAM
-# Characters of a text that are cut into grams together.
-CHUNK = 1000
-# Parts over which the rows of a gram are dealt where names are shuffled.
-SALTS = 8
+# Bytes of texts that are looked through together.
+CHUNK = 1 << 18
 
 
 def clean_gazetteer(names: DataFrame, kind: str = "kind", name: str = "name") -> DataFrame:
@@ -50,10 +50,10 @@ def best_place(places: Column) -> Column:
 
 @dataclass
 class Names:
-    """Stored names by key gram, and what is known of them: lengths below ``GRAM``, names longer than what is compared at once, and whether all may be broadcast."""
+    """Stored names by what of them is compared at once, what tells a text where they may be, names longer than what is compared at once, and whether all may be broadcast."""
 
     rows: DataFrame
-    short: list[int]
+    wanted: Wanted
     long: bool
     fits: bool
 
@@ -61,10 +61,10 @@ class Names:
 def prepared_names(gazetteer: DataFrame) -> Names:
     """The names of a gazetteer with the gram by which texts look for them, stored for repeated use.
 
-    A name of up to ``GRAM`` characters is its own key.  A longer one is known by that of
+    A name of up to ``GRAM`` characters is its own gram.  A longer one is known by that of
     its grams which the fewest names have, so that a place in a text meets few names however many
-    there are and however they begin.  ``back`` and ``seen`` say which characters around
-    the gram are compared at once, and ``whole`` whether these are all of the name.
+    there are and however they begin.  ``seen`` are the characters around the gram, up to ``back`` before it, that
+    are compared at once, ``key`` their hash, and ``whole`` says whether these are all of the name.
     """
     names = gazetteer.select("kind", "place").filter("place <> ''").groupBy("place").agg(F.sort_array(F.collect_set("kind")).alias("kinds"))
     # Read three times below.
@@ -82,14 +82,15 @@ def prepared_names(gazetteer: DataFrame) -> Names:
     back = F.least(at, F.lit(BEHIND))
     seen = F.substring(place, at - back + 1, back + AHEAD)
     rows = keyed.select("gram", "place", "kinds", back.alias("back"), seen.alias("seen"), (F.length(seen) == F.length(place)).alias("whole"))
-    rows = _written(rows, "names")
+    rows = _written(windows.with_key(rows, "seen"), "names")
     size = rows.agg(
         F.count("*").alias("n"),
         F.coalesce(F.sum(F.length("place") + F.length("seen")), F.lit(0)).alias("chars"),
-        F.collect_set(F.when(F.length("gram") < GRAM, F.length("gram"))).alias("short"),
+        # A few hundred at most, as what is compared at once is short.
+        F.collect_set(F.octet_length("seen")).alias("lengths"),
         F.coalesce(F.bool_or(~F.col("whole")), F.lit(False)).alias("long"),
     ).first()
-    return Names(rows, sorted(size.short), size.long, size.n <= BROADCAST_NAMES and size.chars <= BROADCAST_CHARS)
+    return Names(rows, windows.wanted(rows, "seen", size.n, size.lengths), size.long, size.n <= BROADCAST_NAMES and size.chars <= BROADCAST_CHARS)
 
 
 def _written(rows: DataFrame, name: str) -> DataFrame:
@@ -106,11 +107,10 @@ def _grams(text: Column, size: int) -> Column:
 def tag_places(pages: DataFrame, gazetteer: DataFrame | Names, text: Column) -> DataFrame:
     """Add ``places`` (all names in the text), ``city`` and ``county`` (one each), for a gazetteer of any size.
 
-    ``gazetteer`` is one, or the names of :func:`prepared_names`.  A text is cut
-    into chunks that overlap, and these into grams with the characters around
-    them.  Grams meet the names on equality, and the characters around decide at once:
-    only names that are there go on to be grouped by text.  Names longer than the
-    characters that a gram carries are looked for in the text itself before that.
+    ``gazetteer`` is one, or the names of :func:`prepared_names`.  A table of bits tells
+    at which places of a text a name may be; those characters meet the names on
+    equality of their hash and are then compared: only names that are there go on to be grouped by text.
+    Names longer than what is compared at once are looked for in the text itself before that.
 
     Places belong to a text, not to a page: they are joined back on a digest of it,
     so pages without a URL, or several of one URL, keep their own places.
@@ -144,28 +144,8 @@ NONE_THERE = "CAST(array() AS array<struct<place:string,kinds:array<string>>>)"
 
 def _names_there(texts: DataFrame, names: Names) -> DataFrame:
     """``_digest, _also, place, kinds, whole`` of the names whose visible characters are in a text."""
-    pattern = rf"(?s)(?=(.{{1,{CHUNK + BEHIND + AHEAD}}})).{{1,{CHUNK}}}"
-    chunks = texts.select("_digest", "_also", F.explode_outer(F.regexp_extract_all("_text", F.lit(pattern), F.lit(1))).alias("_chunk"))
-
-    def entry(gram: Column, before: Column, around: Column) -> Column:
-        return F.struct(gram.alias("gram"), before.alias("before"), around.alias("around"))
-
-    def with_context(gram: Column, i: Column) -> Column:
-        before = F.least(i, F.lit(BEHIND))
-        return entry(gram, before, F.substring("_chunk", i - before + 1, before + AHEAD))
-
-    # A name of less than GRAM characters is where its own characters are, once for each chunk.
-    pieces = [F.transform(F.array_distinct(_grams(F.col("_chunk"), k)), lambda g: entry(g, F.lit(0), g)) for k in names.short]
-    cut = F.concat(F.transform(_grams(F.col("_chunk"), GRAM), with_context), *pieces)
-    grams = chunks.select("_digest", "_also", F.inline_outer(cut))
-    if names.fits:
-        met = grams.join(F.broadcast(names.rows), "gram")
-    else:
-        # Every gram is dealt over several tasks, as some are in every text.
-        salt = F.pmod(F.xxhash64("_digest", "around"), F.lit(SALTS)).cast("int")
-        dealt = names.rows.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        met = grams.withColumn("_salt", salt).join(dealt.hint("merge"), ["gram", "_salt"])
-    there = (F.col("before") >= F.col("back")) & (
-        F.substring("around", F.col("before") - F.col("back") + 1, F.length("seen")) == F.col("seen")
-    )
+    around = windows.candidates(texts.select("_digest", "_also", "_text"), "_text", names.wanted, CHUNK)
+    # Each text has a name once, so a name that is in every text is as many narrow rows as there are texts.
+    met = around.join(F.broadcast(names.rows) if names.fits else names.rows.hint("merge"), "key")
+    there = F.substring("around", F.lit(1), F.length("seen")) == F.col("seen")
     return met.filter(there).select("_digest", "_also", "place", "kinds", "whole")

@@ -95,6 +95,28 @@ def test_only_names_that_are_there_are_grouped(spark):
     assert "around" in plan[grouped:] and "substring(around" in plan
 
 
+def test_many_names_are_not_broadcast(spark):
+    """Names of some ten megabytes stay in the executors; what a text is looked through with has a bounded size."""
+    gaz = spark.range(120_000).select(F.lit("city").alias("kind"), F.concat(F.lit("place"), F.col("id").cast("string")).alias("place"))
+    pages = spark.createDataFrame([(1, "in place77, place119999 and place120000"), (2, None)], "i INT, t STRING")
+    prepared = places.prepared_names(gaz)
+    assert not prepared.fits
+    tagged = places.tag_places(pages, prepared, F.col("t"))
+    assert {r.i: r.places for r in tagged.collect()} == {1: ["place1", "place11", "place119", "place1199", "place11999", "place119999", "place12", "place120", "place1200", "place12000", "place7", "place77"], 2: []}
+    joins = [line for line in tagged._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in line and "[key" in line]
+    assert joins and not any("Broadcast" in line for line in joins)
+
+
+def test_only_windows_that_may_be_names_become_rows(spark):
+    """A text of ten thousand characters without a name makes hardly a row, and copies of a name in a text make one."""
+    gaz = spark.createDataFrame([("city", "평원시"), ("city", "northern"), ("county", "x" * 20)], "kind STRING, place STRING")
+    prepared = places.prepared_names(gaz)
+    texts = spark.createDataFrame([(1, 1, "abcdefghij" * 1000), (2, 2, "northern 평원시 " * 500 + "x" * 20)], "_digest BIGINT, _also BIGINT, _text STRING")
+    rows = places.windows.candidates(texts, "_text", prepared.wanted, places.CHUNK).collect()
+    assert {(r._digest, r.around) for r in rows if r._digest == 2} >= {(2, "northern"), (2, "평원시"), (2, "x" * 20)}
+    assert len(rows) <= 10
+
+
 def test_more_names_never_remove_a_match(spark):
     pages = spark.createDataFrame([("u", "ab abc bcd")], "url STRING, t STRING")
     found = set()
