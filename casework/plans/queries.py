@@ -377,8 +377,10 @@ def incremental_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     append_posts(posts.all_posts(first), f"{path}/old", 0, key)
     todo = urls.frontier(pages.select("url"), read_urls(spark, f"{path}/old"))
     arriving = work_dir(spark, "arriving")
-    pages.join(todo, "url", "left_semi").select("page_id", "url", "html").repartitionByRange(2, "page_id").write.parquet(arriving)
-    stream = page_stream(spark, arriving, files_per_batch=1)
+    # Two batches; each is several files, so that all cores write and cut it.
+    files = max(FILES, spark.sparkContext.defaultParallelism)
+    pages.join(todo, "url", "left_semi").select("page_id", "url", "html").repartitionByRange(2 * files, "page_id").write.parquet(arriving)
+    stream = page_stream(spark, arriving, files_per_batch=files)
     store_arriving_posts(stream, f"{path}/new", work_dir(spark, "progress"), key).awaitTermination()
     return _post_rows(read_posts(spark, f"{path}/old").unionByName(read_posts(spark, f"{path}/new")).drop("batch"))
 

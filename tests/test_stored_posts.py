@@ -1,7 +1,9 @@
 """Posts stored in several batches are read once."""
 
 from casework.operators import posts
+from casework.plans import queries
 from casework.sources.stores import append_posts, current_posts, read_posts
+from casework.streaming.incremental import page_stream
 
 ROWS = [
     ("u", 1, "3", 1, "n", "p", ["b"]), ("u", 1, "1a", 2, "n", "p", None), ("u", 1, "1a", 3, "n", "q", None),
@@ -63,3 +65,17 @@ def test_a_post_may_hold_a_third_of_all_rows(spark, tmp_path):
     append_posts(hot, path, 0, raw=True)
     rows = current_posts(spark, path)
     assert rows.count() == 2001 and rows.filter("url = 'hot'").first().post_seq == 0
+
+
+def test_arriving_posts_lie_in_several_files_a_batch(spark, monkeypatch):
+    """All cores write and cut a batch, however large it is."""
+    found = []
+
+    def stream(spark, path, files_per_batch):
+        found.append((len(spark.read.parquet(path).inputFiles()), files_per_batch))
+        return page_stream(spark, path, files_per_batch=files_per_batch)
+
+    monkeypatch.setattr(queries, "page_stream", stream)
+    queries.incremental_posts(spark, "/root/testdata/sf0.01")
+    ((files, in_batch),) = found
+    assert in_batch >= queries.FILES and in_batch < files <= 2 * in_batch
