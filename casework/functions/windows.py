@@ -26,7 +26,7 @@ BITS = 32
 #: Bits of one bitmap of ``bitmap_construct_agg``.
 SLAB = 32_768
 #: Beginnings of these lengths rule out most places for all longer strings at once.
-HEADS = (8, 16, 32, 64, 128)
+HEADS = (4, 8, 16, 32, 64, 128)
 
 _ROOT = 0x9E3779B97F4A7C15
 _OF_LENGTH, _OF_HEAD = np.uint64(0xD1342543DE82EF95), np.uint64(0xAF251AF3B0F025B5)

@@ -1,5 +1,6 @@
 from dataclasses import replace
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -117,6 +118,19 @@ def test_only_windows_that_may_be_names_become_rows(spark):
     assert len(rows) <= 10
 
 
+def test_a_place_without_a_name_is_ruled_out_for_many_lengths_at_once(spark, monkeypatch):
+    """Names of four to seven bytes share the look-up of their beginning, and are found all the same."""
+    gaz = spark.createDataFrame([("city", n) for n in ("nort", "south", "easter", "western")], "kind STRING, place STRING")
+    prepared = places.prepared_names(gaz).wanted
+    windows, looked = places.windows, []
+    through = windows._let_through
+    monkeypatch.setattr(windows, "_let_through", lambda table, key: looked.append(len(key)) or through(table, key))
+    text = np.frombuffer(b"abcdefghij" * 1000 + b" nort south easter western", np.uint8)
+    _, begin, size, _ = windows._windows(text, len(text), np.array([len(text)]), np.array(prepared.lengths), windows._Sums().of(text), prepared.bits.value)
+    assert {text[b : b + s].tobytes() for b, s in zip(begin, size)} >= {b"nort", b"south", b"easter", b"western"}
+    assert sum(looked) < 1.5 * len(text)
+
+
 def test_more_names_never_remove_a_match(spark):
     pages = spark.createDataFrame([("u", "ab abc bcd")], "url STRING, t STRING")
     found = set()
