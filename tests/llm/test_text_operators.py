@@ -86,6 +86,30 @@ def test_trie_starts_anew_and_counts_the_same():
         assert small.tokens(w) == large.tokens(w) == len(model.merged(w))
 
 
+def test_trie_reaches_a_prefix_once_and_keeps_what_is_met_often(monkeypatch):
+    reached, reach = [], token_counts.Trie._reach
+    monkeypatch.setattr(token_counts.Trie, "_reach", lambda self, *a: reached.append(1) or reach(self, *a))
+    model = pieces.pieces_of(models()["bpe"])
+    trie, often = token_counts.Trie(model, 40), "▁the ▁there ▁Zürich ▁日本".split()
+    for i in range(100):
+        for w in often:
+            assert trie.tokens(w) == len(model.merged(w))
+            # However many rare ones came between.
+            assert i == 0 or not reached
+        assert trie.tokens(f"▁r{i}") == len(model.merged(f"▁r{i}"))
+        reached.clear()
+
+    random.seed(5)
+    texts = [["▁" + "".join(random.choices("abné", k=random.randint(1, 9))) for _ in range(random.randint(0, 60))] for _ in range(80)]
+    for most, together in ((1 << 19, 1 << 21), (30, 1 << 21), (1 << 19, 7)):
+        monkeypatch.setattr(token_counts, "TOGETHER", together)
+        reached.clear()
+        every, tokens = token_counts.Trie(model, most).sums(texts)
+        assert every.tolist() == list(map(len, texts)) and tokens.tolist() == [sum(len(model.merged(w)) for w in t) for t in texts]
+        if most > 30 and together > 7:
+            assert len(reached) == len({w[:k] for t in texts for w in t for k in range(1, len(w) + 1)})
+
+
 def test_repeats_against_brute_force():
     random.seed(3)
     for trial in range(150):
