@@ -124,28 +124,31 @@ def tag_places(pages: DataFrame, gazetteer: DataFrame | Names, text: Column) ->
             found.filter("NOT whole").distinct().join(marked.select("_digest", "_also", "_text").distinct(), ["_digest", "_also"])
             .filter(F.contains("_text", F.col("place"))).drop("_text")
         )
-    found = found.groupBy("_digest", "_also").agg(F.collect_set(F.struct("place", "kinds")).alias("_there"))
+    found = found.groupBy("_digest", "_also").agg(F.collect_set(F.struct("place", *KINDS)).alias("_there"))
     tagged = marked.join(found, ["_digest", "_also"], "left").withColumn("_there", F.coalesce("_there", F.expr(NONE_THERE)))
 
     def best(kind: str) -> Column:
-        own = F.filter("_there", lambda c: F.array_contains(c["kinds"], kind))
+        own = F.filter("_there", lambda c: c[kind])
         return best_place(F.transform(own, lambda c: c["place"])).alias(kind)
 
     return tagged.select(
         *[F.col(c) for c in pages.columns],
-        F.array_sort(F.transform("_there", lambda c: c["place"])).alias("places"),
-        best("city"),
-        best("county"),
+        F.sort_array(F.transform("_there", lambda c: c["place"])).alias("places"),
+        *map(best, KINDS),
     )
 
 
-NONE_THERE = "CAST(array() AS array<struct<place:string,kinds:array<string>>>)"
+# Kinds of places that a text has one of.
+KINDS = ("city", "county")
+NONE_THERE = f"CAST(array() AS array<struct<place:string,{','.join(f'{k}:boolean' for k in KINDS)}>>)"
 
 
 def _names_there(texts: DataFrame, names: Names) -> DataFrame:
-    """``_digest, _also, place, kinds, whole`` of the names whose visible characters are in a text."""
+    """``_digest, _also, place, whole`` and one flag a kind, of the names whose visible characters are in a text."""
     around = windows.candidates(texts.select("_digest", "_also", "_text"), "_text", names.wanted, CHUNK)
     # Each text has a name once, so a name that is in every text is as many narrow rows as there are texts.
-    met = around.join(F.broadcast(names.rows) if names.fits else names.rows.hint("merge"), "key")
+    # Flags are all that a name in a text takes along of its kinds.
+    rows = names.rows.select("key", "seen", "place", "whole", *[F.array_contains("kinds", k).alias(k) for k in KINDS])
+    met = around.join(F.broadcast(rows) if names.fits else rows.hint("merge"), "key")
     there = F.substring("around", F.lit(1), F.length("seen")) == F.col("seen")
-    return met.filter(there).select("_digest", "_also", "place", "kinds", "whole")
+    return met.filter(there).select("_digest", "_also", "place", "whole", *KINDS)

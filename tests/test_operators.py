@@ -131,6 +131,20 @@ def test_a_place_without_a_name_is_ruled_out_for_many_lengths_at_once(spark, mon
     assert sum(looked) < 1.5 * len(text)
 
 
+def test_names_in_a_text_take_along_flags_and_are_sorted_plainly(spark):
+    gaz = spark.createDataFrame(
+        [("city", "b place"), ("county", "b place"), ("river", "long river"), ("city", "a"), (None, "dd"), ("county", "zz")], "kind STRING, place STRING"
+    )
+    pages = spark.createDataFrame([(1, "zz a b place, dd long river"), (2, "long river"), (3, None)], "i INT, t STRING")
+    tagged = places.tag_places(pages, gaz, F.col("t"))
+    assert sorted((r.i, r.places, r.city, r.county) for r in tagged.collect()) == [
+        (1, ["a", "b place", "dd", "long river", "zz"], "b place", "b place"), (2, ["long river"], None, None), (3, [], None, None),
+    ]
+    plan = tagged._jdf.queryExecution().executedPlan().toString()
+    grouped = next(line for line in plan.splitlines() if "collect_set" in line)
+    assert "kinds" not in grouped and "sort_array(" in plan and "array_sort(" not in plan
+
+
 def test_more_names_never_remove_a_match(spark):
     pages = spark.createDataFrame([("u", "ab abc bcd")], "url STRING, t STRING")
     found = set()
