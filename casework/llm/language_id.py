@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from casework.llm.work import stored
+from casework.llm.work import small, stored
 
 UNKNOWN = "und"
 #: Most labelled rows to learn from, in each language.
@@ -193,7 +193,7 @@ def train(rows: DataFrame, words: int = WORDS, grams: int = GRAMS, counts: DataF
             room[r["lang"]] = room.get(r["lang"], limit) - r["items"]
             if room[r["lang"]] >= 0 or r["lang"] not in least:
                 least[r["lang"]] = r["n"]
-        bounds = counted.sparkSession.createDataFrame(list(least.items()) or [("", 0)], "lang STRING, least BIGINT")
+        bounds = small(counted.sparkSession, lang=pa.array(least.keys(), pa.string()), least=pa.array(least.values(), pa.int64()))
         chosen = counted.join(F.broadcast(bounds), "lang").filter("n >= least").select("item").distinct()
         # An item that one language has chosen keeps its counts in all of them.
         return counted.join(chosen, "item", "left_semi").join(F.broadcast(total), group).collect()

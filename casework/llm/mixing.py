@@ -28,9 +28,10 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from casework.llm.work import stored
+from casework.llm.work import small, stored
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -58,7 +59,7 @@ def _numbered(sources: DataFrame) -> DataFrame:
     counts = {r["range"]: r["count"] for r in rows.groupBy("range").count().collect()}
     before = {k: sum(n for j, n in counts.items() if j < k) for k in counts}
     spark = sources.sparkSession
-    starts = spark.createDataFrame(list(before.items()) or [(0, 0)], "range INT, before BIGINT")
+    starts = small(spark, range=pa.array(before.keys(), pa.int32()), before=pa.array(before.values(), pa.int64()))
     number = F.row_number().over(Window.partitionBy("range").orderBy(*order))
     return rows.withColumn("number", number).join(F.broadcast(starts), "range").withColumn("place", F.col("before") + F.col("number") - 1).drop("range", "before", "number")
 

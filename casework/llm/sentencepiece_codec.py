@@ -29,9 +29,11 @@ from pyspark.sql import DataFrame, functions as F
 from casework.llm.pieces import PAIRS, SPACE, Pieces, pieces_of
 
 #: Pre-tokens, and pieces in all of them, that a worker remembers.
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 17
 #: Longest pre-token that is remembered.
 SHORT = 64
+#: Texts whose ids and decoded text are in memory together.
+ROWS = 200
 
 
 class Encoder:
@@ -47,8 +49,9 @@ class Encoder:
         # Pairs of pieces, as one number, that merging leaves as they are; the empty beginning counts as a piece.
         self.begin = len(pieces.texts)
         self.side_by_side: dict[int, bool] = {}
-        self.known: dict[str, array] = {}
-        self.older: dict[str, array] = {}
+        # Ids as bytes: they take less memory than arrays, and are joined at once.
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def segment(self, text: str) -> array:
         """Ids of the best segmentation, in one pass over the matches."""
@@ -131,22 +134,22 @@ class Encoder:
         return max(done, to)
 
     def encode(self, text: str) -> array:
-        out = array("i")
-        known, extend = self.known, out.extend
+        parts: list[bytes] = []
+        known, add = self.known, parts.append
         for w in self.pieces.pretokens(text):
             ids = known.get(w)
             if ids is None:
                 # What was used of late is found in the older half, and stays.
                 ids = self.older.get(w)
                 if ids is None:
-                    ids = self.segment(w)
+                    ids = self.segment(w).tobytes()
                 if len(w) <= SHORT:
                     if len(known) >= REMEMBERED // 2:
                         self.older, known = known, {}
                         self.known = known
                     known[w] = ids
-            extend(ids)
-        return out
+            add(ids)
+        return array("i", b"".join(parts))
 
 
 @lru_cache(maxsize=2)
@@ -201,8 +204,8 @@ def _added(docs: DataFrame, name: str, kind: str, of: str, work) -> DataFrame:
         state: dict = {}
         for batch in batches:
             # Some rows at a time, so that long texts do not pile up.
-            for i in range(0, batch.num_rows, 1000):
-                part = batch.slice(i, 1000)
+            for i in range(0, batch.num_rows, ROWS):
+                part = batch.slice(i, ROWS)
                 yield pa.RecordBatch.from_arrays([*part.columns, work(part.column(at), state)], names=schema.names)
 
     return docs.mapInArrow(run, schema)

@@ -9,6 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Own setting, read where ``spark.checkpoint.dir`` is unset.
@@ -27,6 +28,15 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def small(spark: SparkSession, **columns: pa.Array) -> DataFrame:
+    """A few rows of the driver as a table.
+
+    They go as Arrow: a list of rows would start a daemon and workers of its own kind on every executor, beside
+    those of the functions on Arrow batches, and these stay for a while.
+    """
+    return spark.createDataFrame(pa.table(columns))
+
+
 def stored(rows: DataFrame, name: str) -> DataFrame:
     """The rows, written to the shared folder and read again: their lineage ends here."""
     path = f"{shared_folder(rows.sparkSession)}/{name}-{uuid.uuid4().hex}"

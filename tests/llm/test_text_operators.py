@@ -1,6 +1,7 @@
 """Operators on single texts: against plain Python, the library, and edge cases."""
 
 import random
+import sys
 import zlib
 from collections import Counter
 
@@ -9,7 +10,7 @@ import pyarrow as pa
 import pytest
 from sentencepiece import SentencePieceProcessor, sentencepiece_model_pb2
 
-from casework.llm import language_id, line_dedup, pieces, quality_rules, queries, sentencepiece_codec, token_counts, words
+from casework.llm import language_id, line_dedup, mixing, pieces, quality_rules, queries, sentencepiece_codec, token_counts, words, work
 from compare import DATA
 
 SF = f"{DATA}/sf0.001"
@@ -79,6 +80,50 @@ def test_codec_keeps_columns_and_empty_tables(spark):
     assert token_counts.token_counts(rows.limit(0), model).count() == 0
 
 
+def test_encoder_remembers_ids_without_much_around_them(monkeypatch):
+    monkeypatch.setattr(sentencepiece_codec, "REMEMBERED", 40)
+    model = pieces.pieces_of(models()["bpe"])
+    encoder = sentencepiece_codec.Encoder(model)
+    texts = [f"the w{i} thousand {i} then Zürich" for i in range(100)] * 2
+    for text in texts:
+        assert "".join(model.texts[i] for i in encoder.encode(text)) == model.escaped(text)
+    held = [*encoder.known.values(), *encoder.older.values()]
+    assert 20 <= len(held) <= 40 and all(sys.getsizeof(ids) <= 33 + 4 * 10 for ids in held)
+
+
+def test_codec_gives_texts_back_some_at_a_time(spark, monkeypatch):
+    texts = [f"text {i}" for i in range(950)] + [None]
+    passed = []
+    monkeypatch.setattr(sentencepiece_codec, "_lists", lambda rows, lists=sentencepiece_codec._lists: passed.append(len(rows)) or lists(rows))
+    docs, whole = frame(spark, texts), pa.RecordBatch.from_pydict({"doc_id": range(951), "text": texts})
+    # The function that a task runs, on one batch.
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: list(run(iter([whole]))))
+    found = sentencepiece_codec._added(docs, "ids", "array<int>", "text", lambda part, state: sentencepiece_codec._lists([None if t is None else [1] for t in part.to_pylist()]))
+    assert sum(passed) == 951 and max(passed) <= 200
+    assert pa.Table.from_batches(found).column("text").to_pylist() == texts
+
+
+def test_small_tables_need_no_python_workers(spark):
+    rows = work.small(spark, lang=pa.array(["x", None], pa.string()), least=pa.array([1, 2], pa.int64()))
+    assert rows.dtypes == [("lang", "string"), ("least", "bigint")] and [tuple(r) for r in rows.collect()] == [("x", 1), (None, 2)]
+    assert work.small(spark, at=pa.array([], pa.int32())).collect() == []
+    sources = spark.createDataFrame([("a", 5), (None, 1), ("b", 7)], "source STRING, source_size BIGINT").localCheckpoint()
+    # Rows of the driver that went through Python workers would be a second scan of an RDD, beside that of the table itself.
+    numbered = mixing._numbered(sources)
+    assert "LogicalRDD [range" not in numbered._jdf.queryExecution().toString()
+    assert {r.source: r.place for r in numbered.collect()} == {"a": 0, "b": 1, None: 2}
+    rows = spark.createDataFrame([("aa", "un deux"), ("bb", "one two")], "lang STRING, text STRING")
+    asked = []
+    spark_type, make = type(spark), type(spark).createDataFrame
+    try:
+        spark_type.createDataFrame = lambda self, data, *a, **b: asked.append(type(data)) or make(self, data, *a, **b)
+        assert language_id.train(rows).langs == ["aa", "bb"]
+        assert language_id.train(rows.limit(0)).langs == []
+    finally:
+        spark_type.createDataFrame = make
+    assert asked and set(asked) == {pa.Table}
+
+
 def test_trie_starts_anew_and_counts_the_same():
     model = pieces.pieces_of(models()["bpe"])
     small, large = token_counts.Trie(model, 50), token_counts.Trie(model)
