@@ -247,6 +247,23 @@ def test_shared_lines(spark):
     assert line_dedup.without_shared_lines(docs.limit(0)).count() == 0
 
 
+def test_line_keys_are_made_once(spark, monkeypatch):
+    # Digests of all lines are most of the time: one table holds them, and no other plan makes them again.
+    plans = []
+    monkeypatch.setattr(line_dedup, "stored", lambda rows, name: plans.append(rows) or work.stored(rows, name))
+    rows = [(i, f" shared\t \x0bline\n\n shared line \nown {i}\nown {i}" if i % 2 else "shared line", f"s{i}") for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id LONG, text STRING, source STRING")
+    found = line_dedup.without_shared_lines(docs)
+    made = [p._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") for p in [*plans, found]]
+    assert sum(made) == 1
+    got = {(r.doc_id, r.text, r.n_lines, r.n_removed) for r in found.collect()}
+    assert got == {(i, f"\nown {i}\nown {i}", 5, 2) if i % 2 else (i, "", 1, 1) for i in range(12)}
+    # A line has the same key alone and in a text.
+    t = spark.createDataFrame([(" a \t b ",), ("a b",)], "t STRING")
+    keys = t.select(line_dedup.line_key(t.t), line_dedup._line_keys(t.t)[0]).collect()
+    assert len({bytes(x) for r in keys for x in r}) == 1
+
+
 def test_words_are_looked_at_whole(spark):
     # No spaces: what tells the languages apart begins after the 64th character.
     same = "".join(chr(0x4E00 + i) for i in range(80))
