@@ -1,11 +1,10 @@
-"""Suffix array by grouping (linear time, no recursion).
+"""Suffix array by prefix doubling over groups (whole arrays at a time, no loop over symbols).
 
-First the suffixes are grouped by their longest Lyndon prefix.  Groups are processed from the
-greatest to the least; all suffixes of a group then have their final prefix.  The suffix before
-them that is still in a lower group, found by pointers to the previous smaller one, has a prefix that
-ends where theirs begins: it is lengthened by theirs, as often as they follow each other, and moves
-to a new group right above its old one.  Then the groups are read from the least to the greatest: a
-suffix that has its place puts those whose Lyndon prefix ends where it begins next into their groups.
+First the suffixes are sorted by as many symbols as one number holds.  Suffixes that agree so far form a
+group, which knows the place of its first one.  In each round the groups of several are sorted by the
+place of what follows the symbols compared so far, which doubles their number; a suffix that is alone
+has its place for good.  The rounds end when all are alone, after the logarithm of the longest
+repetition.
 """
 
 from __future__ import annotations
@@ -13,110 +12,39 @@ from __future__ import annotations
 import numpy as np
 
 
+def _groups(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each of some ordered keys where its equals begin, and whether it has any."""
+    other = np.concatenate([[True], ordered[1:] != ordered[:-1], [True]])
+    start = np.flatnonzero(other[:-1])
+    return np.repeat(start, np.diff(np.append(start, len(ordered)))), ~(other[:-1] & other[1:])
+
+
 def suffix_array(symbols: np.ndarray) -> np.ndarray:
     """Places of the suffixes of an array of non-negative numbers in ascending order (an end comes before any symbol)."""
     n = len(symbols)
     if not n:
         return np.zeros(0, np.int64)
-    # Place 0 stands before the text and is in no group, place n + 1 is its end and the lowest group; the highest one stays empty.
     values, rank = np.unique(symbols, return_inverse=True)
-    gid = [-1, *(rank + 1).tolist(), 0]
-    order = np.argsort(rank, kind="stable")
-    cuts = np.searchsorted(rank[order], np.arange(len(values) + 1))
-    members = [[n + 1], *((order[i:j] + 1).tolist() for i, j in zip(cuts, cuts[1:])), []]
-    count = [len(m) for m in members]
-    length = [1] * len(members)
-    below, above = list(range(-1, len(members) - 1)), list(range(1, len(members) + 1))
-    done, prev = bytearray(n + 2), [0] * (n + 2)
-    descending = []
-
-    def raised(js: list[int], k: int, by: int) -> None:
-        """Move some suffixes of group ``k`` to a new group right above it, their prefix longer by ``by``."""
-        new = len(members)
-        members.append(js)
-        count.append(len(js))
-        count[k] -= len(js)
-        length.append(length[k] + by)
-        up = above[k]
-        below.append(k)
-        above.append(up)
-        above[k] = below[up] = new
-        for j in js:
-            gid[j] = new
-
-    g = len(members) - 1
-    while g >= 0:
-        live = members[g]
-        many = count[g]
-        if len(live) != many:
-            live = members[g] = [i for i in live if gid[i] == g]
-        if many == 1:
-            i = live[0]
-            done[i] = 1
-            j = i - 1
-            while done[j]:
-                j = prev[j]
-            prev[i] = j
-            if j:
-                k = gid[j]
-                if count[k] == 1:
-                    length[k] += length[g]
-                else:
-                    # The same as raised([j], k, length[g]), written out for speed.
-                    gid[j] = new = len(members)
-                    members.append([j])
-                    count.append(1)
-                    count[k] -= 1
-                    length.append(length[k] + length[g])
-                    up = above[k]
-                    below.append(k)
-                    above.append(up)
-                    above[k] = below[up] = new
-        elif many:
-            for i in live:
-                done[i] = 1
-            # How many suffixes of this group follow each other behind one lower suffix.
-            behind = {}
-            for i in live:
-                j = i - 1
-                while done[j]:
-                    j = prev[j]
-                prev[i] = j
-                if j:
-                    behind[j] = behind.get(j, 0) + 1
-            moves = {}
-            for j, times in behind.items():
-                moves.setdefault((times, gid[j]), []).append(j)
-            own = length[g]
-            # More repetitions are greater, and end up above fewer of them.
-            for times, k in sorted(moves, reverse=True):
-                js = moves[times, k]
-                if len(js) == count[k]:
-                    length[k] += times * own
-                    if len(members[k]) != len(js):
-                        members[k] = js
-                else:
-                    raised(js, k, times * own)
-        if many:
-            descending.append(g)
-        g = below[g]
-
-    # The suffix at which the Lyndon prefix of another ends is the next smaller one.
-    head, following = [0] * (n + 3), [0] * (n + 2)
-    for g in descending:
-        size = length[g]
-        for i in members[g]:
-            following[i] = head[i + size]
-            head[i + size] = i
-    placed = {g: [] for g in descending}
-    placed[gid[n + 1]].append(n + 1)
-    out = []
-    for g in reversed(descending):
-        suffixes = placed[g]
-        for s in suffixes:
-            i = head[s]
-            while i:
-                placed[gid[i]].append(i)
-                i = following[i]
-        out += suffixes
-    return np.array(out[1:], np.int64) - 1
+    bits = len(values).bit_length()
+    depth = 62 // bits
+    # Number 0 stands behind the end.
+    padded = np.concatenate([rank + 1, np.zeros(depth, np.int64)])
+    keys = np.zeros(n, np.int64)
+    for k in range(depth):
+        keys = keys << bits | padded[k : k + n]
+    order = np.argsort(keys)
+    first, several = _groups(keys[order])
+    place = np.full(n + 1, -1)
+    place[order] = first
+    tied = np.flatnonzero(several)
+    while len(tied):
+        # Suffixes that agree in so many symbols have them, so none is looked for behind the end.
+        own = order[tied]
+        keys = place[own] * (n + 1) + place[own + depth] + 1
+        by = np.argsort(keys)
+        own = order[tied] = own[by]
+        first, several = _groups(keys[by])
+        place[own] = tied[first]
+        tied = tied[several]
+        depth *= 2
+    return order

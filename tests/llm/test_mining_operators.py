@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import sys
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -106,6 +107,29 @@ def test_suffix_array_equals_sorting():
         assert suffix_array(np.array(s)).tolist() == sorted(range(len(s)), key=lambda i: s[i:])
 
 
+def test_suffix_array_runs_no_python_for_each_symbol():
+    """A loop over the symbols of all pieces was most of the query's time."""
+    rng = random.Random(3)
+    text = [rng.randint(1, 9) for _ in range(2000)]
+    symbols = np.array([*text, 0, *text[500:1500], 0, *text, 0] + [rng.randint(0, 300) for _ in range(5000)] + [7] * 500)
+    lines = 0
+
+    def count(frame, event, arg):
+        nonlocal lines
+        lines += event == "line"
+        return count
+
+    before = sys.gettrace()
+    sys.settrace(count)
+    try:
+        found = suffix_array(symbols)
+    finally:
+        sys.settrace(before)
+    s = symbols.tolist()
+    assert found.tolist() == sorted(range(len(s)), key=lambda i: s[i:])
+    assert lines < len(s) / 2
+
+
 def brute_repeats(rows, size):
     raws, count = [(t or "").encode() for _, t in rows], Counter()
     for r in raws:
