@@ -268,6 +268,24 @@ def test_warc_text_resolves_all_entities(spark):
     assert {r.target_uri: r.block for r in found} == {str(k): text for k, (_, text) in enumerate(rows)}
 
 
+def test_warc_text_equals_the_steps_one_by_one(spark):
+    """Odd markup; a line separator at the end of a text is no end of its last line."""
+
+    def plain(html):
+        name = "p|div|br|li|ul|ol|h[1-6]|tr|table|article|section|header|footer|nav|title|blockquote|pre"
+        text = re.sub("|".join(rf"<{x}\b.*?</{x}\s*>" for x in ("script", "style", "noscript", "head")) + "|<!--.*?-->", " ", html, flags=re.I | re.S | re.A)
+        text = re.sub(rf"</?({name})\b[^>]*>", "\n", re.sub(r"\s+", " ", text, flags=re.A), flags=re.I | re.A)
+        text = re.sub(r"<[^>]*>", "", text).replace("&nbsp;", " ").replace("&lt;", "<")
+        return re.sub(r"^[ \n]+|[ \n]+\Z", "", re.sub(r" *\n[ \n]*", "\n", text))
+
+    rng = random.Random(8)
+    parts = "<div>|</DIV >|<p class='a'>| |  |\n|\r\n|\t|a|bc|<script>x<|</script >|</SCRIPT>|<!--|-->|<|</|<pre|<br/>|>|&nbsp;|&lt;|<head>|</head>|<header>|<style\n|</style>|<b>|</b>|<h2|<h7>|<noscript>|</noscript\n>|\x0b|\u2028|/>".split("|")
+    rows = ["a \u2028", "", " \n ", "<p>a <b> b</b> \u2028"] + ["".join(rng.choice(parts) for _ in range(rng.randint(1, 50))) for _ in range(3000)]
+    df = spark.createDataFrame(list(enumerate(rows)), "i INT, html STRING")
+    got = {r.i: r.text for r in df.select("i", warc_derivatives.plain_text(F.col("html")).alias("text")).collect()}
+    assert got == {i: plain(html) for i, html in enumerate(rows)}
+
+
 def test_every_source_comes_near_its_target(spark):
     """The query over sf0.1, sources of several blocks, and small ones beside one a hundred times larger."""
     docs = spark.read.parquet(f"{DATA}/sf0.1/documents.parquet").select("doc_id", "text", "source")
