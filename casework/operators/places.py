@@ -71,7 +71,8 @@ def prepared_names(gazetteer: DataFrame) -> Names:
     names = _written(names, "gazetteer")
     short = names.filter(F.length("place") <= GRAM)
     grams = names.filter(F.length("place") > GRAM).select("place", "kinds", F.posexplode_outer(_grams(F.col("place"), GRAM)).alias("at", "gram"))
-    shared = grams.groupBy("gram").agg(F.count("*").alias("n"))
+    # A few MB of names in files look broadcastable, and are some ten grams a name.
+    shared = grams.groupBy("gram").agg(F.count("*").alias("n")).hint("merge")
     # The number of names and the place in one long: a plain minimum.
     rank = F.shiftleft("n", 32).bitwiseOR(F.col("at").cast("bigint"))
     rarest = grams.join(shared, "gram").groupBy("place", "kinds").agg(F.min(rank).bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("at"))
@@ -120,8 +121,9 @@ def tag_places(pages: DataFrame, gazetteer: DataFrame | Names, text: Column) ->
     marked = marked.withColumns({"_digest": F.xxhash64("_text"), "_also": F.xxhash64(F.lit(1), "_text")})
     found = _names_there(marked.select("_digest", "_also", "_text"), names)
     if names.long:
+        # Texts are far larger than the files of their pages, by which they would be taken as small.
         found = found.filter("whole").unionByName(
-            found.filter("NOT whole").distinct().join(marked.select("_digest", "_also", "_text").distinct(), ["_digest", "_also"])
+            found.filter("NOT whole").distinct().join(marked.select("_digest", "_also", "_text").distinct().hint("merge"), ["_digest", "_also"])
             .filter(F.contains("_text", F.col("place"))).drop("_text")
         )
     found = found.groupBy("_digest", "_also").agg(F.collect_set(F.struct("place", *KINDS)).alias("_there"))

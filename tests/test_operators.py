@@ -108,6 +108,21 @@ def test_many_names_are_not_broadcast(spark):
     assert joins and not any("Broadcast" in line for line in joins)
 
 
+def test_grams_and_texts_are_not_broadcast_by_the_size_of_files(spark, monkeypatch, tmp_path):
+    """Names and pages of a few kilobytes in files may be many grams and long texts: nothing of them goes through the driver."""
+    plans, written = [], places._written
+    monkeypatch.setattr(places, "_written", lambda rows, name: plans.append(rows._jdf.queryExecution().executedPlan().toString()) or written(rows, name))
+    gaz = spark.createDataFrame([("city", "x" * 40 + "y"), ("county", "northern")], "kind STRING, place STRING")
+    path = str(tmp_path / "pages")
+    spark.range(3).select("id", F.repeat(F.concat(F.lit("x" * 40 + "y northern"), F.col("id").cast("string")), 1000).alias("t")).write.parquet(path)
+    names = places.prepared_names(gaz)
+    tagged = places.tag_places(spark.read.parquet(path), names, F.col("t"))
+    assert [r.places for r in tagged.collect()] == [["northern", "x" * 40 + "y"]] * 3
+    plans.append(tagged._jdf.queryExecution().executedPlan().toString())
+    joins = [line for plan in plans for line in plan.splitlines() if "Join [gram" in line or "Join [_digest" in line and "Inner" in line]
+    assert names.long and len(joins) >= 2 and all("SortMergeJoin" in line for line in joins)
+
+
 def test_only_windows_that_may_be_names_become_rows(spark):
     """A text of ten thousand characters without a name makes hardly a row, and copies of a name in a text make one."""
     gaz = spark.createDataFrame([("city", "평원시"), ("city", "northern"), ("county", "x" * 20)], "kind STRING, place STRING")
