@@ -3,7 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
-from casework.operators import cases, posts, urls
+from casework.operators import cases, places, posts, urls
 from casework.plans.oracle import all_oracles
 from casework.plans import queries as q
 from compare import DATA, compare, connect
@@ -88,3 +88,13 @@ def test_posts_shuffle_once_without_html(spark):
     assert text.count("Exchange") == 1 and "partial_min" in text
     exchange = text[text.index("Exchange") :].splitlines()[0]
     assert "html" not in exchange and "_page" not in exchange
+
+
+@pytest.mark.parametrize("name", ["case_records", "case_upsert", "constraint_check", "incremental", "place_tags", "place_tags_join"])
+def test_grams_of_names_are_not_broadcast(spark, monkeypatch, name):
+    """Counts of grams are far larger than the files of names, by which they would be taken as small."""
+    plans, written = [], places._written
+    monkeypatch.setattr(places, "_written", lambda rows, folder: plans.append(plan(rows)) or written(rows, folder))
+    entry.queries()[name](spark, SF)
+    joins = [line for text in plans for line in text.splitlines() if "Join [gram" in line]
+    assert joins and all("SortMergeJoin" in line for line in joins)
